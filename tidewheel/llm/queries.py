@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact
+from . import chat, exact, licenses, repetition, secrets
 from .common import table
 
 
@@ -57,6 +57,24 @@ FROM g
 """
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    random_strings = spark.createDataFrame(secrets.random_samples(), "text string, random boolean")
+    model = secrets.fit_markov(random_strings.unionByName(secrets.identifier_samples(docs)))
+    found = secrets.scan_secrets(docs, model, keep=("doc_id",))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[number(k) for k in secrets.BASE_KINDS],
+        F.sha2(secrets.joined("base_spans"), 256).alias("base_sha256"),
+        secrets.joined("spans").alias("spans"),
+        (F.size("spans") - F.size("base_spans")).cast("long").alias("n_random"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
@@ -68,10 +86,27 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join("licences", ",").alias("licences"),
+        F.size("sentence_ids").cast("long").alias("n_sentences"),
+    )
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality_rules(table(spark, sf_dir, "documents"), keep=("doc_id",))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op3_secret_scan": op3_secret_scan,
         "op6_exact_dedup": op6_exact_dedup,
+        "op9_license_scan": op9_license_scan,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
