@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, licenses, repetition, secrets
-from .common import table
+from . import chat, exact, licenses, mixing, repetition, secrets, warc
+from .common import cut, shared_path, table
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,31 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixture = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixture.taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "warc")
+    try:
+        archives = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+        records = cut(warc.read_archives(archives))
+    finally:
+        warc.delete_folder(folder)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_scan(table(spark, sf_dir, "documents"))
     return found.select(
@@ -105,10 +130,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_formatting": op1_chat_formatting,
         "op3_secret_scan": op3_secret_scan,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_source_mixing": op7_source_mixing,
+        "op8_warc_archives": op8_warc_archives,
         "op9_license_scan": op9_license_scan,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op8_warc_archives": OP8_SQL}
