@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, licenses, mixing, repetition, secrets, warc
+from . import chat, exact, licenses, mixing, packing, repetition, secrets, warc
 from .common import cut, shared_path, table
 
 
@@ -75,6 +75,16 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
@@ -129,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op3_secret_scan": op3_secret_scan,
+        "op4_mixture_packing": op4_mixture_packing,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_source_mixing": op7_source_mixing,
         "op8_warc_archives": op8_warc_archives,
