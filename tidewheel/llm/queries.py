@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, licenses, mixing, packing, repetition, secrets, warc
+from . import chat, exact, licenses, mixing, ngram_join, packing, repetition, secrets, warc
 from .common import cut, shared_path, table
 
 
@@ -57,6 +57,11 @@ FROM g
 """
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = ngram_join.ngram_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     random_strings = spark.createDataFrame(secrets.random_samples(), "text string, random boolean")
@@ -138,6 +143,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op2_ngram_join": op2_ngram_join,
         "op3_secret_scan": op3_secret_scan,
         "op4_mixture_packing": op4_mixture_packing,
         "op6_exact_dedup": op6_exact_dedup,
