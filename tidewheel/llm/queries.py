@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, licenses, mixing, ngram_join, packing, repetition, secrets, warc
+from . import chat, exact, licenses, lm, mixing, ngram_join, packing, repetition, secrets, warc
 from .common import cut, shared_path, table
 
 
@@ -90,6 +90,19 @@ def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)
+    model = lm.fit(docs.filter(~F.coalesce("held_out", F.lit(False))))
+    try:
+        scored = cut(lm.score(docs, model, keep=("doc_id", "held_out")))
+    finally:
+        model.delete()
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
@@ -146,6 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_join": op2_ngram_join,
         "op3_secret_scan": op3_secret_scan,
         "op4_mixture_packing": op4_mixture_packing,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_source_mixing": op7_source_mixing,
         "op8_warc_archives": op8_warc_archives,
