@@ -53,3 +53,25 @@ def word_count(column: Column) -> Column:
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """name, with underscores before it until it is none of columns (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def beside(docs: DataFrame, text_col: str, keep: tuple[str, ...] | None, added: list[str]) -> tuple[DataFrame, tuple[str, ...], int]:
+    """The columns keep of docs (default: all) whose names aren't among added, with the text.
+
+    Returns the rows to read, the names of what stays, and the text's place among the columns; a
+    text that doesn't stay is the last column.
+    """
+    lower = {c.lower() for c in added}
+    keep = tuple(c for c in (docs.columns if keep is None else keep) if c.lower() not in lower)
+    columns = [F.col(quoted(c)) for c in keep]
+    if text_col in keep:
+        return docs.select(*columns), keep, keep.index(text_col)
+    return docs.select(*columns, F.col(quoted(text_col)).alias(fresh(list(keep), "text"))), keep, len(keep)

@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import quoted, shared_path
+from .common import beside, quoted, shared_path
 from .elias_fano import U64, EliasFano, map_arrays, write_arrays
 from .repetition import chunks
 from .warc import delete_folder
@@ -524,24 +525,22 @@ def score(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: t
 
     Scores are sums of log10 over a text's words and its end: of the words' smoothed shares alone
     (base_score), and of the model's probabilities (score). No shuffle: tasks map the model's files.
-    Null and empty texts are their end. Clashing names must be left out of keep: ValueError.
+    Null and empty texts are their end; repeated rows score alike. A column of docs named like an
+    added one gives way to it. An empty table gives no rows.
     """
-    keep = tuple(docs.columns) if keep is None else keep
     added = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-    if clash := set(keep) & set(added):
-        raise ValueError(f"columns clash: {sorted(clash)}")
-    source = docs.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text_col)).alias("__text"))
-    from pyspark.sql.types import StructType
-
-    fields = StructType([source.schema[c] for c in keep]).add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
+    source, keep, at = beside(docs, text_col, keep, list(added))
+    fields = StructType(source.schema.fields[: len(keep)])
+    for name, kind in added.items():
+        fields = fields.add(name, "long" if kind == pa.int64() else "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, batch.num_columns - 1, model.settings.chunk_chars):
-                text = Text(part.column(part.num_columns - 1).to_pylist())
+            for part in chunks(batch, at, model.settings.chunk_chars):
+                text = Text(part.column(at).to_pylist())
                 known, base, full = Reader.of(model).score(text)
                 arrays = [part.column(i) for i in range(len(keep))]
                 arrays += [pa.array(v, t) for v, t in zip((text.sizes, known, base, full), added.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *added])
+                yield pa.RecordBatch.from_arrays(arrays, names=fields.names)
 
     return source.mapInArrow(run, fields)

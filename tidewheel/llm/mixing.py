@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, quoted, word_count
+from .common import cut, fresh, quoted, word_count
 
 #: Weights go round in the order of source names (by code point, null last).
 WEIGHTS = (1, 2, 3)
@@ -209,15 +209,20 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the shard's order. Of rows that repeat an id, text and source, one gives the other columns.
     """
     mixture = mix(docs, id_col, text_col, source_col, **options)
+    hash_, id_, part, words, shard, position, row = (fresh(docs.columns, c) for c in ("hash", "id", "part", "words", "shard", "position", "row"))
     drawn = mixture.pieces.join(mixture.documents.select("skey", "start", "size").filter("size > 0"), ["skey", "start"])
-    drawn = drawn.select(F.col("row_hash").alias("__hash"), F.col("doc_id").alias("__id"), (F.col("words") < F.col("size")).alias("__part"), F.col("words").alias("__words"), F.col("shard").alias("__shard"), F.col("position").alias("__position"))
+    drawn = drawn.select(
+        F.col("row_hash").alias(hash_), F.col("doc_id").alias(id_), (F.col("words") < F.col("size")).alias(part),
+        F.col("words").alias(words), F.col("shard").alias(shard), F.col("position").alias(position),
+    )
     names = docs.columns
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
-    rows = docs.withColumn("__row", F.xxhash64(F.col(quoted(id_col)), text, _key(source_col))).dropDuplicates(["__row", id_col])
-    out = rows.join(drawn, (F.col("__row") == F.col("__hash")) & F.col(quoted(id_col)).eqNullSafe(F.col("__id")))
+    rows = docs.withColumn(row, F.xxhash64(F.col(quoted(id_col)), text, _key(source_col))).dropDuplicates([row, id_col])
+    out = rows.join(drawn, (F.col(row) == F.col(hash_)) & F.col(quoted(id_col)).eqNullSafe(F.col(id_)))
     leading = F.regexp_extract_all(F.col(quoted(text_col)), F.lit("([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+)"), F.lit(1))
-    leading = F.array_join(F.slice(leading, F.lit(1), F.col("__words").cast("int")), "")
-    out = out.withColumn(text_col, F.when(F.col("__part"), leading).otherwise(F.col(quoted(text_col))))
+    leading = F.array_join(F.slice(leading, F.lit(1), F.col(words).cast("int")), "")
+    out = out.withColumn(text_col, F.when(F.col(part), leading).otherwise(F.col(quoted(text_col))))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__part"), F.length(F.col(quoted(text_col))).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.repartition(F.col("__shard")).sortWithinPartitions("__shard", "__position").select(*[F.col(quoted(c)) for c in names])
+        chars = F.length(F.col(quoted(text_col))).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(part), chars).otherwise(F.col("n_chars")))
+    return out.repartition(F.col(shard)).sortWithinPartitions(shard, position).select(*[F.col(quoted(c)) for c in names])

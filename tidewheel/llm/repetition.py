@@ -10,9 +10,9 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .common import quoted
+from .common import beside
 
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -153,34 +153,29 @@ def quality_rules(
     text_col: str = "text",
     keep: tuple[str, ...] | None = None,
     limits: RepetitionLimits | None = None,
+    prefix: str = "",
     chunk_chars: int = 4_000_000,
 ) -> DataFrame:
-    """The columns keep of docs (default: all) with those of SCHEMA; one row for each row.
+    """The columns keep of docs (default: all) with those of SCHEMA, prefix before their names.
 
     Words are runs of other than ASCII white space. A row is one text: no shuffle, and texts are
     measured in chunks of about chunk_chars, so that memory follows the longest text only.
 
-    Null and empty texts have no words and fail the base rules. Repeated rows are judged alike.
-    Columns of docs whose names clash with those of SCHEMA must be left out of keep: ValueError.
+    Null and empty texts have no words and fail the base rules. Repeated rows are judged alike. A
+    column of docs with the name of an added one gives way to it. An empty table gives no rows.
     """
     limits = limits or RepetitionLimits()
-    keep = tuple(docs.columns) if keep is None else keep
-    added = [x.split()[0] for x in SCHEMA.split(", ")]
-    if clash := set(keep) & set(added):
-        raise ValueError(f"columns clash: {sorted(clash)}")
-    source = docs.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text_col)).alias("__text"))
-    fields = [source.schema[c] for c in keep]
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    schema = StructType(fields + _parse_datatype_string(SCHEMA).fields)
+    fields = [StructField(prefix + f.name, f.dataType) for f in _parse_datatype_string(SCHEMA).fields]
+    source, keep, at = beside(docs, text_col, keep, [f.name for f in fields])
+    schema = StructType([*source.schema.fields[: len(keep)], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, batch.num_columns - 1, chunk_chars):
-                got = measure(part.column(part.num_columns - 1).to_pylist(), limits)
+            for part in chunks(batch, at, chunk_chars):
+                got = measure(part.column(at).to_pylist(), limits)
                 arrays = [part.column(i) for i in range(len(keep))]
                 arrays += [pa.array(v, pa.bool_() if k in ("base_failed", "kept") else pa.int64()) for k, v in got.items()]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *got])
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return source.mapInArrow(run, schema)
 

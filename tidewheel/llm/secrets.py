@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import quoted
+from .common import beside, quoted
 from .repetition import chunks
 
 #: Kinds in the order that breaks ties between spans with the same start: pattern, least length, group measured.
@@ -144,22 +144,19 @@ def scan_secrets(
     characters that the models call random and that touch no base span (kind 'random'). Both are
     in order of start, then kind as in ORDER; offsets are code points, ends exclusive.
 
-    Null texts count as empty; an empty text has no spans; repeated rows are scanned alike. No
-    shuffle: memory follows the longest text.
+    Null texts count as empty; an empty text has no spans; repeated rows are scanned alike. A column
+    of docs named like an added one gives way. No shuffle: memory follows the longest text.
     """
-    keep = tuple(docs.columns) if keep is None else keep
-    if clash := set(keep) & {"spans", "base_spans"}:
-        raise ValueError(f"columns clash: {sorted(clash)}")
-    source = docs.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text_col)).alias("__text"))
-    schema = StructType([*[source.schema[c] for c in keep], StructField("base_spans", SPANS), StructField("spans", SPANS)])
+    source, keep, at = beside(docs, text_col, keep, ["base_spans", "spans"])
+    schema = StructType([*source.schema.fields[: len(keep)], StructField("base_spans", SPANS), StructField("spans", SPANS)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     rank = {k: i for i, k in enumerate(ORDER)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, batch.num_columns - 1, chunk_chars):
+            for part in chunks(batch, at, chunk_chars):
                 base, every = [], []
-                for text in part.column(part.num_columns - 1).to_pylist():
+                for text in part.column(at).to_pylist():
                     text = text or ""
                     found = sorted(base_spans(text), key=lambda x: (x[0], rank[x[2]]))
                     more = [
@@ -171,7 +168,7 @@ def scan_secrets(
                     both = sorted(found + more, key=lambda x: (x[0], rank[x[2]]))
                     every.append([{"kind": k, "start": a, "end": b} for a, b, k in both])
                 arrays = [*(part.column(i) for i in range(len(keep))), pa.array(base, kind), pa.array(every, kind)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "base_spans", "spans"])
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return source.mapInArrow(run, schema)
 
