@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, quoted
+from .common import cut, fresh, quoted
 from .repetition import chunks
 
 #: Odd 64-bit constants that mix the word hashes of a shingle.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-_DOC_BITS = 20
-_CHUNK_BITS = 18
+_DOC_BITS = 16
+_CHUNK_BITS = 24
 
 
 def shingles(text: str | None, n: int = 5) -> np.ndarray:
@@ -50,11 +50,11 @@ def least_overlap(size: int | np.ndarray, percent: int) -> int | np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, range_bytes: int, chunk_chars: int) -> DataFrame:
-    """uid, doc_id, row_hash, size, digest, alone, weight, tokens: one row for each row of docs.
+    """uid, doc_id, row_hash, size, digest, alone, weight, holders, least, tokens: a row for each of docs.
 
     tokens, in the global order, are the shingles that other documents hold too; null where fewer
     are shared than any link needs. alone is the number of the others, which come first in the
-    order; weight is the mean number of holders.
+    order; weight is the mean number of holders; the first `least` tokens have `holders` of them.
 
     One pass over the texts. A chunk of documents sends each range of hashes one block of shingles;
     a task counts those of its range and sends the repeated ones back to their chunk.
@@ -84,7 +84,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: i
                         names=["part", "chunk", "a", "b", "ids", "hashes"],
                     )
                     tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                    owner = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+                    owner = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
                     part_of = ((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
                     by = np.argsort(part_of, kind="stable")
                     found, start = np.unique(part_of[by], return_index=True)
@@ -117,7 +117,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: i
                 hit = np.flatnonzero(at < len(shared))
                 hit = hit[shared[at[hit]] == tokens[hit]]
                 if len(hit):
-                    for key, value in (("chunk", chunk), ("a", tokens[hit].tobytes()), ("b", np.frombuffer(owner, np.uint32)[hit].tobytes()), ("c", holders[at[hit]].astype(np.int64).tobytes()), ("ids", None), ("hashes", None)):
+                    for key, value in (("chunk", chunk), ("a", tokens[hit].tobytes()), ("b", np.frombuffer(owner, np.uint16)[hit].tobytes()), ("c", holders[at[hit]].astype(np.uint32).tobytes()), ("ids", None), ("hashes", None)):
                         out[key].append(value)
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), table.schema.field("ids").type, pa.list_(pa.int64())), strict=True)})
 
@@ -127,7 +127,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: i
         sizes = np.frombuffer(head["a"], np.int32).astype(np.int64)
         rest = [r for r in rows if r["ids"] is None]
         join = lambda k, t: np.frombuffer(b"".join(r[k] for r in rest), t)
-        tokens, owner, holders = join("a", np.uint64), join("b", np.uint32), join("c", np.int64)
+        tokens, owner, holders = join("a", np.uint64), join("b", np.uint16), join("c", np.uint32).astype(np.int64)
         by = np.lexsort((tokens, holders, owner))
         tokens, owner, holders = tokens[by].view(np.int64), owner[by], holders[by]
         ends = np.searchsorted(owner, np.arange(len(sizes)), "right")
@@ -135,6 +135,8 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: i
         shared = ends - begins
         sums = np.concatenate([[0], np.cumsum(holders)])
         weight = (sums[ends] - sums[begins] + sizes - shared) / np.maximum(sizes, 1)
+        fewest = np.where(shared > 0, holders[np.minimum(begins, max(0, len(holders) - 1))] if len(holders) else 0, 0)
+        least = np.bincount(owner[holders == fewest[owner]], minlength=len(sizes))
         enough = (sizes > 0) & (shared >= least_overlap(sizes, percent))
         lists = [tokens[x:y] if ok else None for x, y, ok in zip(begins, ends, enough, strict=True)]
         return pa.table(
@@ -146,13 +148,15 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: i
                 "digest": pa.array([head["b"][16 * i : 16 * i + 16] for i in range(len(sizes))], pa.binary()),
                 "alone": pa.array(sizes - shared, pa.int64()),
                 "weight": pa.array(weight, pa.float64()),
+                "holders": pa.array(fewest, pa.int64()),
+                "least": pa.array(least, pa.int64()),
                 "tokens": pa.array(lists, pa.list_(pa.int64())),
             }
         )
 
     sent = source.mapInArrow(send, f"part long, chunk long, a binary, b binary, ids array<{kind}>, hashes array<long>")
     counted = sent.groupBy("part").applyInArrow(count, f"chunk long, a binary, b binary, c binary, ids array<{kind}>, hashes array<long>")
-    fields = f"uid long, doc_id {kind}, row_hash long, size long, digest binary, alone long, weight double, tokens array<long>"
+    fields = f"uid long, doc_id {kind}, row_hash long, size long, digest binary, alone long, weight double, holders long, least long, tokens array<long>"
     return counted.groupBy("chunk").applyInArrow(assemble, fields)
 
 
@@ -199,7 +203,7 @@ def ngram_classes(
     n: int = 5,
     percent: int = 75,
     range_bytes: int = 16 << 20,
-    chunk_chars: int = 8 << 20,
+    chunk_chars: int = 4 << 20,
 ) -> DataFrame:
     """uid, doc_id, row_hash, size, label, component_id: one row for each row of docs.
 
@@ -219,8 +223,13 @@ def ngram_classes(
     """
     every = cut(shingle_sets(docs, id_col, text_col, n, percent, range_bytes, chunk_chars))
     keys = ["size", "digest"]
-    first = every.filter("size > 0 AND tokens IS NOT NULL").groupBy(*keys).agg(F.min("uid").alias("rep"))
-    sets = cut(every.filter("tokens IS NOT NULL").join(first.select(F.col("rep").alias("uid")), "uid", "left_semi"))
+    first = every.filter("tokens IS NOT NULL").groupBy(*keys)
+    first = cut(first.agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")))
+    sets = every.join(first.select(F.col("rep").alias("uid"), "copies"), "uid")
+    # what only the copies of a document hold is held by nothing else, once they have collapsed
+    own = F.when((F.col("alone") == 0) & (F.col("holders") == F.col("copies")), F.col("least").cast("int")).otherwise(F.lit(0))
+    sets = sets.select("uid", "size", "weight", (F.col("alone") + own).alias("alone"), F.slice("tokens", own + 1, F.size("tokens")).alias("tokens"))
+    sets = cut(sets.filter(100 * F.size("tokens") >= percent * F.col("size")))
 
     need = F.expr(f"(size * {percent} + 99) div 100")
     prefix = F.slice("tokens", F.lit(1), (F.col("size") - need + 1 - F.col("alone")).cast("int"))
@@ -260,10 +269,14 @@ def ngram_classes(
     label = label.join(merged.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
     again = merged.select(F.col("node").alias("rep"), F.col("label").alias("alone_top"))
     named = first.join(label.select("rep", F.coalesce("top", "label").alias("label")), "rep", "left").join(again, "rep", "left")
-    named = named.select(*keys, F.coalesce("label", "alone_top", "rep").alias("label"))
-    out = every.select("uid", "doc_id", "row_hash", *keys).join(named, keys, "left").withColumn("label", F.coalesce("label", "uid"))
-    smallest = out.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return out.drop("digest").join(smallest, "label")
+    named = named.select(*keys, "least_id", F.coalesce("label", "alone_top", "rep").alias("label"))
+    smallest = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    named = named.join(smallest, "label").select(*keys, "label", "component_id", F.lit(True).alias("shared"))
+    out = every.select("uid", "doc_id", "row_hash", *keys).join(named, keys, "left")
+    return out.select(
+        "uid", "doc_id", "row_hash", "size", F.coalesce("label", "uid").alias("label"),
+        F.when(F.col("shared"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    )
 
 
 def _left_over(rows: DataFrame, percent: int) -> DataFrame:
@@ -289,7 +302,8 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     equal ones; null ids last. Rows without words are classes of their own."""
     classes = ngram_classes(docs, id_col, text_col, **options)
     best = classes.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "row_hash")).alias("best"))
-    kept = best.select(F.col("best.row_hash").alias("__hash"), F.col("best.doc_id").alias("__id")).distinct()
-    rows = docs.withColumn("__row", F.xxhash64(F.col(quoted(id_col)), F.coalesce(F.col(quoted(text_col)), F.lit(""))))
-    kept = rows.join(kept, (F.col("__row") == F.col("__hash")) & F.col(quoted(id_col)).eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["__row", id_col]).drop("__row")
+    row, kept_row, kept_id = (fresh(docs.columns, c) for c in ("row", "kept_row", "kept_id"))
+    kept = best.select(F.col("best.row_hash").alias(kept_row), F.col("best.doc_id").alias(kept_id)).distinct()
+    rows = docs.withColumn(row, F.xxhash64(F.col(quoted(id_col)), F.coalesce(F.col(quoted(text_col)), F.lit(""))))
+    rows = rows.join(kept, (F.col(row) == F.col(kept_row)) & F.col(quoted(id_col)).eqNullSafe(F.col(kept_id)), "left_semi")
+    return rows.dropDuplicates([row, id_col]).drop(row)
