@@ -21,15 +21,16 @@ def pack_bits(bits: np.ndarray) -> np.ndarray:
 
 def nth_bit(words: np.ndarray, nth: np.ndarray) -> np.ndarray:
     """The place of the nth set bit (from 0) of each word."""
-    words, nth = words.copy(), nth.astype(np.int64)
-    place = np.zeros(len(words), np.int64)
+    words, nth = words.copy(), nth.astype(np.uint8)
+    place = np.zeros(len(words), np.uint8)
     for width in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(words & U64((1 << width) - 1)).astype(np.int64)
+        low = np.bitwise_count(words & U64((1 << width) - 1))
         up = nth >= low
-        nth = nth - np.where(up, low, 0)
-        words = np.where(up, words >> U64(width), words)
-        place += np.where(up, width, 0)
-    return place
+        nth -= low * up
+        shift = up * np.uint8(width)
+        words >>= shift
+        place += shift
+    return place.astype(np.int64)
 
 
 class EliasFano:
@@ -92,23 +93,30 @@ class EliasFano:
         if not self.n:
             return out
         upper = (values >> U64(self.width)).astype(np.int64)
-        todo = np.flatnonzero(upper <= 64 * len(self.high) - int(self.n) - 1)
-        gap = np.maximum(upper[todo] - 1, 0)
-        word = np.searchsorted(self.zeros, gap, "right") - 1
-        place = np.where(upper[todo] > 0, 64 * word + nth_bit(~self.high[word], gap - self.zeros[word]) + 1, 0)
-        low = values & U64((1 << self.width) - 1)
-        while len(todo):
-            i = place - upper[todo]
-            inside = i < self.n
-            inside[inside] &= (self.high[place[inside] >> 6] >> (place[inside] & 63).astype(U64)) & U64(1) == 1
-            todo, place, i = todo[inside], place[inside], i[inside]
-            here = self._lows(i)
-            hit = here == low[todo]
-            out[todo[hit]] = i[hit]
-            on = here < low[todo]
-            todo, place = todo[on], place[on] + 1
+        todo = np.flatnonzero(upper < 64 * len(self.high) - self.n)
+        upper = upper[todo]
+        # numbers with these upper bits stand between two zeros; among them the lower bits ascend
+        begin = np.where(upper > 0, self._zero(np.maximum(upper - 1, 0)) + 1, 0) - upper
+        end = np.minimum(self._zero(upper) - upper, self.n)
+        low = values[todo] & U64((1 << self.width) - 1)
+        first, last, limit = begin, end.copy(), end
+        open_ = np.flatnonzero(first < last)
+        while len(open_):
+            middle = (first[open_] + last[open_]) >> 1
+            less = self._lows(middle) < low[open_]
+            first[open_] = np.where(less, middle + 1, first[open_])
+            last[open_] = np.where(less, last[open_], middle)
+            open_ = open_[first[open_] < last[open_]]
+        here = np.flatnonzero(first < limit)
+        hit = here[self._lows(first[here]) == low[here]]
+        out[todo[hit]] = first[hit]
         return out
 
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th zero (from 0) of the unary bits."""
+        word = np.searchsorted(self.zeros, k, "right") - 1
+        return 64 * word + nth_bit(~self.high[word], k - self.zeros[word])
+
 
 def write_arrays(uri: str, arrays: dict[str, np.ndarray], mark: str) -> None:
     """A file of arrays; it appears under its name when it is complete. mark: this writer's own."""

@@ -12,16 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import beside, quoted, shared_path
+from .common import beside, lean_batches, quoted, release, shared_path
 from .elias_fano import U64, EliasFano, map_arrays, write_arrays
 from .repetition import chunks
 from .warc import delete_folder
@@ -93,21 +93,19 @@ def _tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
 class Text:
     """Texts as one array of local word numbers, each text closed by the end, which is number 0."""
 
-    def __init__(self, texts: list[str | None]) -> None:
-        number: dict[bytes, int] = {}
-        fresh = count(1)
-        known, sizes, flat = number.get, [], []
-        for text in texts:
-            words = (text or "").encode().lower().split()
-            for w in words:
-                if known(w) is None:
-                    number[w] = next(fresh)
-            flat.extend(map(number.__getitem__, words))
-            flat.append(0)
-            sizes.append(len(words) + 1)
-        self.hashes = np.fromiter((END, *map(xxhash.xxh3_64_intdigest, number)), U64, len(number) + 1)
-        self.tokens = np.array(flat, np.int64)
-        self.sizes = np.array(sizes, np.int64)
+    def __init__(self, texts: pa.Array) -> None:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.string())))
+        words = lists.flatten().dictionary_encode()
+        known = words.dictionary.to_pylist()
+        self.hashes = np.fromiter((END, *map(xxhash.xxh3_64_intdigest, known)), U64, len(known) + 1)
+        local = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        if "" in known:  # what stands before leading and after trailing white space
+            real = local != known.index("") + 1
+            sizes = np.add.reduceat(np.append(real, 0), np.append(np.cumsum(sizes) - sizes, len(real)))[: len(sizes)] * (sizes > 0)
+            local = local[real]
+        self.tokens = np.insert(local, np.cumsum(sizes), 0)
+        self.sizes = sizes + 1
         self.text = np.repeat(np.arange(len(sizes)), self.sizes)
 
 
@@ -345,7 +343,7 @@ def _counted(texts: DataFrame, settings: Settings, keys_of, part_of, most_keys:
         size = 0
         for batch in batches:
             for part in chunks(batch, 0, settings.chunk_chars):
-                held.append(_tally(keys_of(part.column(0).to_pylist())))
+                held.append(_tally(keys_of(part.column(0))))
                 size += len(held[-1][0])
                 if size >= most_keys:
                     if (out := flush(held)) is not None:
@@ -353,6 +351,7 @@ def _counted(texts: DataFrame, settings: Settings, keys_of, part_of, most_keys:
                     held, size = [], 0
         if held and (out := flush(held)) is not None:
             yield out
+        release()
 
     def flush(held: list) -> pa.RecordBatch | None:
         keys, counts = held[0] if len(held) == 1 else _tally(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
@@ -372,13 +371,14 @@ def fit(train: DataFrame, text_col: str = "text", settings: Settings | None = No
     """
     settings = settings or Settings()
     spark = train.sparkSession
+    lean_batches(spark)
     texts = train.select(F.col(quoted(text_col)).alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // settings.part_bytes))
     shards = max(1, -(-size // settings.shard_bytes))
     folder = shared_path(spark, "ngrams")
 
-    def words_of(some: list) -> np.ndarray:
+    def words_of(some: pa.Array) -> np.ndarray:
         text = Text(some)
         return text.hashes[text.tokens]
 
@@ -395,7 +395,7 @@ def fit(train: DataFrame, text_col: str = "text", settings: Settings | None = No
     sizes = tuple(rows[p]["n"] if p in rows else 0 for p in range(shards))
     model = LanguageModel(folder, sizes, (0,) * shards, sum(r["tokens"] for r in rows.values()), settings)
 
-    def pairs_of(some: list, model: LanguageModel = model) -> np.ndarray:
+    def pairs_of(some: pa.Array, model: LanguageModel = model) -> np.ndarray:
         text = Text(some)
         ids = Reader.of(model).word_ids(text.hashes)[text.tokens]
         same = text.text[1:] == text.text[:-1]
@@ -409,7 +409,7 @@ def fit(train: DataFrame, text_col: str = "text", settings: Settings | None = No
     rows = {r["file"]: r for r in _by_file(pairs, spark, shards).applyInArrow(build, "file long, n long").collect()}
     model = LanguageModel(folder, model.parts, tuple(rows[s]["n"] for s in range(shards)), model.train_tokens, settings)
 
-    def triples_of(some: list, model: LanguageModel = model) -> np.ndarray:
+    def triples_of(some: pa.Array, model: LanguageModel = model) -> np.ndarray:
         text, reader = Text(some), Reader.of(model)
         ids = reader.word_ids(text.hashes)
         follows = np.flatnonzero(text.text[1:] == text.text[:-1]) + 1
@@ -529,6 +529,7 @@ def score(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: t
     added one gives way to it. An empty table gives no rows.
     """
     added = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+    lean_batches(docs.sparkSession)
     source, keep, at = beside(docs, text_col, keep, list(added))
     fields = StructType(source.schema.fields[: len(keep)])
     for name, kind in added.items():
@@ -537,7 +538,7 @@ def score(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, at, model.settings.chunk_chars):
-                text = Text(part.column(at).to_pylist())
+                text = Text(part.column(at))
                 known, base, full = Reader.of(model).score(text)
                 arrays = [part.column(i) for i in range(len(keep))]
                 arrays += [pa.array(v, t) for v, t in zip((text.sizes, known, base, full), added.values(), strict=True)]
