@@ -75,3 +75,19 @@ def beside(docs: DataFrame, text_col: str, keep: tuple[str, ...] | None, added:
     if text_col in keep:
         return docs.select(*columns), keep, keep.index(text_col)
     return docs.select(*columns, F.col(quoted(text_col)).alias(fresh(list(keep), "text"))), keep, len(keep)
+
+
+def lean_batches(spark: SparkSession, most: int = 2_000) -> None:
+    """Hand texts to Python in batches of at most so many rows, so that a worker's memory follows
+    the texts and not the default of 10,000 rows. A smaller setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= most:
+        spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """Give back what Arrow holds in this worker and doesn't use."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, quoted
+from .common import cut, fresh, lean_batches, quoted, release
 from .repetition import chunks
 
 #: Odd 64-bit constants that mix the word hashes of a shingle.
@@ -59,6 +59,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: i
     One pass over the texts. A chunk of documents sends each range of hashes one block of shingles;
     a task counts those of its range and sends the repeated ones back to their chunk.
     """
+    lean_batches(docs.sparkSession)
     source = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     source = source.withColumn("row_hash", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -98,6 +99,8 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: i
                             names=["part", "chunk", "a", "b", "ids", "hashes"],
                         )
 
+        release()
+
     def count(table: pa.Table) -> pa.Table:
         heads = table.filter(pc.is_valid(table.column("ids")))
         rest = table.filter(pc.is_null(table.column("ids")))
@@ -202,7 +205,7 @@ def ngram_classes(
     text_col: str = "text",
     n: int = 5,
     percent: int = 75,
-    range_bytes: int = 16 << 20,
+    range_bytes: int = 8 << 20,
     chunk_chars: int = 4 << 20,
 ) -> DataFrame:
     """uid, doc_id, row_hash, size, label, component_id: one row for each row of docs.

@@ -6,25 +6,32 @@ import heapq
 import zlib
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, quoted, shared_path
+from .common import cut, lean_batches, quoted, release, shared_path
 from .repetition import chunks
 from .warc import delete_folder
 
 
+_TAIL = ".,!?;:"
+_MARK = "\x01"
+
+
 class TokenCache:
     """Token ids of texts, with the ids of each run of other than ASCII white space kept.
 
-    That is exact for tokenizers that split at white space and drop it. At most `most` runs are
-    kept; when there are more, it starts anew.
+    That is exact for tokenizers that lower-case, split at white space and drop it, and split
+    between a letter or digit and the punctuation after it. At most `most` runs are kept; those
+    that come when it is full are encoded anew each time, unless they get to be half of a batch.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
@@ -32,21 +39,86 @@ class TokenCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.most = most
-
-    def encode(self, texts: Sequence[str | None], end_id: int) -> list[bytes]:
-        """The ids of each text and then end_id, as little-endian integers of self.dtype."""
-        if len(self.known) > self.most:
-            self.known.clear()
-        words = [(t or "").encode().split() for t in texts]
-        new = list({w for own in words for w in own if w not in self.known})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            ids = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.known.update(zip(some, (np.array(e.ids, self.dtype).tobytes() for e in ids), strict=True))
-        end, get = np.array([end_id], self.dtype).tobytes(), self.known.__getitem__
-        return [b"".join(map(get, own)) + end for own in words]
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat, self.used, self.n = np.zeros(1 << 18, self.dtype), 0, 0
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        total, n = len(ids), len(sizes)
+        while self.n + n > len(self.starts):
+            self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat])
+        self.flat[self.used : self.used + total] = ids
+        self.starts[self.n : self.n + n] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.n : self.n + n] = sizes
+        self.used, self.n = self.used + total, self.n + n
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has. They are encoded as one text with a mark between
+        them, the ids of which are told by the mark's; one by one if that isn't sure."""
+        if self.mark is not None and not any(_MARK in w for w in words):
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+            between = np.flatnonzero(ids == self.mark)
+            if len(between) == len(words) - 1:
+                return np.delete(ids, between), np.diff(np.concatenate([[-1], between, [len(ids)]])) - 1
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+    def _slots_of(self, words: list[str]) -> np.ndarray:
+        """A slot for each word; those beyond self.most are valid until the next call."""
+        self.n, self.used = len(self.slots), int(self.starts[len(self.slots) - 1] + self.sizes[len(self.slots) - 1]) if self.slots else 0
+        known = self.slots
+        out = list(map(known.get, words))
+        at = [i for i, slot in enumerate(out) if slot is None]
+        if len(known) >= self.most and 2 * len(at) > len(words):
+            self.clear()
+            known, at = self.slots, list(range(len(words)))
+        new = [words[i] for i in at]
+        # a stem and its punctuation are encoded apart; the stem is often known
+        parts = {w: (stem, w[len(stem) :]) for w in new if (stem := w.rstrip(_TAIL)) != w and stem and stem[-1].isascii() and stem[-1].isalnum()}
+        whole = dict.fromkeys(x for w in new for x in parts.get(w, (w,)) if x not in known)
+        place = dict(zip(whole, range(self.n, self.n + len(whole)), strict=True))
+        for i in range(0, len(whole), 20_000):
+            self._add(*self._encode(list(islice(whole, i, i + 20_000))))
+        slot = lambda w: place[w] if w in place else known[w]
+        halves = np.fromiter((slot(x) for pair in parts.values() for x in pair), np.int64, 2 * len(parts))
+        sizes = self.sizes[halves]
+        at_ids = np.repeat(self.starts[halves] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        place.update(zip(parts, range(self.n, self.n + len(parts)), strict=True))
+        self._add(self.flat[at_ids], sizes[::2] + sizes[1::2])
+        for i, w in zip(at, new, strict=True):
+            out[i] = place[w]
+        if len(known) < self.most:
+            known.update(place)
+        return np.array(out, np.int64)
+
+    def encode(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """The ids of each text (null: empty) and then end_id, as little-endian integers of self.dtype."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.string())))
+        words = lists.flatten().dictionary_encode()
+        if isinstance(words, pa.ChunkedArray):
+            words = words.combine_chunks()
+        slots = self._slots_of(words.dictionary.to_pylist())
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+        of_word = slots[words.indices.to_numpy(zero_copy_only=False)] if len(slots) else np.zeros(0, np.int64)
+        starts, sizes = np.insert(self.starts[of_word], ends, self.used), np.insert(self.sizes[of_word], ends, 1)
+        if self.used == len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat])
+        self.flat[self.used] = end_id
+        behind = np.cumsum(sizes)
+        total = int(behind[-1]) if len(behind) else 0
+        kind = np.int32 if max(total, self.used) < 1 << 30 else np.int64
+        ids = self.flat[np.repeat((starts - behind + sizes).astype(kind), sizes) + np.arange(total, dtype=kind)]
+        bounds = np.concatenate([[0], behind[ends + np.arange(len(ends))]]) * self.dtype.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
 
 
 _CACHES: dict[str, TokenCache] = {}
@@ -59,8 +131,9 @@ def token_cache(path: str) -> TokenCache:
     return _CACHES[path]
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str, chunk_chars: int = 2_000_000) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str, chunk_chars: int = 8_000_000) -> DataFrame:
     """doc_id, source, n_tokens, ids, h: one row for each row of docs."""
+    lean_batches(docs.sparkSession, 4_000)
     source = docs.select(
         F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(source_col)).cast("string").alias("source"), F.col(quoted(text_col)).alias("text")
     )
@@ -71,9 +144,10 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
         width = cache.dtype.itemsize
         for batch in batches:
             for part in chunks(batch, 2, chunk_chars):
-                ids = cache.encode(part.column(2).to_pylist(), end_id)
-                n = pa.array([len(x) // width for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, pa.array(ids, pa.binary())], names=["doc_id", "source", "n_tokens", "ids"])
+                ids = cache.encode(part.column(2), end_id)
+                n = pc.divide(pc.binary_length(ids).cast(pa.int64()), width)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, ids], names=["doc_id", "source", "n_tokens", "ids"])
+        release()
 
     return source.mapInArrow(run, f"doc_id {schema}, source string, n_tokens long, ids binary")
 
@@ -146,12 +220,15 @@ def pack(
     quantum: int = 256,
     lane_tokens: int = 4_000_000,
     shares: Mapping[str | None, float] | None = None,
+    digests: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
 ) -> tuple[DataFrame, str]:
     """Pieces doc_id, PIECE of all documents, and the folder that holds the tokens until deleted.
 
+    With digests, ids_crc32 (of ids as unsigned 32-bit little-endian integers) is in the place of ids.
+
     Documents are dealt by hash to lanes of about lane_tokens tokens, whatever their source; a lane
     is what one task holds. In a lane, deficit_round_robin() fills the windows. shares are the
     target proportions; without them, those of the sources among the lane's tokens, so that no
@@ -177,8 +254,9 @@ def pack(
     doc_id = tokens.schema["doc_id"].dataType.simpleString()
     fields = pa.schema(
         [("source", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
-         ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
+         ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids_crc32", pa.int64()) if digests else ("ids", pa.binary())]
     )
+    dtype = token_cache(tokenizer).dtype
 
     def fill(key: tuple, rows: pa.Table, owed: pa.Table) -> pa.Table:
         number = key[0].as_py()
@@ -190,18 +268,25 @@ def pack(
         sizes = {s: [columns["n_tokens"][i] for i in q] for s, q in queues.items()}
         start = {s: max(-window, min(window, d)) for s, d in zip(owed.column("source").to_pylist(), owed.column("deficit").to_pylist(), strict=True)}
         share = given or {s: float(sum(n)) for s, n in sizes.items()}
+        # four bytes for each id, for the checksums; a document at a time, as its pieces follow one another in a queue
+        wide: dict[str | None, tuple[int, memoryview]] = {}
         out: list[list] = [[] for _ in range(8)]
         for p in deficit_round_robin(sizes, share, window, quantum, start):
             i = queues[p.source][p.document]
-            ids = columns["ids"][i][p.start * width : (p.start + p.length) * width]
-            row = (i, p.source, p.start, p.length, columns["n_tokens"][i], number << 32 | p.window, p.offset, ids)
+            if not digests:
+                last = columns["ids"][i][p.start * width : (p.start + p.length) * width]
+            else:
+                if wide.get(p.source, (-1,))[0] != i:
+                    wide[p.source] = i, memoryview(np.frombuffer(columns["ids"][i], dtype).astype("<u4")).cast("B")
+                last = zlib.crc32(wide[p.source][1][4 * p.start : 4 * (p.start + p.length)])
+            row = (i, p.source, p.start, p.length, columns["n_tokens"][i], number << 32 | p.window, p.offset, last)
             for column, value in zip(out, row, strict=True):
                 column.append(value)
         arrays = [pa.array(c, f.type) for c, f in zip(out[1:], fields, strict=True)]
         return pa.Table.from_arrays([rows.column("doc_id").take(pa.array(out[0], pa.int64())), *arrays], names=["doc_id", *fields.names])
 
     laned = tokens.withColumn("lane", lane)
-    pieces = laned.groupBy("lane").cogroup(deficits.groupBy("lane")).applyInArrow(fill, f"doc_id {doc_id}, {PIECE}")
+    pieces = laned.groupBy("lane").cogroup(deficits.groupBy("lane")).applyInArrow(fill, f"doc_id {doc_id}, {PIECE.replace('ids binary', 'ids_crc32 long') if digests else PIECE}")
     return pieces, folder
 
 
@@ -224,27 +309,11 @@ def _deficits(sums: DataFrame, shares: Mapping[str | None, float] | None) -> Dat
     return own.select("lane", "source", deficit.alias("deficit"))
 
 
-def checksum(ids: pa.Array, width: int) -> list[int]:
-    """crc32 of each entry's ids as unsigned 32-bit little-endian integers."""
-    dtype = "<u2" if width == 2 else "<u4"
-    return [zlib.crc32(np.frombuffer(x, dtype).astype("<u4").tobytes()) for x in ids.to_pylist()]
-
-
 def packed_digests(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
-    """pack() with ids_crc32 in the place of ids and source, materialised; the tokens are deleted."""
-    pieces, folder = pack(docs, tokenizer, **options)
-    width = token_cache(tokenizer).dtype.itemsize
-    names = [c for c in pieces.columns if c not in ("ids", "source")]
-    kind = pieces.schema["doc_id"].dataType.simpleString()
-    fields = ", ".join(f"{c} {kind if c == 'doc_id' else 'long'}" for c in names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = pa.array(checksum(batch.column("ids"), width), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), crc], names=[*names, "ids_crc32"])
-
+    """pack() with checksums in the place of ids, materialised; the tokens are deleted."""
+    pieces, folder = pack(docs, tokenizer, digests=True, **options)
     try:
-        return cut(pieces.mapInArrow(run, f"{fields}, ids_crc32 long"))
+        return cut(pieces.drop("source"))
     finally:
         delete_folder(folder)
 

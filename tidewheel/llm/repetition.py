@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .common import beside
+from .common import beside, lean_batches, release
 
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -154,7 +154,7 @@ def quality_rules(
     keep: tuple[str, ...] | None = None,
     limits: RepetitionLimits | None = None,
     prefix: str = "",
-    chunk_chars: int = 4_000_000,
+    chunk_chars: int = 2_000_000,
 ) -> DataFrame:
     """The columns keep of docs (default: all) with those of SCHEMA, prefix before their names.
 
@@ -165,6 +165,7 @@ def quality_rules(
     column of docs with the name of an added one gives way to it. An empty table gives no rows.
     """
     limits = limits or RepetitionLimits()
+    lean_batches(docs.sparkSession)
     fields = [StructField(prefix + f.name, f.dataType) for f in _parse_datatype_string(SCHEMA).fields]
     source, keep, at = beside(docs, text_col, keep, [f.name for f in fields])
     schema = StructType([*source.schema.fields[: len(keep)], *fields])
@@ -176,6 +177,7 @@ def quality_rules(
                 arrays = [part.column(i) for i in range(len(keep))]
                 arrays += [pa.array(v, pa.bool_() if k in ("base_failed", "kept") else pa.int64()) for k, v in got.items()]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        release()
 
     return source.mapInArrow(run, schema)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import beside, quoted
+from .common import beside, lean_batches, quoted
 from .repetition import chunks
 
 #: Kinds in the order that breaks ties between spans with the same start: pattern, least length, group measured.
@@ -147,6 +147,7 @@ def scan_secrets(
     Null texts count as empty; an empty text has no spans; repeated rows are scanned alike. A column
     of docs named like an added one gives way. No shuffle: memory follows the longest text.
     """
+    lean_batches(docs.sparkSession)
     source, keep, at = beside(docs, text_col, keep, ["base_spans", "spans"])
     schema = StructType([*source.schema.fields[: len(keep)], StructField("base_spans", SPANS), StructField("spans", SPANS)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

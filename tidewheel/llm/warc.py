@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, quoted
+from .common import cut, lean_batches, partitions, quoted
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 ID_PREFIX = "urn:tidewheel:page:"
@@ -190,6 +190,7 @@ def write_archives(pages: DataFrame, folder: str, most_bytes: int = 256 << 20, l
     Null html counts as empty; a null url is about:blank; a null page_id has the empty id. Repeated
     rows of one page_id and payload are alike: all of them responses, or all revisits.
     """
+    lean_batches(pages.sparkSession)
     same = revisits(pages, least_bytes)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
