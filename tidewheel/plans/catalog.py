@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import profiling, registry, relational, signals  # noqa: F401  the modules register their queries
+from . import modelling, profiling, registry, relational, signals, streams  # noqa: F401  the modules register their queries
 
 flagship = signals.flagship
 
