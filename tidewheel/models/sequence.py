@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sampling import hash_sample
+
 
 def latent_size(features: int) -> int:
     return max(4, min(64, 2 * features))
@@ -168,8 +170,7 @@ def reconstruction(x: np.ndarray, components: int = 4) -> Linear:
 
 def training_sample(sequences: DataFrame, key: list[str], most: int = 20_000, seed: int = 42) -> np.ndarray:
     """At most `most` sequences, those with the smallest seeded hashes of their key, on the driver."""
-    h = F.xxhash64(F.lit(seed), *key)
-    rows = sequences.select("steps", h.alias("h")).orderBy("h").limit(most).collect()
+    rows = hash_sample(sequences, most, *key, seed=seed).select("steps").collect()
     return np.array([r["steps"] for r in rows], float)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BASIC = (
@@ -41,10 +41,12 @@ def basic_features(df: DataFrame, keys: Sequence[str] = ("tagname", "lift_id"),
     n = F.count(F.lit(1))
     ends = (F.col("i") == 1) | (F.col("i") == F.col("n"))
     q = lambda p: F.expr(f"percentile(v, {p})")
-    pair = lambda other: F.when(
-        F.coalesce(F.stddev_pop(F.when(F.col(other).isNotNull(), F.col("v"))) > 0, F.lit(False)) & F.coalesce(F.stddev_pop(other) > 0, F.lit(False)),
-        F.corr("v", F.col(other)),
-    )
+
+    def pair(other: str) -> Column:
+        """The correlation of v with other over the rows that have both; null if either is constant."""
+        spread = F.stddev_pop(F.when(F.col(other).isNotNull(), F.col("v"))) * F.stddev_pop(other)
+        return F.when(spread > 0, F.try_divide(F.covar_pop("v", F.col(other)), spread))
+
     agg = seen.groupBy(*keys).agg(
         F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), q(0.5).alias("median"), (q(0.75) - q(0.25)).alias("iqr"),
         F.skewness("v").alias("skew"), F.kurtosis("v").alias("kurtosis"), F.min("v").alias("min"), F.max("v").alias("max"),
