@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from ..functions.sampling import hash_sample
 from .common import beside, lean_batches, quoted
 from .repetition import chunks
 
@@ -91,14 +92,18 @@ def fit_markov(samples: DataFrame, text_col: str = "text", label_col: str = "ran
         F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), F.col(x)), F.lit(0)), F.lit(SYMBOLS)) - 1
     )
     small = counts.groupBy("y", known("a").alias("a"), known("b").alias("b")).agg(F.sum("n").alias("n")).collect()
-    first, following = np.full((2, SYMBOLS), smoothing), np.full((2, SYMBOLS, SYMBOLS), smoothing)
+    first, following = np.zeros((2, SYMBOLS)), np.zeros((2, SYMBOLS, SYMBOLS))
     for y, a, b, n in small:
         if a < 0:
             first[int(y), b] += n
         else:
             following[int(y), a, b] += n
-    first = np.log(first / first.sum(-1, keepdims=True))
-    following = np.log(following / following.sum(-1, keepdims=True))
+    # what follows a character that was rarely seen is taken from what follows any
+    alone = following.sum(1) + first + smoothing
+    alone /= alone.sum(-1, keepdims=True)
+    weight = smoothing * SYMBOLS / 4
+    first = np.log((first + weight * alone) / (first.sum(-1, keepdims=True) + weight))
+    following = np.log((following + weight * alone[:, None, :]) / (following.sum(-1, keepdims=True) + weight))
     return MarkovModel(first[1] - first[0], following[1] - following[0])
 
 
@@ -118,7 +123,7 @@ def identifier_samples(docs: DataFrame, text_col: str = "text", most_docs: int =
     ways identifiers are (snake, kebab and camel case).
     """
     sample = docs.select(F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("s"))
-    sample = sample.orderBy(F.xxhash64(F.lit(seed), F.col("s")), "s").limit(most_docs)
+    sample = hash_sample(sample, most_docs, "s", seed=seed)
     pattern = F.lit("(?<![A-Za-z0-9_-])([A-Za-z]{3,15})(?![A-Za-z0-9_-])")
     words = sample.select(F.explode(F.regexp_extract_all("s", pattern, F.lit(1))).alias("w"))
     words = words.distinct().orderBy(F.xxhash64("w"), "w").limit(most)
