@@ -91,8 +91,8 @@ RULES: tuple[LicenceRule, ...] = (
 #: Each known sentence holds one of these. Pass others with other sentences.
 HINTS = ("licen[sc]e", "permission", "redistribution", "rights reserved", "cc by", "without any warranty", "free software", "public license", "provided as is", "public domain")
 
-#: A sentence ends at . ! or ? before white space, and at an empty line.
-SENTENCE_END = r"(?<=[.!?])[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"
+#: A sentence ends at . ! or ? before white space, but not at "v." for version, and at an empty line.
+SENTENCE_END = r"(?<=[.!?])(?<![\x20(][vV]\.)[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"
 _QUOTES = "\"'‘’“”`"
 
 

@@ -36,9 +36,10 @@ def filesystem(uri: str):
 
 
 def delete_folder(uri: str) -> None:
+    from pyarrow import fs
+
     files, path = filesystem(uri)
-    files.delete_dir_contents(path, missing_dir_ok=True)
-    if str(files.get_file_info(path).type) != "FileType.NotFound":
+    if files.get_file_info(path).type == fs.FileType.Directory:
         files.delete_dir(path)
 
 
