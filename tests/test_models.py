@@ -110,6 +110,7 @@ def test_psi_edges(spark):
     train = side([("flat", 1.0)] * 5 + [("x", float(i)) for i in range(10)] + [("x", None)])
     test = side([("flat", 1.0), ("x", 99.0), ("x", None)])
     got = {(r.column, r.bucket): r for r in drift.compare_buckets(train, test).collect()}
+    assert got == {(r.column, r.bucket): r for r in drift.compare_buckets(train, test, few_groups=False).collect()}
     assert got["flat", "single_value_or_no_bucket"].train_count == 5
     assert got["x", "outside_training_range"].test_count == 1 and got["x", "outside_training_range"].psi_component == 0
     assert got["x", "missing"].train_count == got["x", "missing"].test_count == 1

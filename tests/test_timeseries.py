@@ -120,8 +120,21 @@ def test_bucket_start_floors_before_the_epoch(spark):
 def test_asof_ties_and_nulls(spark):
     base = spark.createDataFrame([(1, 10), (1, 20), (2, 10), (3, 5)], "lift_id int, ts int")
     right = spark.createDataFrame([(1, 10, 1.0), (1, 19, 2.0), (1, 21, 3.0), (2, 11, 4.0)], "lift_id int, ts int, v double")
-    got = {(r.lift_id, r.ts): r.r_v for r in timeseries.asof_align(base, {"r": (right, ["v"])}).collect()}
-    assert got == {(1, 10): 1.0, (1, 20): 2.0, (2, 10): None, (3, 5): None}
+    for chunk in (None, 1, 7, 1000):
+        got = {(r.lift_id, r.ts): r.r_v for r in timeseries.asof_align(base, {"r": (right, ["v"])}, chunk=chunk).collect()}
+        assert got == {(1, 10): 1.0, (1, 20): 2.0, (2, 10): None, (3, 5): None}
+
+
+def test_update_gaps_across_chunks(spark):
+    draw = random.Random(9)
+    rows = [(draw.choice("ab"), draw.randint(0, 400)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "tagname string, s int").selectExpr("tagname", "timestamp_seconds(s) AS timestamp_utc")
+    for tag in "ab":
+        t = sorted(s for k, s in rows if k == tag)
+        gaps = [b - a for a, b in zip(t, t[1:], strict=False) if b > a]
+        for chunk in (1, 50, 10_000):
+            r = next(r for r in timeseries.update_gaps(df, chunk_s=chunk).collect() if r.tagname == tag)
+            assert (r.n_gaps, r.median_gap_s) == (len(gaps), float(np.median(gaps)))
 
 
 @pytest.mark.parametrize(("observed", "flag"), [(95, "excellent"), (94, "good"), (80, "good"), (60, "usable_with_caution"), (59, "poor")])

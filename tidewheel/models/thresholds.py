@@ -13,19 +13,21 @@ def _finite(score: str) -> Column:
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
 
 
-def thresholds(df: DataFrame, score: str, by: Sequence[str] = (), method: str = "iqr", factor: float = 3.0, side: str = "lower") -> DataFrame:
+def thresholds(df: DataFrame, score: str, by: Sequence[str] = (), method: str = "iqr", factor: float = 3.0, side: str = "lower", accuracy: int | None = None) -> DataFrame:
     """by, threshold of the finite scores: quartile -+ factor * IQR, or median -+ factor * 1.4826 *
-    MAD (a MAD of 0: just beyond the extreme), on the lower or upper side."""
+    MAD (a MAD of 0: just beyond the extreme), on the lower or upper side. Percentiles are exact,
+    or approximate with an accuracy, which bounds the memory of a group's aggregate."""
     if method not in ("iqr", "mad") or side not in ("lower", "upper"):
         raise ValueError("method: iqr or mad; side: lower or upper")
     rows, sign = df.filter(_finite(score)), -1 if side == "lower" else 1
+    q = lambda c, p: F.percentile_approx(c, p, accuracy) if accuracy else F.percentile(c, p)
     if method == "iqr":
-        q1, q3 = (F.expr(f"percentile(`{score}`, {p})") for p in (0.25, 0.75))
+        q1, q3 = (q(F.col(score), p) for p in (0.25, 0.75))
         return rows.groupBy(*by).agg(((q1 if side == "lower" else q3) + sign * factor * (q3 - q1)).alias("threshold"))
-    median = rows.groupBy(*by).agg(F.expr(f"percentile(`{score}`, 0.5)").alias("__m"))
-    near = rows.join(median, list(by)) if by else rows.crossJoin(F.broadcast(median))
+    median = rows.groupBy(*by).agg(q(F.col(score), 0.5).alias("__m"))
+    near = rows.join(F.broadcast(median), list(by)) if by else rows.crossJoin(F.broadcast(median))
     extreme = F.min(score) - 1e-9 if side == "lower" else F.max(score) + 1e-9
-    out = near.groupBy(*by).agg(F.first("__m").alias("m"), F.expr(f"percentile(abs(`{score}` - __m), 0.5)").alias("mad"), extreme.alias("extreme"))
+    out = near.groupBy(*by).agg(F.first("__m").alias("m"), q(F.abs(F.col(score) - F.col("__m")), 0.5).alias("mad"), extreme.alias("extreme"))
     value = F.when(F.col("mad") == 0, F.col("extreme")).otherwise(F.col("m") + sign * factor * 1.4826 * F.col("mad"))
     return out.select(*by, value.alias("threshold"))
 
@@ -44,7 +46,7 @@ def predict(score: Column, threshold: Column, active: Column, side: str = "lower
 def training_rows(df: DataFrame, active: str, by: Sequence[str] = (), least: int = 50) -> DataFrame:
     """The active rows of each group of by, or all of its rows if fewer than least are active."""
     counts = df.groupBy(*by).agg(F.count_if(F.col(active).cast("boolean")).alias("__active"))
-    rows = df.join(counts, list(by)) if by else df.crossJoin(F.broadcast(counts))
+    rows = df.join(F.broadcast(counts), list(by)) if by else df.crossJoin(F.broadcast(counts))
     return rows.filter((F.col("__active") < least) | F.col(active).cast("boolean")).drop("__active")
 
 

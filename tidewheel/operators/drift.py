@@ -35,14 +35,22 @@ def bucket_label(number: Column, edges: Column) -> Column:
     return F.when(number.isNull(), "single_value_or_no_bucket").when(number == 0, "missing").when(number == -1, "outside_training_range").otherwise(label)
 
 
-def compare_buckets(train: DataFrame, test: DataFrame, by: str = "column", value: str = "value", grid: Sequence[float] = GRID, accuracy: int | None = None) -> DataFrame:
+def compare_buckets(train: DataFrame, test: DataFrame, by: str = "column", value: str = "value", grid: Sequence[float] = GRID, accuracy: int | None = None, few_groups: bool = True) -> DataFrame:
     """by, bucket, train and test counts and percentages, their difference and psi_component.
 
     train and test are long: by, value. Edges come from train; both sides go through one
     aggregate. Buckets with equal labels are one. The component is 0 if either side is empty.
+    The edges, one short row for each group, are broadcast where groups are few (columns of a
+    table, tags of a configuration); else they are joined, copied for 64 shares of each group's
+    rows, so that a group of any size is spread.
     """
     edges = quantile_edges(train, by, value, grid, accuracy)
-    rows = train.select(by, value, F.lit(0).alias("side")).unionByName(test.select(by, value, F.lit(1).alias("side"))).join(edges, by)
+    rows = train.select(by, value, F.lit(0).alias("side")).unionByName(test.select(by, value, F.lit(1).alias("side")))
+    if few_groups:
+        rows = rows.join(F.broadcast(edges), by)
+    else:
+        shares = F.explode(F.sequence(F.lit(0), F.lit(63)))
+        rows = rows.withColumn("share", F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int")).join(edges.withColumn("share", shares), [by, "share"])
     number = bucket_number(F.col(value), F.col("edges"))
     counts = rows.withColumn("__n", number).groupBy(by, "edges", "__n").agg(
         F.count_if(F.col("side") == 0).alias("train_count"), F.count_if(F.col("side") == 1).alias("test_count")

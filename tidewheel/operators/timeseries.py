@@ -25,10 +25,13 @@ def bucket_start(ts: Column, size: Column | int) -> Column:
 def bucketed(df: DataFrame, groups: Iterable[TagGroup], ts: str = "timestamp_utc", tag: str = "tagname", lift: str = "lift_id") -> DataFrame:
     """Rows of tags that a group has, with group, bucket and the key lift_bucket, in one pass.
 
-    The configuration is a table of fixed size, one row per configured tag, and is broadcast.
+    The configuration is a table of fixed size, one row per configured tag, and is broadcast; its
+    tags are also a filter that reaches the scan.
     """
+    groups = tuple(groups)
     table = F.broadcast(group_table(df.sparkSession, groups)).withColumnRenamed("tagname", "__tag")
-    out = df.join(table, F.col(tag) == F.col("__tag")).drop("__tag")
+    tags = sorted({t for g in groups for t in g.tags})
+    out = df.filter(F.col(tag).isin(*tags)).join(table, F.col(tag) == F.col("__tag")).drop("__tag")
     out = out.withColumn("ts_unix", F.unix_timestamp(ts)).withColumn("bucket_start_unix", bucket_start(F.col(ts), F.col("bucket_size_s")))
     return out.withColumns(
         {"bucket_start_ts": F.timestamp_seconds("bucket_start_unix"), "lift_group_bucket": F.concat_ws("_", F.col(lift).cast("string"), F.col("bucket_start_unix").cast("string"))}
@@ -44,7 +47,7 @@ def unmapped_tags(df: DataFrame, groups: Iterable[TagGroup], tag: str = "tagname
 def group_matrix(rows: DataFrame, group: TagGroup, value: str = "value", tag: str = "tagname") -> DataFrame:
     """lift_id, bucket_start_unix and a column of means for each tag of the group; a row where at
     least one tag reported. The tags are given, so no pass is spent on finding them."""
-    own = rows.filter(F.col("tag_group") == group.name)
+    own = rows.filter((F.col("tag_group") == group.name) & F.col(tag).isin(*group.tags))
     return own.groupBy(*KEY).pivot(tag, list(group.tags)).agg(F.avg(value))
 
 
@@ -136,21 +139,34 @@ def forward_fill(matrix: DataFrame, columns: Sequence[str], lift: str = "lift_id
     return matrix.select(*[F.last(_q(c), ignorenulls=True).over(back).alias(c) if c in columns else _q(c) for c in matrix.columns])
 
 
-def asof_align(base: DataFrame, others: Mapping[str, tuple[DataFrame, Sequence[str]]], by: str = "lift_id", at: str = "ts") -> DataFrame:
+def asof_align(base: DataFrame, others: Mapping[str, tuple[DataFrame, Sequence[str]]], by: str = "lift_id", at: str = "ts", chunk: int | None = None) -> DataFrame:
     """base with, for each other table, its columns as of the last row of the same lift at or before
     the base row's time; nulls where there is none.
 
     All tables go through one union and one window, ordered so that rows of equal time are seen;
-    no join, whatever the number of tables. Each table's columns become name_column.
+    no join, whatever the number of tables. Each table's columns become name_column. With chunk
+    (in the unit of a numeric `at`) a lift is cut into stretches of time that different tasks work
+    on; what a stretch begins with comes from a small table of what the stretches before end with.
     """
     columns = [(name, c) for name, (_, cols) in others.items() for c in cols]
     stacked = base.select(F.lit(1).alias("__side"), *base.columns)
     for name, (df, cols) in others.items():
         own = df.select(F.lit(0).alias("__side"), by, at, F.struct(*[F.col(c) for c in cols]).alias(f"__{name}"))
         stacked = stacked.unionByName(own, allowMissingColumns=True)
-    back = Window.partitionBy(by).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = stacked.select("*", *[F.last(f"__{name}", ignorenulls=True).over(back).alias(f"__l_{name}") for name in others])
-    return seen.filter("__side = 1").select(*base.columns, *[F.col(f"__l_{n}.{c}").alias(f"{n}_{c}") for n, c in columns])
+    keys = [by]
+    if chunk is not None:
+        stacked, keys = stacked.withColumn("__chunk", F.floor(F.col(at) / chunk)), [by, "__chunk"]
+    back = Window.partitionBy(*keys).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = stacked.select("*", *[F.last(f"__{name}", ignorenulls=True).over(back).alias(f"__l_{name}") for name in others]).filter("__side = 1")
+    if chunk is not None:
+        present = [F.col(f"__{n}").isNotNull() for n in others]
+        last = [F.max_by(f"__{n}", F.when(p, F.col(at))).alias(f"__e_{n}") for n, p in zip(others, present, strict=True)]
+        ends = stacked.groupBy(*keys).agg(*last)
+        before = Window.partitionBy(by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*keys, *[F.last(f"__e_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in others])
+        seen = seen.join(carried, keys)
+        seen = seen.withColumns({f"__l_{n}": F.coalesce(f"__l_{n}", f"__c_{n}") for n in others})
+    return seen.select(*base.columns, *[F.col(f"__l_{n}.{c}").alias(f"{n}_{c}") for n, c in columns])
 
 
 def timeline(frames: Iterable[DataFrame], by: str = "lift_id", at: str = "ts") -> DataFrame:
@@ -167,12 +183,24 @@ def base_group(groups: Sequence[TagGroup]) -> TagGroup:
     return min(groups, key=lambda g: g.bucket_s)
 
 
-def update_gaps(df: DataFrame, tag: str = "tagname", ts: str = "timestamp_utc", per_lift: str | None = None) -> DataFrame:
-    """tagname, n_gaps, median_gap_s, p90_gap_s of the positive times between a tag's rows."""
-    w = Window.partitionBy(*[tag, *([per_lift] if per_lift else [])]).orderBy(ts)
-    gap = (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) / 1e6
-    gaps = df.select(tag, gap.alias("gap")).filter("gap > 0")
-    return gaps.groupBy(tag).agg(F.count(F.lit(1)).alias("n_gaps"), F.expr("percentile(gap, 0.5)").alias("median_gap_s"), F.expr("percentile(gap, 0.9)").alias("p90_gap_s"))
+def update_gaps(
+    df: DataFrame, tag: str = "tagname", ts: str = "timestamp_utc", per_lift: str | None = None, chunk_s: int = 86_400, accuracy: int | None = None
+) -> DataFrame:
+    """tagname, n_gaps, median_gap_s, p90_gap_s of the positive times between a tag's rows.
+
+    A tag's rows are worked on in stretches of chunk_s seconds, so that a frequent tag is spread;
+    the gaps between stretches come from their first and last times. Percentiles are exact, or
+    approximate with an accuracy, which bounds the memory of a tag's aggregate.
+    """
+    keys = [tag, *([per_lift] if per_lift else [])]
+    rows = df.select(*keys, F.unix_micros(ts).alias("t")).filter("t IS NOT NULL")
+    rows = rows.withColumn("chunk", F.floor(F.col("t") / F.lit(chunk_s * 1_000_000)))
+    within = rows.select(*keys, (F.col("t") - F.lag("t").over(Window.partitionBy(*keys, "chunk").orderBy("t"))).alias("us"))
+    edges = rows.groupBy(*keys, "chunk").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    between = edges.select(*keys, (F.col("first") - F.lag("last").over(Window.partitionBy(*keys).orderBy("chunk"))).alias("us"))
+    gaps = within.unionByName(between).filter("us > 0").select(tag, (F.col("us") / 1e6).alias("gap"))
+    q = lambda p: F.percentile_approx("gap", p, accuracy) if accuracy else F.expr(f"percentile(gap, {p})")
+    return gaps.groupBy(tag).agg(F.count(F.lit(1)).alias("n_gaps"), q(0.5).alias("median_gap_s"), q(0.9).alias("p90_gap_s"))
 
 
 def null_runs(matrix: DataFrame, columns: Sequence[str], lift: str = "lift_id", order: str = "bucket_start_unix") -> DataFrame:

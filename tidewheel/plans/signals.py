@@ -113,6 +113,15 @@ def i7(spark, sf_dir):
     return rounded(out, ["click", "biz_error", "biz_signup"])
 
 
+@query("i7_asof_in_chunks", """
+SELECT b.lift_id, b.bucket_start_unix AS ts, round(u.click, 6) AS ui_click, round(u.view, 6) AS ui_view
+FROM biz b ASOF LEFT JOIN ui u ON b.lift_id = u.lift_id AND b.bucket_start_unix >= u.bucket_start_unix""")
+def i7_chunks(spark, sf_dir):
+    base = views.matrix(spark, sf_dir).select("lift_id", F.col("bucket_start_unix").alias("ts"))
+    ui = views.matrix(spark, sf_dir, views.UI).withColumnRenamed("bucket_start_unix", "ts")
+    return rounded(timeseries.asof_align(base, {"ui": (ui, views.UI_COLUMNS)}, chunk=5 * 86_400), ["ui_click", "ui_view"])
+
+
 @query("i8_update_gaps", """
 WITH g AS (SELECT tagname, (us - lag(us) OVER (PARTITION BY tagname ORDER BY us)) / 1e6 AS gap FROM sensor)
 SELECT tagname, count(*) AS n_gaps, round(quantile_cont(gap, 0.5), 6) AS median_gap_s, round(quantile_cont(gap, 0.9), 6) AS p90_gap_s FROM g WHERE gap > 0 GROUP BY 1""")
