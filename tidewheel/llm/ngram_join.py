@@ -25,7 +25,6 @@ from .repetition import chunks
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _DOC_BITS = 16
 _CHUNK_BITS = 24
-_SALTS = 16
 
 
 def shingles(text: str | None, n: int = 5) -> np.ndarray:
@@ -169,15 +168,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014), each a join and an
     aggregate over edges, materialised, until nothing changes. Nodes of any degree are spread, as
-    minima are aggregated in part, and the edges of a node are joined in salted shares. Loops and
-    repeats are harmless.
+    minima are aggregated in part and the joins are sort-merge joins, which Spark splits at large
+    nodes. Loops and repeats are harmless.
     """
-    salt = F.pmod(F.xxhash64("v"), F.lit(_SALTS)).cast("int")
-
-    def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-        every = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        return edges.withColumn("salt", salt).join(every, ["u", "salt"]).drop("salt")
-
     edge = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     state = cut(edge)
     mark = None
@@ -190,9 +183,9 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = with_least(large, least)
+        linked = large.join(least.hint("merge"), "u")
         small = linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         state = cut(small.distinct())
 
