@@ -138,8 +138,8 @@ class Mixture:
     source's quota. Output shards are the values of shard, each to be read in order of position.
     """
 
-    def __init__(self, documents: DataFrame, pieces: DataFrame) -> None:
-        self.documents, self.pieces = documents, pieces
+    def __init__(self, documents: DataFrame, pieces: DataFrame, shards: int) -> None:
+        self.documents, self.pieces, self.shards = documents, pieces, shards
 
     def taken(self) -> DataFrame:
         """documents with taken, the words that the mix takes of each, repeats counted."""
@@ -198,7 +198,7 @@ def mix(
         "skey", "start", "doc_id", "row_hash", "copy", "words", "shard",
         F.xxhash64(F.lit(seed + 1), "shard", "row_hash", "start", "copy").alias("position"),
     )
-    return Mixture(documents.drop("quota"), pieces)
+    return Mixture(documents.drop("quota"), pieces, 1 << depth)
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -225,4 +225,4 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if "n_chars" in names:
         chars = F.length(F.col(quoted(text_col))).cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col(part), chars).otherwise(F.col("n_chars")))
-    return out.repartition(F.col(shard)).sortWithinPartitions(shard, position).select(*[F.col(quoted(c)) for c in names])
+    return out.repartitionById(mixture.shards, F.col(shard).cast("int")).sortWithinPartitions(shard, position).select(*[F.col(quoted(c)) for c in names])
