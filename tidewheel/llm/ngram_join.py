@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, lean_batches, quoted, release
+from .common import cut, fresh, lean_batches, quoted, release, tidy
 from .repetition import chunks
 
 #: Odd 64-bit constants that mix the word hashes of a shingle.
@@ -226,6 +226,7 @@ def ngram_classes(
     are all null in a class give a null component_id. An empty table gives no rows.
     """
     every = cut(shingle_sets(docs, id_col, text_col, n, percent, range_bytes, chunk_chars))
+    tidy(docs.sparkSession)
     keys = ["size", "digest"]
     first = every.filter("tokens IS NOT NULL").groupBy(*keys)
     first = cut(first.agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")))
@@ -235,6 +236,7 @@ def ngram_classes(
     sets = sets.select("uid", "size", "weight", (F.col("alone") + own).alias("alone"), F.slice("tokens", own + 1, F.size("tokens")).alias("tokens"))
     sets = cut(sets.filter(100 * F.size("tokens") >= percent * F.col("size")))
 
+    tidy(docs.sparkSession)
     need = F.expr(f"(size * {percent} + 99) div 100")
     prefix = F.slice("tokens", F.lit(1), (F.col("size") - need + 1 - F.col("alone")).cast("int"))
     member = sets.select("uid", "size", "alone", "weight", prefix.alias("prefix"))
@@ -254,6 +256,7 @@ def ngram_classes(
     star = buckets.filter("gid <> pivot").select("pivot", "gid").distinct().join(members, "gid").select(F.col("pivot").alias("a"), F.col("uid").alias("b"))
     inner = members.filter("uid <> gid").select(F.col("gid").alias("a"), F.col("uid").alias("b"))
     compared = cut(_verified(star.unionByName(inner).filter("a <> b").distinct(), sets, percent))
+    tidy(docs.sparkSession)
     links = compared.filter("linked").select("a", "b")
     labels = cut(components(links))
 
