@@ -23,17 +23,19 @@ from .repetition import chunks
 
 #: Odd 64-bit constants that mix the word hashes of a shingle.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
+_UPPER = np.uint64(0xFFFFFFFFFFFFFF00)
 _DOC_BITS = 16
 _CHUNK_BITS = 24
 
 
 def shingles(text: str | None, n: int = 5) -> np.ndarray:
-    """The distinct shingles of n words as sorted 64-bit hashes; of fewer words, all as one."""
+    """The distinct shingles of n words as sorted hashes of 56 bits (in the upper ones of 64); of
+    fewer words, all as one."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     if len(words) < n:
-        return np.array([xxhash.xxh3_64_intdigest(b"\0".join(words), seed=1)], np.uint64)
+        return np.array([xxhash.xxh3_64_intdigest(b"\0".join(words), seed=1)], np.uint64) & _UPPER
     ids = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     last = len(ids) - n + 1
     with np.errstate(over="ignore"):
@@ -41,7 +43,18 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
         for j in range(1, n):
             out = (out ^ (out >> np.uint64(29))) * _MIX[j % 5] + ids[j : j + last] * _MIX[(j - 1) % 5]
         out = (out ^ (out >> np.uint64(32))) * _MIX[4]
-    return np.unique(out ^ (out >> np.uint64(29)))
+    return np.unique((out ^ (out >> np.uint64(29))) & _UPPER)
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    """Seven bytes for each shingle."""
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, 1:]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 7, 8), np.uint8)
+    out[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    return out.view(np.uint64).reshape(-1)
 
 
 def least_overlap(size: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -90,7 +103,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: i
                     by = np.argsort(part_of, kind="stable")
                     found, start = np.unique(part_of[by], return_index=True)
                     ends = [*start[1:], len(by)]
-                    blocks = [(tokens[by[x:y]].tobytes(), owner[by[x:y]].tobytes()) for x, y in zip(start, ends, strict=True)]
+                    blocks = [(_packed(tokens[by[x:y]]), owner[by[x:y]].tobytes()) for x, y in zip(start, ends, strict=True)]
                     if blocks:
                         nothing = pa.nulls(len(blocks))
                         yield pa.RecordBatch.from_arrays(
@@ -104,7 +117,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: i
     def count(table: pa.Table) -> pa.Table:
         heads = table.filter(pc.is_valid(table.column("ids")))
         rest = table.filter(pc.is_null(table.column("ids")))
-        blocks = [np.frombuffer(x, np.uint64) for x in rest.column("a").to_pylist()]
+        blocks = [_unpacked(x) for x in rest.column("a").to_pylist()]
         out = {"chunk": heads.column("chunk").to_pylist(), "a": heads.column("a").to_pylist(), "b": heads.column("b").to_pylist(), "c": [None] * heads.num_rows, "ids": heads.column("ids").to_pylist(), "hashes": heads.column("hashes").to_pylist()}
         if blocks:
             every = np.concatenate(blocks)
@@ -120,7 +133,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: i
                 hit = np.flatnonzero(at < len(shared))
                 hit = hit[shared[at[hit]] == tokens[hit]]
                 if len(hit):
-                    for key, value in (("chunk", chunk), ("a", tokens[hit].tobytes()), ("b", np.frombuffer(owner, np.uint16)[hit].tobytes()), ("c", holders[at[hit]].astype(np.uint32).tobytes()), ("ids", None), ("hashes", None)):
+                    for key, value in (("chunk", chunk), ("a", _packed(tokens[hit])), ("b", np.frombuffer(owner, np.uint16)[hit].tobytes()), ("c", holders[at[hit]].astype(np.uint32).tobytes()), ("ids", None), ("hashes", None)):
                         out[key].append(value)
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), table.schema.field("ids").type, pa.list_(pa.int64())), strict=True)})
 
@@ -130,7 +143,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: i
         sizes = np.frombuffer(head["a"], np.int32).astype(np.int64)
         rest = [r for r in rows if r["ids"] is None]
         join = lambda k, t: np.frombuffer(b"".join(r[k] for r in rest), t)
-        tokens, owner, holders = join("a", np.uint64), join("b", np.uint16), join("c", np.uint32).astype(np.int64)
+        tokens, owner, holders = _unpacked(b"".join(r["a"] for r in rest)), join("b", np.uint16), join("c", np.uint32).astype(np.int64)
         by = np.lexsort((tokens, holders, owner))
         tokens, owner, holders = tokens[by].view(np.int64), owner[by], holders[by]
         ends = np.searchsorted(owner, np.arange(len(sizes)), "right")
@@ -221,7 +234,7 @@ def ngram_classes(
     triangle inequality of the Jaccard distance, through the document of step 2, rules them out.
     No pair above the threshold is lost, and a group of near copies costs a few times its size.
 
-    Shingles are compared as 64-bit hashes, sets by 128-bit digests. Null texts and texts without
+    Shingles are compared as 56-bit hashes, sets by 128-bit digests. Null texts and texts without
     words have size 0 and no links. Null ids and repeated rows are documents of their own; ids that
     are all null in a class give a null component_id. An empty table gives no rows.
     """
