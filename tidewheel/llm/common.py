@@ -94,6 +94,20 @@ def lean_batches(spark: SparkSession, most: int = 2_000) -> None:
         spark.conf.set(key, str(most))
 
 
+#: What this worker keeps between tasks: the operator that keeps it, and how to drop it.
+_KEPT: dict = {}
+
+
+def keep_between_tasks(owner: str, drop) -> None:
+    _KEPT[owner] = drop
+
+
+def make_room(owner: str) -> None:
+    """Drop what other operators keep in this worker."""
+    for name in [k for k in _KEPT if k != owner]:
+        _KEPT.pop(name)()
+
+
 def release() -> None:
     """Give back what Arrow holds in this worker and doesn't use."""
     import pyarrow as pa

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, lean_batches, quoted, release, tidy
+from .common import cut, fresh, lean_batches, make_room, quoted, release, tidy
 from .repetition import chunks
 
 #: Odd 64-bit constants that mix the word hashes of a shingle.
@@ -82,6 +82,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: i
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        make_room("ngram_join")
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in chunks(batch, 1, chunk_chars):

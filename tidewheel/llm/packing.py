@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lean_batches, quoted, release, shared_path
+from .common import cut, keep_between_tasks, lean_batches, quoted, release, shared_path
 from .repetition import chunks
 from .warc import delete_folder
 
@@ -128,6 +128,7 @@ def token_cache(path: str) -> TokenCache:
     """One cache per tokenizer for each worker process."""
     if path not in _CACHES:
         _CACHES[path] = TokenCache(path)
+        keep_between_tasks("packing", _CACHES.clear)
     return _CACHES[path]
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .common import beside, lean_batches, release
+from .common import beside, lean_batches, make_room, release
 
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -171,6 +171,7 @@ def quality_rules(
     schema = StructType([*source.schema.fields[: len(keep)], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("repetition")
         for batch in batches:
             for part in chunks(batch, at, chunk_chars):
                 got = measure(part.column(at).to_pylist(), limits)
