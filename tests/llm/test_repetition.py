@@ -77,6 +77,18 @@ def test_verdicts(spark):
     assert not got[3].kept and got[3].longest_repeat == 70 and not got[4].kept and not got[5].kept and got[5].base_failed
 
 
+def test_registered_limits_bite_below_the_base_rule(spark):
+    draw = random.Random(9)
+    word = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    copies = lambda n: word(50) + (b := word(n)) + word(100) + b + word(150 - 2 * n)
+    run = lambda n: word(100) + word(1) * n + word(200 - n)
+    texts = {1: copies(70), 2: copies(60), 3: run(90), 4: run(60), 5: word(300)}
+    rows = [(i, " ".join(t)) for i, t in texts.items()]
+    got = {r.doc_id: r for r in repetition.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for r in got.values()) and [i for i in got if got[i].kept] == [2, 4, 5]
+    assert (got[1].n_covered_words, got[1].longest_repeat, got[3].n_covered_words, got[3].longest_repeat) == (140, 70, 90, 89)
+
+
 def test_edges(edges, empty):
     wide = edges.withColumns({"n_words": F.lit("mine"), "KEPT": F.lit(1)})
     out = repetition.quality_rules(wide)

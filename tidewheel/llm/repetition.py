@@ -23,14 +23,16 @@ class RepetitionLimits:
     """A text is kept if it passes the base rules and both limits on maximal repeats.
 
     Repeats of min_repeat words or more count. Together they may cover at most max_covered of the
-    words, and the longest may be at most max_longest of the words long.
+    words, and the longest may be at most max_longest of the words long. Both are to bite below the
+    base rule, which rejects what repeats of three words or more cover by over a half: max_covered
+    on disjoint copies, max_longest on runs that repeat in themselves.
     """
 
     min_words: int = 50
     max_repeat_words_percent: int = 50
     min_repeat: int = 10
-    max_covered: float = 0.5
-    max_longest: float = 0.4
+    max_covered: float = 0.45
+    max_longest: float = 0.25
 
 
 def longest_repeats(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
