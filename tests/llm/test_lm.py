@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewheel.llm import lm
+from tidewheel.llm import lm, queries
 from tidewheel.llm.elias_fano import EliasFano, map_arrays, write_arrays
 
 
@@ -101,6 +101,21 @@ def test_scores_match_brute_force(spark, small):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_registered_scores_hold_what_is_seen_once(spark, tmp_path):
+    draw = random.Random(6)
+    vocab = [f"w{i}" for i in range(80)]
+    texts = [" ".join(draw.choices(vocab, k=draw.randint(0, 25))) for _ in range(200)]
+    texts += [texts[0] or "w1 w2 w3", "w1 " * 400] * 4
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op5_lm_scoring(spark, str(tmp_path)).collect()
+    brute = Brute([texts[r.doc_id] for r in rows if not r.held_out], least=1)
+    assert len(rows) == len(texts) and any(c == 1 for c in brute.three.values()) and max(brute.two.values()) > 255
+    for r in rows:
+        n, known, base, full = brute.score(texts[r.doc_id])
+        assert (r.n_tokens, r.n_known) == (n, known) and math.isclose(r.base_score, base, rel_tol=1e-9, abs_tol=1e-12)
+        assert abs(r.score - full) <= 0.03 * n + 1e-9, texts[r.doc_id]
+
+
 def test_edges(spark, edges, empty):
     model = lm.fit(edges)
     rows = lm.score(edges, model, keep=("doc_id",)).collect()

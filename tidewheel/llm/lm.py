@@ -45,7 +45,7 @@ class Settings:
     discount: float = 0.75
     min_count: int = 2
     part_bytes: int = 16 << 20
-    shard_bytes: int = 48 << 20
+    shard_bytes: int = 24 << 20
     chunk_chars: int = 8 << 20
 
 
@@ -218,7 +218,7 @@ class Reader:
             own = np.flatnonzero(shard == s)
             local = nodes[own] - self.pair_base[s]
             successors = self.sequence(f"pairs-{s:05d}", "successor")
-            begin = self.arrays(f"counts-{s:05d}")["begin"][local]
+            begin = self.arrays(f"counts-{s:05d}")["begin"][local].astype(np.int64)
             base = np.where(begin > 0, successors[np.maximum(begin - 1, 0)].astype(np.int64) + 1, 0)
             out[own] = successors[local].astype(np.int64) - base
         return out
@@ -328,6 +328,11 @@ def _sum_blocks(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return _tally(keys, counts)
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as the greatest needs."""
+    return values.astype(np.min_scalar_type(int(values.max())) if len(values) else np.uint8)
+
+
 def _mark() -> str:
     from pyspark import TaskContext
 
@@ -365,7 +370,7 @@ def fit(train: DataFrame, text_col: str = "text", settings: Settings | None = No
 
     Three passes: words, pairs, triples. Each task counts what its texts hold and sends the counts
     to parts by hash; a part adds up and drops what is rarer than min_count; what stays goes to the
-    file of its first word. Pairs and triples are smoothed by interpolated absolute discounting
+    file of its first word (at once, if min_count is 1). Pairs and triples are smoothed by interpolated absolute discounting
     over the level below, down to words, smoothed by adding one half. The driver sees one row of
     figures for each file. An empty table gives a model without words.
     """
@@ -404,7 +409,7 @@ def fit(train: DataFrame, text_col: str = "text", settings: Settings | None = No
     if model.words >= 1 << 32:
         raise ValueError("more words than 32-bit ids can tell apart")
     pair_shard = lambda keys, m=model: Reader.of(m).shard_of((keys >> U64(32)).astype(np.int64))
-    pairs = _kept(_counted(texts, settings, pairs_of, lambda k: _range_of(_mixed(k), parts)), settings, pair_shard)
+    pairs = _filed(texts, settings, pairs_of, parts, pair_shard)
     build = _pair_builder(model)
     rows = {r["file"]: r for r in _by_file(pairs, spark, shards).applyInArrow(build, "file long, n long").collect()}
     model = LanguageModel(folder, model.parts, tuple(rows[s]["n"] for s in range(shards)), model.train_tokens, settings)
@@ -428,22 +433,28 @@ def fit(train: DataFrame, text_col: str = "text", settings: Settings | None = No
         return (at[third - 1] << _RANK_BITS | ranks[third]).astype(U64)
 
     triple_shard = lambda keys, m=model: np.searchsorted(Reader.of(m).pair_base, (keys >> U64(_RANK_BITS)).astype(np.int64), "right") - 1
-    triples = _kept(_counted(texts, settings, triples_of, lambda k: _range_of(_mixed(k), parts)), settings, triple_shard)
+    triples = _filed(texts, settings, triples_of, parts, triple_shard)
     _by_file(triples, spark, shards).applyInArrow(_triple_builder(model), "file long, n long").collect()
     return model
 
 
+def _filed(texts: DataFrame, settings: Settings, keys_of, parts: int, shard_of) -> DataFrame:
+    """BLOCKs by file. Where nothing is too rare, they go there straight, and are added up there."""
+    if settings.min_count <= 1:
+        return _counted(texts, settings, keys_of, shard_of)
+    return _kept(_counted(texts, settings, keys_of, lambda k: _range_of(_mixed(k), parts)), settings, shard_of)
+
+
 def _kept(blocks: DataFrame, settings: Settings, shard_of) -> DataFrame:
-    """part (now the file), keys, counts (64 bits) of what is frequent enough."""
+    """BLOCKs of what is frequent enough; part is now the file."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, counts = _sum_blocks(table)
         keep = counts >= settings.min_count
         keys, counts = keys[keep], counts[keep]
-        shard = shard_of(keys)
-        found = np.unique(shard)
-        rows = [(int(s), keys[shard == s].tobytes(), counts[shard == s].tobytes()) for s in found]
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+        out = _blocks(keys, counts, shard_of(keys))
+        schema = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+        return pa.Table.from_batches([] if out is None else [out], schema)
 
     return blocks.groupBy("part").applyInArrow(run, BLOCK)
 
@@ -454,13 +465,6 @@ def _by_file(rows: DataFrame, spark: SparkSession, files: int):
     return rows.unionByName(empty).groupBy("part")
 
 
-def _file_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), U64)
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int64)
-    by = np.argsort(keys, kind="stable")
-    return keys[by], counts[by]
-
-
 def _level(parents: np.ndarray, values: np.ndarray, n_parents: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Pointers and successors of a level, rows in order; and where each row's parent begins."""
     pointer = np.concatenate([[0], np.cumsum(np.bincount(parents, minlength=n_parents))])
@@ -476,7 +480,7 @@ def _level(parents: np.ndarray, values: np.ndarray, n_parents: int) -> tuple[dic
 def _pair_builder(model: LanguageModel):
     def build(key: tuple, table: pa.Table) -> pa.Table:
         shard, reader, discount = key[0].as_py(), Reader.of(model), model.settings.discount
-        keys, counts = _file_rows(table)
+        keys, counts = _sum_blocks(table)
         first_id = reader.first_word(shard)
         n = reader.first_word(shard + 1) - first_id
         first, second = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
@@ -492,7 +496,7 @@ def _pair_builder(model: LanguageModel):
             level | {"probability": code(np.log10(own + weight[local] * below)), "backoff": code(np.log10(weight))},
             _mark(),
         )
-        write_arrays(f"{model.folder}/counts-{shard:05d}", {"count": counts, "begin": begin}, _mark())
+        write_arrays(f"{model.folder}/counts-{shard:05d}", {"count": _narrow(counts), "begin": _narrow(begin)}, _mark())
         return pa.table({"file": [shard], "n": [len(keys)]})
 
     return build
@@ -501,7 +505,7 @@ def _pair_builder(model: LanguageModel):
 def _triple_builder(model: LanguageModel):
     def build(key: tuple, table: pa.Table) -> pa.Table:
         shard, reader, discount = key[0].as_py(), Reader.of(model), model.settings.discount
-        keys, counts = _file_rows(table)
+        keys, counts = _sum_blocks(table)
         node, rank = (keys >> U64(_RANK_BITS)).astype(np.int64), (keys & U64((1 << _RANK_BITS) - 1)).astype(np.int64)
         n = model.pairs[shard]
         local = node - reader.pair_base[shard]

@@ -93,7 +93,7 @@ def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)
-    model = lm.fit(docs.filter(~F.coalesce("held_out", F.lit(False))))
+    model = lm.fit(docs.filter(~F.coalesce("held_out", F.lit(False))), settings=lm.Settings(min_count=1))
     try:
         scored = cut(lm.score(docs, model, keep=("doc_id", "held_out")))
     finally:
