@@ -61,6 +61,16 @@ def test_every_sentence_is_found(spark):
     assert [got[i][0] for i in range(len(texts))] == [[v] for v in licenses.SENTENCES.values()]
 
 
+def test_wrapped_and_quoted_sentences_are_found(spark):
+    wrapped = [f"# {s[0].upper()}{s[1:]}.".replace(" ", "\n# ") for s in licenses.SENTENCES]
+    got = scan(spark, [*wrapped, "All rights\nreserved.", "# Own work. All rights\n# reserved.", "All \"rights\" re'served.", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'])
+    n = len(wrapped)
+    assert [got[i][0] for i in range(n)] == [[v] for v in licenses.SENTENCES.values()]
+    assert all(got[i] == (["AllRights"], ["LicenseRef-all-rights-reserved"]) for i in range(n, n + 3)) and got[n + 3][0] == ["MITAsIs"]
+    with pytest.raises(ValueError):
+        licenses.license_scan(spark.createDataFrame([], "doc_id long, text string"), hints=(*licenses.HINTS, "public domain"))
+
+
 def test_edges(spark, edges, empty):
     rows = licenses.license_scan(edges.withColumns({"licences": F.lit(1), "sentence_ids": F.lit(2)})).collect()
     assert len(rows) == edges.count() and all(r.licences == [] == r.sentence_ids for r in rows)

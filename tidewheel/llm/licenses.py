@@ -88,8 +88,9 @@ RULES: tuple[LicenceRule, ...] = (
     LicenceRule("LicenseRef-all-rights-reserved", ("AllRights",)),
 )
 
-#: Each known sentence holds one of these. Pass others with other sentences.
-HINTS = ("licen[sc]e", "permission", "redistribution", "rights reserved", "cc by", "without any warranty", "free software", "public license", "provided as is", "public domain")
+#: Each known sentence holds one of these, which lie within a word, so that no line
+#: break or comment mark can part them. Pass others with other sentences.
+HINTS = ("licen[sc]e", "permission", "redistribution", "reserved", "warrant", "unencumbered")
 
 #: A sentence ends at . ! or ? before white space, but not at "v." for version, and at an empty line.
 SENTENCE_END = r"(?<=[.!?])(?<![\x20(][vV]\.)[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"
@@ -129,6 +130,8 @@ def license_scan(
     known = known or SENTENCES
     if wrong := [x for x in known if not any(re.search(h, x) for h in hints)]:
         raise ValueError(f"no hint for the sentences {wrong}")
+    if wrong := [h for h in hints if re.search(r"\s", h)]:
+        raise ValueError(f"hints of more than a word: {wrong}")
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     source = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     def identify(sentence: Column) -> Column:
@@ -137,7 +140,7 @@ def license_scan(
         return F.when(whole.isNotNull(), F.array(whole)).otherwise(lines)
 
     # no text without one of these words holds a known sentence; most texts are done here
-    hint = F.lower("text").rlike("|".join(hints))
+    hint = F.translate(F.lower("text"), _QUOTES, "").rlike("|".join(hints))
     looked = F.filter(F.flatten(F.transform(sentences(F.col("text")), identify)), lambda x: x.isNotNull())
     found = source.select("doc_id", F.when(hint, looked).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
     left = F.array_join(F.transform("sentence_ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
