@@ -6,6 +6,8 @@ import os
 import duckdb
 import pytest
 
+from tidewheel.config import META_SEQUENCE
+from tidewheel.models import sequence
 from tidewheel.plans import catalog
 
 DATA = os.environ.get("TIDEWHEEL_TEST_DATA", "/root/testdata/sf0.001")
@@ -46,3 +48,12 @@ def test_query_without_sql_is_stable(spark, name):
     run = lambda: sorted(map(repr, catalog.queries()[name](spark, DATA).collect()))
     first = run()
     assert first and first == run()
+
+
+def test_meta_model_is_the_autoencoder(spark, monkeypatch):
+    shapes, fit = [], sequence.Autoencoder.fit
+    monkeypatch.setattr(sequence.Autoencoder, "fit", lambda self, x, **more: shapes.append(x.shape) or fit(self, x, **more))
+    rows = catalog.queries()["k15_sequence_meta_model"](spark, DATA).collect()
+    per_lift = catalog.queries()["k12_meta_features"](spark, DATA).groupBy("lift_id").count().collect()
+    assert len(rows) == sum(max(0, r["count"] - META_SEQUENCE + 1) for r in per_lift) > 0
+    assert [x[1:] for x in shapes] == [(META_SEQUENCE, 4)] and shapes[0][0] == len(rows)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import META_SEQUENCE
 from ..models import forest, scaling, sequence, stack, thresholds
 from ..operators import features, report, timeseries
 from ..sources import driver
@@ -182,11 +183,12 @@ def k15(spark, sf_dir):
     columns = stack.meta_columns(["ui", "biz"])
     m = meta(spark, sf_dir)
     m = scaling.apply_scaler(m.withColumns({c: F.col(c).cast("double") for c in columns}), scaling.fit_scaler(m, columns), columns)
-    s = timeseries.sequences(m, columns, 3)
-    model = sequence.reconstruction(sequence.training_sample(s, ["lift_id", "ts"], 2_000))
+    s = timeseries.sequences(m.withColumn("on", (F.col("n_active_groups") > 0).cast("int")), columns, META_SEQUENCE, "on")
+    train = thresholds.training_rows(s, "active")
+    model = sequence.Autoencoder.start(len(columns)).fit(sequence.training_sample(train, ["lift_id", "ts"]))
     errors = sequence.errors(s, model)
-    limit = thresholds.thresholds(errors, "error", side="upper")
-    return errors.crossJoin(F.broadcast(limit)).select("lift_id", "ts", F.round("error", 6).alias("error"), thresholds.predict(F.col("error"), F.col("threshold"), F.lit(True), "upper").alias("pred"))
+    limit = thresholds.thresholds(thresholds.training_rows(errors, "active", least=1), "error", side="upper")
+    return errors.crossJoin(F.broadcast(limit)).select("lift_id", "ts", F.round("error", 6).alias("error"), thresholds.predict(F.col("error"), F.col("threshold"), F.col("active"), "upper").alias("pred"))
 
 
 SUMMARY = """summary AS (SELECT lift_id, count(*) AS total_samples, count(*) FILTER (pred = -1) AS anomalies, min(score) AS worst_score, round(avg(score), 9) AS mean_score, round(avg(active), 6) AS active_groups_mean,
