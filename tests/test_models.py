@@ -98,6 +98,15 @@ def test_lstm_gradient_and_learning():
     assert np.allclose(again.predict(waves[:3]), fitted.predict(waves[:3]))
 
 
+def test_linear_reconstruction_takes_all_sequences(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 3, 2)) * [[1, 5], [2, 1], [1, 3]] + 4
+    x[7] += 1000
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "lift_id long, steps array<array<double>>").repartition(5)
+    whole, got = sequence.reconstruction(x), sequence.reconstruction_of(df)
+    assert np.allclose(got.mean, whole.mean) and np.allclose(got.predict(x[:50]), whole.predict(x[:50]))
+
+
 def test_average_linkage():
     d = np.array([[0, 0.1, 0.9, 0.8], [0.1, 0, 0.7, 0.9], [0.9, 0.7, 0, 0.2], [0.8, 0.9, 0.2, 0]])
     assert coactivity.average_linkage(d, 0.5) == [0, 0, 2, 2]

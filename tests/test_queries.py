@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from tidewheel.config import META_SEQUENCE
-from tidewheel.models import sequence
+from tidewheel.models import forest, sequence
 from tidewheel.plans import catalog
 
 DATA = os.environ.get("TIDEWHEEL_TEST_DATA", "/root/testdata/sf0.001")
@@ -57,3 +57,27 @@ def test_meta_model_is_the_autoencoder(spark, monkeypatch):
     per_lift = catalog.queries()["k12_meta_features"](spark, DATA).groupBy("lift_id").count().collect()
     assert len(rows) == sum(max(0, r["count"] - META_SEQUENCE + 1) for r in per_lift) > 0
     assert [x[1:] for x in shapes] == [(META_SEQUENCE, 4)] and shapes[0][0] == len(rows)
+
+
+def test_sequence_models_train_on_production_settings(spark, monkeypatch):
+    seen, fit = [], sequence.Autoencoder.fit
+    monkeypatch.setattr(sequence.Autoencoder, "fit", lambda self, x, **more: seen.append((len(x), more)) or fit(self, x, **more))
+    rows = catalog.queries()["k13_lstm_autoencoder"](spark, DATA).collect()
+    active = sum(r["active"] or 0 for r in rows)
+    assert seen == [(active if active >= 50 else len(rows), {})]
+    monkeypatch.setattr(sequence, "training_sample", None)
+    assert catalog.queries()["k14_linear_baseline"](spark, DATA).count() == len(rows)
+
+
+def test_forests_grow_production_trees(spark, monkeypatch):
+    seen = []
+
+    def fit(df, columns, key, trees=300, *args, **more):
+        seen.append(trees)
+        raise LookupError
+
+    monkeypatch.setattr(forest, "fit", fit)
+    for name in ("k3_isolation_forest", "k12_specialists_end_to_end", "k12_stacked_model"):
+        with pytest.raises(LookupError):
+            catalog.queries()[name](spark, DATA)
+    assert seen == [300, 300, 400]

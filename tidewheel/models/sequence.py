@@ -168,6 +168,39 @@ def reconstruction(x: np.ndarray, components: int = 4) -> Linear:
     return Linear(mean, np.linalg.svd(flat - mean, full_matrices=False)[2][:components])
 
 
+def reconstruction_of(sequences: DataFrame, components: int = 4) -> Linear:
+    """reconstruction() of all sequences: each task sends its number of rows, their mean and the
+    products of what they differ from it by; the driver adds these up."""
+    at = sequences.columns.index("steps")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                flat = np.array(batch.column(at).to_pylist(), float).reshape(batch.num_rows, -1)
+                mean = flat.mean(0)
+                own = len(flat), mean, (flat - mean).T @ (flat - mean)
+                total = own if total is None else _joined(total, own)
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"n": [total[0]], "mean": [total[1].tolist()], "products": [total[2].ravel().tolist()]})
+
+    rows = sequences.mapInArrow(run, "n long, mean array<double>, products array<double>").collect()
+    if not rows:
+        raise ValueError("no sequences")
+    total = None
+    for r in rows:
+        mean = np.array(r["mean"])
+        own = r["n"], mean, np.array(r["products"]).reshape(len(mean), -1)
+        total = own if total is None else _joined(total, own)
+    return Linear(total[1], np.linalg.eigh(total[2])[1].T[::-1][:components])
+
+
+def _joined(a: tuple, b: tuple) -> tuple:
+    """Rows, mean and products of the rows of both."""
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
+
+
 def training_sample(sequences: DataFrame, key: list[str], most: int = 20_000, seed: int = 42) -> np.ndarray:
     """At most `most` sequences, those with the smallest seeded hashes of their key, on the driver."""
     rows = hash_sample(sequences, most, *key, seed=seed).select("steps").collect()

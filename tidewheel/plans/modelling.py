@@ -39,7 +39,7 @@ def k2(spark, sf_dir):
 @query("k3_isolation_forest")
 def k3(spark, sf_dir):
     s = scaled(spark, sf_dir)
-    model = forest.collect(forest.fit(s, views.BIZ_COLUMNS, ["lift_id", "bucket_start_unix"], trees=50))
+    model = forest.collect(forest.fit(s, views.BIZ_COLUMNS, ["lift_id", "bucket_start_unix"], trees=300))
     return forest.score(s, model, views.BIZ_COLUMNS).select("lift_id", "bucket_start_unix", F.round("score", 9).alias("score"))
 
 
@@ -74,7 +74,7 @@ def k5(spark, sf_dir):
 
 def tag_scores(spark, sf_dir):
     f = features.features(driver.sensor_log(spark, sf_dir), min_samples=8)
-    return forest.fit_score_by_tag(f, features.FEATURES, trees=30, least=10)
+    return forest.fit_score_by_tag(f, features.FEATURES, trees=200, least=10)
 
 
 @query("k6_forest_per_tag")
@@ -147,15 +147,15 @@ def k12_rows(spark, sf_dir):
 
 @query("k12_stacked_model")
 def k12_model(spark, sf_dir):
-    out, _ = stack.meta_model(meta(spark, sf_dir), ["ui", "biz"], trees=50)
+    out, _ = stack.meta_model(meta(spark, sf_dir), ["ui", "biz"])
     return report.ranked_summary(out, driver.lift_types(spark, sf_dir))
 
 
 @query("k12_specialists_end_to_end")
 def k12_specialists(spark, sf_dir):
     groups = {"biz": (views.BIZ, filled(spark, sf_dir)), "ui": (views.UI, views.matrix(spark, sf_dir, views.UI))}
-    scores = {n: stack.specialist(m, g, trees=40)[0] for n, (g, m) in groups.items()}
-    out, _ = stack.meta_model(stack.stacked(scores["ui"], scores), list(scores), trees=40)
+    scores = {n: stack.specialist(m, g)[0] for n, (g, m) in groups.items()}
+    out, _ = stack.meta_model(stack.stacked(scores["ui"], scores), list(scores))
     return report.lift_summary(out)
 
 
@@ -167,14 +167,15 @@ def model_sequences(spark, sf_dir):
 @query("k13_lstm_autoencoder")
 def k13(spark, sf_dir):
     s = model_sequences(spark, sf_dir)
-    model = sequence.Autoencoder.start(3).fit(sequence.training_sample(s, ["lift_id", "ts"], 500), epochs=3)
+    train = thresholds.training_rows(s, "active")
+    model = sequence.Autoencoder.start(3).fit(sequence.training_sample(train, ["lift_id", "ts"]))
     return sequence.errors(s, model).select("lift_id", "ts", "active", F.round("error", 6).alias("error"))
 
 
 @query("k14_linear_baseline")
 def k14(spark, sf_dir):
     s = model_sequences(spark, sf_dir)
-    model = sequence.reconstruction(sequence.training_sample(s, ["lift_id", "ts"], 2_000))
+    model = sequence.reconstruction_of(s)
     return sequence.errors(s, model).select("lift_id", "ts", F.round("error", 6).alias("error"), F.transform("error_by_feature", lambda x: F.round(x, 6)).alias("error_by_feature"))
 
 
