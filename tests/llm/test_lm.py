@@ -5,7 +5,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -30,7 +29,8 @@ def test_elias_fano(values, shift):
 def test_long_runs_and_files(tmp_path):
     v = np.sort(np.concatenate([np.arange(50_000), np.full(1000, 60_000), 10**12 + np.arange(0, 10**9, 10**6)])).astype(np.uint64)
     write_arrays(f"file://{tmp_path}/x/a", EliasFano.of(v).arrays("v") | {"none": np.zeros(0, np.int64), "n": np.arange(5)}, "m")
-    arrays = map_arrays(f"file://{tmp_path}/x/a")
+    arrays, size, mapped = map_arrays(f"file://{tmp_path}/x/a")
+    assert mapped and size > 0
     e = EliasFano.read(arrays, "v")
     assert (e[np.arange(len(v))] == v).all() and arrays["n"].tolist() == [0, 1, 2, 3, 4] and len(arrays["none"]) == 0
     assert e.find(v[::977]).tolist() == np.searchsorted(v, v[::977]).tolist()
@@ -42,7 +42,8 @@ def test_words_of_texts():
         texts = [None if draw.random() < 0.1 else "".join(draw.choice("aAbéÉ \n\t\x0b,") for _ in range(draw.randint(0, 12))) for _ in range(draw.randint(1, 6))]
         got, words = lm.Text(pa.array(texts, pa.string())), [(t or "").encode().lower().split() for t in texts]
         assert got.sizes.tolist() == [len(w) + 1 for w in words]
-        assert got.hashes[got.tokens].tolist() == [h for w in words for h in [*map(xxhash.xxh3_64_intdigest, w), lm.END]]
+        code = lambda w: int(lm.hash_words(pa.array([w.decode()]))[0])
+        assert got.hashes[got.tokens].tolist() == [h for w in words for h in [*map(code, w), lm.END]]
 
 
 class Brute:
@@ -81,15 +82,35 @@ class Brute:
         return len(t), sum(self.one[w] > 0 for w in t), sum(math.log10(self.p1(w)) for w in t), sum(map(math.log10, p))
 
 
-@pytest.mark.parametrize("small", [lm.Settings(), lm.Settings(part_bytes=3_000, shard_bytes=2_000, chunk_chars=1_500)])
-def test_scores_match_brute_force(spark, small):
+def test_hashes_tell_words_apart():
+    words = list({"x" * k + str(j) * m for k in range(60) for j in range(10) for m in (0, 1, 2)} | {"é" * k for k in range(1100)} | {"y" * 5000 + c for c in "ab"})
+    hashes = lm.hash_words(pa.array(["skipped", *words]).slice(1))
+    assert len(set(hashes.tolist())) == len(words)
+    assert hashes.tolist() == [int(lm.hash_words(pa.array([w]))[0]) for w in words]
+    assert len(lm.hash_words(pa.array([], pa.string()))) == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=100))
+def test_packed_keys(values):
+    v = np.sort(np.array(values, np.uint64))
+    assert lm.unpack_ascending(lm.pack_ascending(v)).tolist() == v.tolist()
+
+
+SMALL = {"part_bytes": 3_000, "shard_bytes": 400, "chunk_chars": 1_500}
+
+
+@pytest.mark.parametrize(("least", "small"), [(1, {}), (1, SMALL), (2, SMALL), (1, SMALL | {"most_mapped": 1})])
+def test_scores_match_brute_force(spark, least, small):
+    small = lm.Settings(min_count=least, **small)
     draw = random.Random(5)
     vocab = [f"w{i}" for i in range(60)]
     sentence = [draw.choices(vocab, k=8) for _ in range(12)]
     texts = [" ".join(w if draw.random() < 0.8 else w.upper() for s in draw.choices(sentence, k=draw.randint(0, 6)) for w in s + draw.choices(vocab, k=draw.randint(0, 2))) for _ in range(220)]
+    texts = [t.replace("w1", "the the") + " the" * (i % 3) for i, t in enumerate(texts)]  # a word and a pair over several files
     train, asked = texts[:180], [*texts[180:], None, "", "unseen words only", "w1 unseen w2 w3", texts[0]]
     df = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
-    model, brute = lm.fit(df(train), settings=small), Brute(train)
+    model, brute = lm.fit(df(train), settings=small), Brute(train, least=least)
     assert (model.train_tokens, model.words) == (brute.n, brute.v)
     rows = lm.score(df(asked).withColumn("score", F.lit("mine")), model).collect()
     model.delete()

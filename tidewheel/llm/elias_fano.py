@@ -137,16 +137,19 @@ def write_arrays(uri: str, arrays: dict[str, np.ndarray], mark: str) -> None:
     files.move(draft, path)
 
 
-def map_arrays(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, mapped into memory where the file system is local, else read."""
+def map_arrays(uri: str) -> tuple[dict[str, np.ndarray], int, bool]:
+    """The arrays of a file, its size, and whether it is mapped into memory (where the file system is
+    local) and not read."""
     from pyarrow import fs
 
     files, path = filesystem(uri)
-    if isinstance(files, fs.LocalFileSystem):
+    mapped = isinstance(files, fs.LocalFileSystem)
+    if mapped:
         files = fs.LocalFileSystem(use_mmap=True)
     with files.open_input_file(path) as stream:
         raw = stream.read_buffer()
     size = int.from_bytes(raw[:8].to_pybytes(), "little")
     head = json.loads(raw[8 : 8 + size].to_pybytes())
     base = 8 + size
-    return {name: np.frombuffer(raw, np.dtype(kind), n, base + at) if n else np.zeros(0, np.dtype(kind)) for name, (kind, n, at) in head.items()}
+    arrays = {name: np.frombuffer(raw, np.dtype(kind), n, base + at) if n else np.zeros(0, np.dtype(kind)) for name, (kind, n, at) in head.items()}
+    return arrays, len(raw), mapped

@@ -1,17 +1,21 @@
 """Language-model scoring with an n-gram trie in Elias-Fano form.
 
-Levels: words (hashes; a word's id is its rank), word pairs, word triples. Each level is split into
-files by ranges of the first word's id. A level holds, for each node of the level above, where its
-successors begin (a monotone sequence), the successors (made monotone by adding what came before),
-and a byte each for the smoothed probability and, but for the last level, the weight of backing
-off. In the third level a word isn't stored by id, but by its rank among the successors of the
-word before it, which the second level finds first. Files are mapped, not loaded.
+Levels: words (hashes; a word's id is its rank), word pairs, word triples. A level holds, for each
+node of the level above, where its successors begin (a monotone sequence), the successors (made
+monotone by adding what came before), and a byte each for the smoothed probability and, for nodes
+with successors, the weight of backing off. In the third level a word isn't stored by id, but by its
+rank among the successors of the word before it, which the second level finds first.
+
+Each level is cut into files of about the same number of tokens, anywhere in the order of its keys:
+the successors of a frequent word or pair are spread over as many files as they need. Files are
+mapped, not loaded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +30,51 @@ from .elias_fano import U64, EliasFano, map_arrays, write_arrays
 from .repetition import chunks
 from .warc import delete_folder
 
-#: A word can't hold a space, so this hash is the end's alone.
-END = xxhash.xxh3_64_intdigest(b" ")
 #: Codes: a byte is log10 in steps of 1 / SCALE, from 0 down.
 SCALE = 25.0
-_RANK_BITS = 26
+#: Bits of the second half of a level's keys: a word's id, a rank among successors.
+BITS = {"pairs": 32, "triples": 26}
+#: Odd 64-bit constants that mix the bytes of a word.
+_MIX = [U64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+_LONG = 1024
+
+
+def hash_words(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of an array of strings without nulls: eight bytes of all words at a time. Words
+    of over _LONG bytes are digested one by one."""
+    n = len(words)
+    _, offsets, data = words.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[words.offset : words.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    size = np.diff(bounds)
+    raw = np.zeros(int(bounds[-1] - bounds[0]) + 8, np.uint8)
+    if n and len(raw) > 8:
+        raw[:-8] = np.frombuffer(data, np.uint8, len(raw) - 8, int(bounds[0]))
+    at_byte = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    by = np.argsort(-size, kind="stable")
+    begin, left = (bounds[:-1] - bounds[0])[by], size[by]
+    state = left.astype(U64) * _MIX[0] + U64(1)
+    first, last, done = int(np.searchsorted(-left, -_LONG, "left")), n, 0
+    with np.errstate(over="ignore"):
+        while (last := int(np.searchsorted(-left[:last], -done, "left"))) > first:
+            some = slice(first, last)
+            block, rest = at_byte[begin[some] + done], left[some] - done
+            short = rest < 8
+            block = np.where(short, block & ((U64(1) << np.where(short, 8 * rest, 0).astype(U64)) - U64(1)), block)
+            x = (state[some] ^ block) * _MIX[1]
+            x ^= x >> U64(32)
+            state[some] = x * _MIX[2] ^ (x >> U64(29))
+            done += 8
+        state[:first] = [xxhash.xxh3_64_intdigest(raw[x : x + k].data) for x, k in zip(begin[:first].tolist(), left[:first].tolist(), strict=True)]
+        state ^= state >> U64(31)
+        state *= _MIX[3]
+        state ^= state >> U64(32)
+    out = np.empty(n, U64)
+    out[by] = state
+    return out
+
+
+#: A word can't hold a space, so this hash is the end's alone.
+END = int(hash_words(pa.array([" "]))[0])
 
 
 def code(log10: np.ndarray) -> np.ndarray:
@@ -40,29 +84,30 @@ def code(log10: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class Settings:
     """discount is taken off each pair's and triple's count; those seen less often than min_count
-    are left to the level below, and their share with them."""
+    (1: none) are left to the level below, and their share with them. A file of a level holds what
+    about shard_bytes of text have; a worker maps, or holds, at most most_mapped or most_held bytes."""
 
     discount: float = 0.75
-    min_count: int = 2
+    min_count: int = 1
     part_bytes: int = 16 << 20
     shard_bytes: int = 24 << 20
     chunk_chars: int = 8 << 20
+    most_mapped: int = 64 << 30
+    most_held: int = 256 << 20
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Where a model's files are, and its figures: one pair of numbers for each file."""
+    """Where a model's files are, and its figures. What grows with the model is in its directory, a
+    file: a new one (stage) as each level gets ready."""
 
     folder: str
-    parts: tuple[int, ...]
-    pairs: tuple[int, ...]
+    shards: int
+    stage: int
+    words: int
     train_tokens: int
     settings: Settings
 
-    @property
-    def words(self) -> int:
-        return sum(self.parts)
-
     def delete(self) -> None:
         delete_folder(self.folder)
 
@@ -74,8 +119,8 @@ def _range_of(values: np.ndarray, ranges: int) -> np.ndarray:
 
 def _mixed(values: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = values * U64(0x9E3779B97F4A7C15)
-        return (x ^ (x >> U64(29))) * U64(0xBF58476D1CE4E5B9)
+        x = values * _MIX[0]
+        return (x ^ (x >> U64(29))) * _MIX[1]
 
 
 def _tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -94,84 +139,127 @@ class Text:
     """Texts as one array of local word numbers, each text closed by the end, which is number 0."""
 
     def __init__(self, texts: pa.Array) -> None:
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.string())))
+        plain = pc.ascii_lower(pc.ascii_trim_whitespace(pc.fill_null(texts, "").cast(pa.string())))
+        lists = pc.ascii_split_whitespace(plain)
         words = lists.flatten().dictionary_encode()
-        known = words.dictionary.to_pylist()
-        self.hashes = np.fromiter((END, *map(xxhash.xxh3_64_intdigest, known)), U64, len(known) + 1)
+        self.hashes = np.append(U64(END), hash_words(words.dictionary))
         local = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        if "" in known:  # what stands before leading and after trailing white space
-            real = local != known.index("") + 1
-            sizes = np.add.reduceat(np.append(real, 0), np.append(np.cumsum(sizes) - sizes, len(real)))[: len(sizes)] * (sizes > 0)
-            local = local[real]
-        self.tokens = np.insert(local, np.cumsum(sizes), 0)
+        none = pc.equal(pc.binary_length(plain), 0).to_numpy(zero_copy_only=False)
+        if none.any():  # such a text is split into one empty word
+            local = np.delete(local, (np.cumsum(sizes) - sizes)[none])
+            sizes[none] = 0
         self.sizes = sizes + 1
+        self.tokens = np.zeros(len(local) + len(sizes), np.int64)
+        real = np.ones(len(self.tokens), bool)
+        real[np.cumsum(self.sizes) - 1] = False
+        self.tokens[real] = local
         self.text = np.repeat(np.arange(len(sizes)), self.sizes)
 
 
 class Reader:
-    """A model's files as this worker process has mapped them."""
+    """A model's files as this worker process has mapped them, the least recently used ones closed."""
 
-    _open: dict[str, Reader] = {}
+    _open: dict[tuple, Reader] = {}
 
     def __init__(self, model: LanguageModel) -> None:
         self.model = model
-        self.files: dict[str, dict[str, np.ndarray]] = {}
-        self.sequences: dict[tuple[str, str], EliasFano] = {}
-        self.part_base = np.concatenate([[0], np.cumsum(model.parts)])
-        self.pair_base = np.concatenate([[0], np.cumsum(model.pairs)])
-        self.shards = len(model.pairs)
+        self.files: OrderedDict[str, tuple[dict[str, np.ndarray], int, bool]] = OrderedDict()
+        self.sequences: dict[str, dict[str, EliasFano]] = {}
+        self.held = {True: 0, False: 0}
+        self.most = {True: model.settings.most_mapped, False: model.settings.most_held}
+        self.directory = map_arrays(f"{model.folder}/directory-{model.stage}")[0]
 
     @classmethod
     def of(cls, model: LanguageModel) -> Reader:
         """One reader for each worker; another model's is closed."""
-        key = repr(model)
+        key = (model.folder, model.stage)
         if key not in cls._open:
             cls._open.clear()
             cls._open[key] = cls(model)
         return cls._open[key]
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
-        if name not in self.files:
-            self.files[name] = map_arrays(f"{self.model.folder}/{name}")
-        return self.files[name]
+        if name in self.files:
+            self.files.move_to_end(name)
+            return self.files[name][0]
+        arrays, size, mapped = map_arrays(f"{self.model.folder}/{name}")
+        self.held[mapped] += size
+        while self.held[mapped] > self.most[mapped] and (old := next((k for k, v in self.files.items() if v[2] == mapped), None)):
+            self.held[mapped] -= self.files.pop(old)[1]
+            self.sequences.pop(old, None)
+        self.files[name] = arrays, size, mapped
+        return arrays
 
     def sequence(self, name: str, part: str) -> EliasFano:
-        if (name, part) not in self.sequences:
-            self.sequences[name, part] = EliasFano.read(self.arrays(name), part)
-        return self.sequences[name, part]
+        arrays, known = self.arrays(name), self.sequences.setdefault(name, {})
+        if part not in known:
+            known[part] = EliasFano.read(arrays, part)
+        return known[part]
+
+    # words
+
+    def _by_part(self, name: str, ids: np.ndarray) -> np.ndarray:
+        out, base = np.zeros(len(ids), np.int64), self.directory["words.base"]
+        part = np.searchsorted(base, ids, "right") - 1
+        for p in np.unique(part[ids >= 0]).tolist():
+            own = (part == p) & (ids >= 0)
+            out[own] = self.arrays(f"words-{p:05d}")[name][ids[own] - base[p]]
+        return out
 
     def word_ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of words by hash, -1 for unknown ones."""
         out = np.full(len(hashes), -1, np.int64)
-        part = _range_of(hashes, len(self.model.parts))
+        part = _range_of(hashes, self.model.shards)
         for p in np.unique(part).tolist():
             own = np.flatnonzero(part == p)
             at = self.sequence(f"words-{p:05d}", "hash").find(hashes[own])
-            out[own] = np.where(at >= 0, at + self.part_base[p], -1)
+            out[own] = np.where(at >= 0, at + self.directory["words.base"][p], -1)
         return out
 
     def word_counts(self, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ids), np.int64)
-        part = np.searchsorted(self.part_base, ids, "right") - 1
-        for p in np.unique(part[ids >= 0]).tolist():
-            own = (part == p) & (ids >= 0)
-            out[own] = self.arrays(f"words-{p:05d}")["count"][ids[own] - self.part_base[p]]
-        return out
-
-    def first_word(self, shard: int) -> int:
-        return -(-shard * self.model.words // self.shards)
-
-    def shard_of(self, ids: np.ndarray) -> np.ndarray:
-        return ids * self.shards // max(1, self.model.words)
+        return self._by_part("count", ids)
 
     def word_log10(self, ids: np.ndarray) -> np.ndarray:
         n = self.model.train_tokens + 0.5 * (self.model.words + 1)
         return np.log10((self.word_counts(ids) + 0.5) / n)
 
+    def word_at(self, token: int) -> tuple[int, int, int]:
+        """With the training tokens in the order of their words: the word of this one, the number of
+        tokens before that word, and its own."""
+        base = self.directory["words.tokens"]
+        p = int(np.searchsorted(base, token, "right")) - 1
+        before = self.arrays(f"words-{p:05d}")["before"]
+        k = int(np.searchsorted(before, token - base[p], "right")) - 1
+        return k + int(self.directory["words.base"][p]), int(before[k]) + int(base[p]), int(self.arrays(f"words-{p:05d}")["count"][k])
+
+    # pairs and triples: keys are parent << BITS | value
+
+    def shard_of(self, level: str, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.directory[f"{level}.cuts"], keys.astype(U64), "right")
+
+    def parents(self, level: str, shard: int) -> tuple[int, int]:
+        """The first parent and one behind the last whose successors can be in this file."""
+        cuts, bits = self.directory[f"{level}.cuts"], U64(BITS[level])
+        every = self.model.words if level == "pairs" else int(self.directory["pairs.base"][-1])
+        last = int(cuts[shard] >> bits) + 1 if shard < len(cuts) else every
+        return int(cuts[shard - 1] >> bits) if shard else 0, last
+
+    def find(self, level: str, parents: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Nodes of these keys (parents in order), -1 where there are none."""
+        out = np.full(len(parents), -1, np.int64)
+        some = np.flatnonzero((parents >= 0) & (values >= 0))
+        keys = parents[some].astype(U64) << U64(BITS[level]) | values[some].astype(U64)
+        shard = self.shard_of(level, keys)
+        for s in np.unique(shard).tolist():
+            own = some[shard == s]
+            at = self._children(f"{level}-{s:05d}", parents[own] - self.parents(level, s)[0], values[own])
+            out[own] = np.where(at >= 0, at + self.directory[f"{level}.base"][s], -1)
+        return out
+
     def _children(self, name: str, parents: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Where in the level's file the successor values of these parents stand, or -1. Parents in order."""
-        own, inverse = np.unique(parents, return_inverse=True)
+        """Where in the file the successor values of these parents stand, or -1. Parents in order."""
+        own, inverse = _groups(parents)
         pointers, successors = self.sequence(name, "pointer"), self.sequence(name, "successor")
         begin, end = pointers[own].astype(np.int64), pointers[own + 1].astype(np.int64)
         base = np.zeros(len(own), np.int64)
@@ -184,65 +272,76 @@ class Reader:
         at[some] = np.where(ok, place, -1)
         return at
 
-    def pairs(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Node numbers of word pairs (-1: none), and the second's rank among the first's successors."""
-        node, rank = np.full(len(first), -1, np.int64), np.full(len(first), -1, np.int64)
-        if not self.model.words:
-            return node, rank
-        shard = self.shard_of(first)
-        for s in np.unique(shard[(first >= 0) & (second >= 0)]).tolist():
-            own = np.flatnonzero((shard == s) & (first >= 0) & (second >= 0))
-            local = first[own] - self.first_word(s)
-            at = self._children(f"pairs-{s:05d}", local, second[own])
-            hit = at >= 0
-            words, inverse = np.unique(local[hit], return_inverse=True)
-            begin = self.sequence(f"pairs-{s:05d}", "pointer")[words].astype(np.int64)
-            node[own[hit]] = at[hit] + self.pair_base[s]
-            rank[own[hit]] = at[hit] - begin[inverse]
-        return node, rank
-
-    def by_pair(self, file: str, name: str, nodes: np.ndarray) -> np.ndarray:
-        """An array of the pair level, by node numbers (none below 0)."""
-        out = np.zeros(len(nodes), np.int64)
-        shard = np.searchsorted(self.pair_base, nodes, "right") - 1
+    def _of_parents(self, level: str, name: str, parents: np.ndarray, inside: Callable) -> np.ndarray:
+        """A figure of parents: those at a cut have theirs in the directory, the others inside(file,
+        its first parent, its first node, parents) of their only file."""
+        out = np.zeros(len(parents), np.int64)
+        edge = self.directory[f"{level}.edge"]
+        at = np.searchsorted(edge, parents)
+        cut_here = at < len(edge)
+        cut_here[cut_here] = edge[at[cut_here]] == parents[cut_here]
+        out[cut_here] = self.directory[f"{level}.edge_{name}"][at[cut_here]]
+        rest = np.flatnonzero(~cut_here)
+        shard = self.shard_of(level, parents[rest].astype(U64) << U64(BITS[level]))
         for s in np.unique(shard).tolist():
-            own = shard == s
-            out[own] = self.arrays(f"{file}-{s:05d}")[name][nodes[own] - self.pair_base[s]]
+            own = rest[shard == s]
+            out[own] = inside(f"{level}-{s:05d}", self.parents(level, s)[0], int(self.directory[f"{level}.base"][s]), parents[own])
         return out
 
-    def pair_words(self, nodes: np.ndarray) -> np.ndarray:
-        """The second word of pair nodes."""
+    def begin(self, level: str, parents: np.ndarray) -> np.ndarray:
+        """The node of each parent's first successor."""
+        return self._of_parents(level, "begin", parents, lambda f, p, n, own: self.sequence(f, "pointer")[own - p].astype(np.int64) + n)
+
+    def degree(self, level: str, parents: np.ndarray) -> np.ndarray:
+        """How many successors each parent has."""
+        inside = lambda f, p, n, own: (self.sequence(f, "pointer")[own - p + 1] - self.sequence(f, "pointer")[own - p]).astype(np.int64)
+        return self._of_parents(level, "degree", parents, inside)
+
+    def weight(self, level: str, parents: np.ndarray) -> np.ndarray:
+        """Codes of the parents' weights of backing off."""
+        return self._of_parents(level, "weight", parents, lambda f, p, n, own: self.arrays(f"codes-{f}")["weight"][own - p])
+
+    def by_node(self, level: str, file: str, name: str, nodes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(nodes), np.int64)
-        shard = np.searchsorted(self.pair_base, nodes, "right") - 1
+        base = self.directory[f"{level}.base"]
+        shard = np.searchsorted(base, nodes, "right") - 1
         for s in np.unique(shard).tolist():
-            own = np.flatnonzero(shard == s)
-            local = nodes[own] - self.pair_base[s]
-            successors = self.sequence(f"pairs-{s:05d}", "successor")
-            begin = self.arrays(f"counts-{s:05d}")["begin"][local].astype(np.int64)
-            base = np.where(begin > 0, successors[np.maximum(begin - 1, 0)].astype(np.int64) + 1, 0)
-            out[own] = successors[local].astype(np.int64) - base
+            own = shard == s
+            out[own] = self.arrays(f"{file}-{level}-{s:05d}")[name][nodes[own] - base[s]]
         return out
 
-    def successor_nodes(self, words: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-        """Node numbers of the pairs of these words with their successors of these ranks."""
-        out = np.zeros(len(words), np.int64)
-        shard = self.shard_of(words)
+    def values(self, level: str, nodes: np.ndarray) -> np.ndarray:
+        """The second halves of the nodes' keys."""
+        out = np.zeros(len(nodes), np.int64)
+        base = self.directory[f"{level}.base"]
+        shard = np.searchsorted(base, nodes, "right") - 1
         for s in np.unique(shard).tolist():
             own = np.flatnonzero(shard == s)
-            begin = self.sequence(f"pairs-{s:05d}", "pointer")[words[own] - self.first_word(s)].astype(np.int64)
-            out[own] = begin + ranks[own] + self.pair_base[s]
+            local = nodes[own] - base[s]
+            successors = self.sequence(f"{level}-{s:05d}", "successor")
+            begin = self.arrays(f"counts-{level}-{s:05d}")["begin"][local].astype(np.int64)
+            before = np.where(begin > 0, successors[np.maximum(begin - 1, 0)].astype(np.int64) + 1, 0)
+            out[own] = successors[local].astype(np.int64) - before
         return out
 
-    def triples(self, nodes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-        """log10 of triples by pair node and rank; nan where there is none."""
-        out = np.full(len(nodes), np.nan)
-        shard = np.searchsorted(self.pair_base, nodes, "right") - 1
-        for s in np.unique(shard).tolist():
-            own = np.flatnonzero(shard == s)
-            name = f"triples-{s:05d}"
-            at = self._children(name, nodes[own] - self.pair_base[s], ranks[own])
-            hit = at >= 0
-            out[own[hit]] = self.arrays(name)["probability"][at[hit]] / -SCALE
+    def contexts(self, text: Text, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The places of text.tokens with a token before, the different pairs there (as local word
+        numbers, first * words + second), which of them each place has, and their nodes."""
+        follows = np.flatnonzero(text.text[1:] == text.text[:-1]) + 1
+        words = max(1, len(ids))
+        keys, inverse = np.unique(text.tokens[follows - 1] * words + text.tokens[follows], return_inverse=True)
+        first, second = ids[keys // words], ids[keys % words]
+        by = np.argsort(first, kind="stable")
+        node = np.full(len(keys), -1, np.int64)
+        node[by] = self.find("pairs", first[by], second[by])
+        return follows, keys, inverse, node
+
+    def ranks(self, nodes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Ranks of pair nodes among the successors of their first words; -1 for none."""
+        out = np.full(len(nodes), -1, np.int64)
+        hit = np.flatnonzero(nodes >= 0)
+        words, inverse = np.unique(first[hit], return_inverse=True)
+        out[hit] = nodes[hit] - self.begin("pairs", words)[inverse]
         return out
 
     def score(self, text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,54 +350,60 @@ class Reader:
         known = (self.word_counts(ids) > 0).astype(np.int64)
         alone = self.word_log10(ids)
         local, n = text.tokens, len(text.sizes)
-        follows = np.flatnonzero(text.text[1:] == text.text[:-1]) + 1  # tokens with one before
-        words = len(ids)
-        keys, inverse = np.unique(local[follows - 1] * words + local[follows], return_inverse=True)
-        first, second = ids[keys // words], ids[keys % words]
-        by = np.argsort(first, kind="stable")
-        node, rank = np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int64)
-        node[by], rank[by] = self.pairs(first[by], second[by])
-        back = np.zeros(words)
-        back[ids >= 0] = -self._word_backoff(ids[ids >= 0]) / SCALE
-        value = back[keys // words] + alone[keys % words]
-        hit = node >= 0
-        value[hit] = -self.by_pair("pairs", "probability", node[hit]) / SCALE
         log = alone[local]
-        log[follows] = value[inverse]
-        # a third word: where two tokens come before, and they are a node
-        pair_at, rank_at = np.full(len(local), -1, np.int64), np.full(len(local), -1, np.int64)
-        pair_at[follows], rank_at[follows] = node[inverse], rank[inverse]
-        third = follows[1:][(np.diff(follows) == 1) & (text.text[follows[1:]] == text.text[follows[1:] - 2])] if len(follows) > 1 else follows[:0]
-        third = third[pair_at[third - 1] >= 0]
-        context = pair_at[third - 1]
-        nodes, inverse = np.unique(context, return_inverse=True)
-        weight = -self.by_pair("backoff", "weight", nodes) / SCALE if len(nodes) else np.zeros(0)
-        log[third] += weight[inverse]
-        both = rank_at[third] >= 0
-        third, context = third[both], context[both]
-        keys, inverse = np.unique(context << _RANK_BITS | rank_at[third], return_inverse=True)
-        found = self.triples(keys >> _RANK_BITS, keys & ((1 << _RANK_BITS) - 1))[inverse]
-        hit = ~np.isnan(found)
-        log[third[hit]] = found[hit]
+        if self.model.words:
+            words = len(ids)
+            follows, keys, inverse, node = self.contexts(text, ids)
+            back = np.zeros(words)
+            back[ids >= 0] = self.weight("pairs", ids[ids >= 0]) / -SCALE
+            value = back[keys // words] + alone[keys % words]
+            hit = node >= 0
+            value[hit] = self.by_node("pairs", "codes", "probability", node[hit]) / -SCALE
+            log[follows] = value[inverse]
+            # a third word: where two tokens come before, and they are a node
+            at, rank = np.full(len(local), -1, np.int64), np.full(len(local), -1, np.int64)
+            at[follows], rank[follows] = node[inverse], self.ranks(node, ids[keys // words])[inverse]
+            third = np.flatnonzero(at[:-1] >= 0) + 1
+            third = third[text.text[third] == text.text[third - 1]]
+            nodes, inverse = np.unique(at[third - 1], return_inverse=True)
+            log[third] += (self.weight("triples", nodes) / -SCALE)[inverse]
+            third = third[rank[third] >= 0]
+            keys, inverse = np.unique(at[third - 1] << BITS["triples"] | rank[third], return_inverse=True)
+            found = self.find("triples", keys >> BITS["triples"], keys & ((1 << BITS["triples"]) - 1))
+            value = np.full(len(keys), np.nan)
+            value[found >= 0] = self.by_node("triples", "codes", "probability", found[found >= 0]) / -SCALE
+            value = value[inverse]
+            log[third] = np.where(np.isnan(value), log[third], value)
         add = lambda x: np.bincount(text.text, x, n)
         return add(known[local]).astype(np.int64), add(alone[local]), add(log)
 
-    def _word_backoff(self, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ids), np.int64)
-        shard = self.shard_of(ids)
-        for s in np.unique(shard).tolist():
-            own = shard == s
-            out[own] = self.arrays(f"pairs-{s:05d}")["backoff"][ids[own] - self.first_word(s)]
-        return out
+
+def _groups(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers of an array in order, and which of them each is."""
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return ordered[new], np.cumsum(new) - 1
 
 
 # --- training --------------------------------------------------------------------------------
 
 BLOCK = "part long, keys binary, counts binary"
+_BLOCK = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def pack_ascending(keys: np.ndarray) -> bytes:
+    """Keys in order as their differences, the highest bytes of all first: most of those are zeros,
+    which compression takes away."""
+    return np.diff(keys, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T[::-1].tobytes()
+
+
+def unpack_ascending(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes[::-1].T).view("<u8").reshape(-1), dtype=U64)
 
 
 def _blocks(keys: np.ndarray, counts: np.ndarray, part: np.ndarray) -> pa.RecordBatch | None:
-    """Rows of BLOCK: keys and counts (bytes; a key comes again for what is over 255) by part."""
+    """Rows of BLOCK: keys in order and counts (bytes; a key comes again for what is over 255) by part."""
     if not len(keys):
         return None
     again = (counts + 254) // 255
@@ -312,18 +417,12 @@ def _blocks(keys: np.ndarray, counts: np.ndarray, part: np.ndarray) -> pa.Record
     found, start = np.unique(part[by], return_index=True)
     ends = [*start[1:], len(by)]
     small = counts.astype(np.uint8)
-    return pa.RecordBatch.from_pydict(
-        {
-            "part": found.tolist(),
-            "keys": [keys[by[a:b]].tobytes() for a, b in zip(start, ends, strict=True)],
-            "counts": [small[by[a:b]].tobytes() for a, b in zip(start, ends, strict=True)],
-        },
-        pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]),
-    )
+    columns = [found.tolist(), [pack_ascending(keys[by[a:b]]) for a, b in zip(start, ends, strict=True)], [small[by[a:b]].tobytes() for a, b in zip(start, ends, strict=True)]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCK, strict=True)], schema=_BLOCK)
 
 
 def _sum_blocks(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), U64)
+    keys = np.concatenate([np.zeros(0, U64), *map(unpack_ascending, table.column("keys").to_pylist())])
     counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).astype(np.int64)
     return _tally(keys, counts)
 
@@ -369,10 +468,14 @@ def fit(train: DataFrame, text_col: str = "text", settings: Settings | None = No
     """Train on all of train's texts (null: empty). The files are in the shared folder, see delete().
 
     Three passes: words, pairs, triples. Each task counts what its texts hold and sends the counts
-    to parts by hash; a part adds up and drops what is rarer than min_count; what stays goes to the
-    file of its first word (at once, if min_count is 1). Pairs and triples are smoothed by interpolated absolute discounting
-    over the level below, down to words, smoothed by adding one half. The driver sees one row of
-    figures for each file. An empty table gives a model without words.
+    to the file they belong to, where they are added up (with min_count over 1, to parts by hash
+    before, which drop what is too rare). The cuts between files are made as if a word were followed
+    by each other one in proportion to that one's share, so that files get about the same number of
+    tokens whatever words are frequent. Pairs and triples are smoothed by interpolated absolute
+    discounting over the level below, down to words, smoothed by adding one half. The driver sees
+    one row of figures for each file. Word ids have 32 bits, ranks of successors 26: beyond 2**32
+    different words, or 2**26 different ones after one word, a ValueError. An empty table gives a
+    model without words.
     """
     settings = settings or Settings()
     spark = train.sparkSession
@@ -390,73 +493,189 @@ def fit(train: DataFrame, text_col: str = "text", settings: Settings | None = No
     def write_words(key: tuple, table: pa.Table) -> pa.Table:
         keys, counts = _sum_blocks(table)
         part = key[0].as_py()
-        write_arrays(f"{folder}/words-{part:05d}", EliasFano.of(keys).arrays("hash") | {"count": counts.astype(np.uint32 if counts.max() < 1 << 32 else np.int64)}, _mark())
+        arrays = EliasFano.of(keys).arrays("hash") | {"count": _narrow(counts), "before": _narrow(np.cumsum(counts) - counts)}
+        write_arrays(f"{folder}/words-{part:05d}", arrays, _mark())
         return pa.table({"file": [part], "n": [len(keys)], "tokens": [int(counts.sum())]})
 
-    words = _counted(texts, settings, words_of, lambda k: _range_of(k, shards))
-    rows = {r["file"]: r for r in words.groupBy("part").applyInArrow(write_words, "file long, n long, tokens long").collect()}
-    for p in set(range(shards)) - set(rows):
-        write_arrays(f"{folder}/words-{p:05d}", EliasFano.of(np.zeros(0, U64)).arrays("hash") | {"count": np.zeros(0, np.uint32)}, "driver")
-    sizes = tuple(rows[p]["n"] if p in rows else 0 for p in range(shards))
-    model = LanguageModel(folder, sizes, (0,) * shards, sum(r["tokens"] for r in rows.values()), settings)
+    words = _by_file(_counted(texts, settings, words_of, lambda k: _range_of(k, shards)), spark, shards)
+    rows = sorted(words.applyInArrow(write_words, "file long, n long, tokens long").collect())
+    directory = {"words.base": _sums([r["n"] for r in rows]), "words.tokens": _sums([r["tokens"] for r in rows])}
+    model = LanguageModel(folder, shards, 0, int(directory["words.base"][-1]), int(directory["words.tokens"][-1]), settings)
+    model = _next(model, directory, {})
+    if model.words >= 1 << BITS["pairs"]:
+        raise ValueError("more words than ids can tell apart")
+    if not model.words:
+        return model
 
     def pairs_of(some: pa.Array, model: LanguageModel = model) -> np.ndarray:
         text = Text(some)
-        ids = Reader.of(model).word_ids(text.hashes)[text.tokens]
+        ids = Reader.of(model).word_ids(text.hashes)[text.tokens].astype(U64)
         same = text.text[1:] == text.text[:-1]
-        return (ids[:-1][same].astype(U64) << U64(32)) | ids[1:][same].astype(U64)
+        return (ids[:-1][same] << U64(BITS["pairs"])) | ids[1:][same]
+
+    def pair_cut(reader: Reader, token: int) -> int:
+        word, before, own = reader.word_at(token)
+        return word << BITS["pairs"] | reader.word_at((token - before) * reader.model.train_tokens // own)[0]
+
+    def pair_totals(reader: Reader, parents: np.ndarray) -> np.ndarray:
+        return reader.word_counts(parents)
 
-    if model.words >= 1 << 32:
-        raise ValueError("more words than 32-bit ids can tell apart")
-    pair_shard = lambda keys, m=model: Reader.of(m).shard_of((keys >> U64(32)).astype(np.int64))
-    pairs = _filed(texts, settings, pairs_of, parts, pair_shard)
-    build = _pair_builder(model)
-    rows = {r["file"]: r for r in _by_file(pairs, spark, shards).applyInArrow(build, "file long, n long").collect()}
-    model = LanguageModel(folder, model.parts, tuple(rows[s]["n"] for s in range(shards)), model.train_tokens, settings)
+    def pair_below(reader: Reader, parents: np.ndarray, values: np.ndarray) -> np.ndarray:
+        own, inverse = np.unique(values, return_inverse=True)
+        return (10 ** reader.word_log10(own))[inverse]
+
+    model = _level(texts, model, directory, "pairs", parts, pairs_of, pair_cut, model.train_tokens, pair_totals, pair_below)
 
     def triples_of(some: pa.Array, model: LanguageModel = model) -> np.ndarray:
         text, reader = Text(some), Reader.of(model)
         ids = reader.word_ids(text.hashes)
-        follows = np.flatnonzero(text.text[1:] == text.text[:-1]) + 1
-        words = len(ids)
-        keys, inverse = np.unique(text.tokens[follows - 1] * words + text.tokens[follows], return_inverse=True)
-        first, second = ids[keys // words], ids[keys % words]
-        by = np.argsort(first, kind="stable")
-        node, rank = np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int64)
-        node[by], rank[by] = reader.pairs(first[by], second[by])
+        follows, keys, inverse, node = reader.contexts(text, ids)
+        rank = reader.ranks(node, ids[keys // max(1, len(ids))])
         at, ranks = np.full(len(text.tokens), -1, np.int64), np.full(len(text.tokens), -1, np.int64)
         at[follows], ranks[follows] = node[inverse], rank[inverse]
         third = np.flatnonzero((at[1:] >= 0) & (at[:-1] >= 0)) + 1
         third = third[text.text[third] == text.text[third - 1]]
-        if len(third) and ranks[third].max() >= 1 << _RANK_BITS:
+        if len(third) and ranks[third].max() >= 1 << BITS["triples"]:
             raise ValueError("more successors than ranks can tell apart")
-        return (at[third - 1] << _RANK_BITS | ranks[third]).astype(U64)
+        return (at[third - 1] << BITS["triples"] | ranks[third]).astype(U64)
+
+    def triple_cut(reader: Reader, token: int) -> int:
+        base = reader.directory["pairs.tokens"]
+        s = int(np.searchsorted(base, token, "right")) - 1
+        behind = np.cumsum(reader.arrays(f"counts-pairs-{s:05d}")["count"], dtype=np.int64)
+        k = int(np.searchsorted(behind, token - base[s], "right"))
+        own = int(reader.arrays(f"counts-pairs-{s:05d}")["count"][k])
+        node = k + int(reader.directory["pairs.base"][s])
+        after = int(reader.degree("pairs", reader.values("pairs", np.array([node])))[0])
+        return node << BITS["triples"] | (token - int(base[s] + behind[k]) + own) * after // own
+
+    def triple_totals(reader: Reader, parents: np.ndarray) -> np.ndarray:
+        return reader.by_node("pairs", "counts", "count", parents)
+
+    def triple_below(reader: Reader, parents: np.ndarray, values: np.ndarray) -> np.ndarray:
+        own, inverse = _groups(parents)
+        middle = reader.values("pairs", own)
+        words, of_word = np.unique(middle, return_inverse=True)
+        lower = reader.begin("pairs", words)[of_word][inverse] + values
+        return 10 ** (reader.by_node("pairs", "codes", "probability", lower) / -SCALE)
+
+    return _level(texts, model, directory, "triples", parts, triples_of, triple_cut, int(directory["pairs.tokens"][-1]), triple_totals, triple_below)
+
+
+def _sums(numbers: list[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.array(numbers, np.int64))])
 
-    triple_shard = lambda keys, m=model: np.searchsorted(Reader.of(m).pair_base, (keys >> U64(_RANK_BITS)).astype(np.int64), "right") - 1
-    triples = _filed(texts, settings, triples_of, parts, triple_shard)
-    _by_file(triples, spark, shards).applyInArrow(_triple_builder(model), "file long, n long").collect()
+
+def _next(model: LanguageModel, directory: dict[str, np.ndarray], more: dict[str, np.ndarray]) -> LanguageModel:
+    """The model with more in its directory."""
+    directory |= more
+    model = replace(model, stage=model.stage + 1)
+    write_arrays(f"{model.folder}/directory-{model.stage}", directory, "driver")
     return model
 
 
-def _filed(texts: DataFrame, settings: Settings, keys_of, parts: int, shard_of) -> DataFrame:
+def _for_each_file(spark: SparkSession, files: int, act: Callable[[int], int]) -> list[int]:
+    """act(file) of each file, in tasks of a file each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([act(file)], pa.int64())], names=["file", "out"])
+
+    return [r["out"] for r in sorted(spark.range(0, files, 1, files).mapInArrow(run, "file long, out long").collect())]
+
+
+def _level(
+    texts: DataFrame, model: LanguageModel, directory: dict[str, np.ndarray], level: str, parts: int,
+    keys_of: Callable, cut_at: Callable, tokens: int, totals_of: Callable, below_of: Callable,
+) -> LanguageModel:
+    """The model with one level more: cuts, counts in files, then probabilities, for which the
+    weights of parents whose successors lie in several files are put together on the driver."""
+    spark, settings, shards, bits = texts.sparkSession, model.settings, model.shards, U64(BITS[level])
+    cuts = _for_each_file(spark, shards - 1, lambda s, m=model: cut_at(Reader.of(m), (s + 1) * tokens // m.shards)) if shards > 1 and tokens else []
+    cuts = np.array([*cuts, *[(1 << 63) - 1] * (shards - 1 - len(cuts))], U64)
+    placed = _next(model, directory, {f"{level}.cuts": cuts})
+
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        shard, reader = key[0].as_py(), Reader.of(placed)
+        keys, counts = _sum_blocks(table)
+        parents, values = (keys >> bits).astype(np.int64), (keys & ((U64(1) << bits) - U64(1))).astype(np.int64)
+        first, last = reader.parents(level, shard)
+        arrays, begin = _structure(parents - first, values, last - first)
+        write_arrays(f"{model.folder}/{level}-{shard:05d}", arrays, _mark())
+        write_arrays(f"{model.folder}/counts-{level}-{shard:05d}", {"count": _narrow(counts), "begin": _narrow(begin)}, _mark())
+        edges = reader.directory[f"{level}.cuts"]
+        edges = np.unique((edges[max(0, shard - 1) : shard + 1] >> bits).astype(np.int64))
+        edges = edges[(edges >= first) & (edges < last)]
+        low, high = np.searchsorted(parents, edges), np.searchsorted(parents, edges, "right")
+        sums = np.concatenate([[0], np.cumsum(counts)])
+        return pa.table(
+            {
+                "file": [shard], "n": [len(keys)], "tokens": [int(counts.sum())],
+                "edges": pa.array([[{"parent": int(p), "at": int(x), "degree": int(y - x), "count": int(sums[y] - sums[x])} for p, x, y in zip(edges, low, high, strict=True)]], _EDGES),
+            }
+        )
+
+    rows = _by_file(_filed(texts, placed, level, keys_of, parts), spark, shards)
+    rows = sorted(rows.applyInArrow(build, "file long, n long, tokens long, edges array<struct<parent: long, at: long, degree: long, count: long>>").collect(), key=lambda r: r["file"])
+    base = _sums([r["n"] for r in rows])
+    edges: dict[int, list[int]] = {}  # parent: first node, successors, their counts
+    for r in rows:
+        for e in r["edges"]:
+            now = edges.setdefault(e["parent"], [int(base[r["file"]]) + e["at"], 0, 0])
+            if not now[1]:
+                now[0] = int(base[r["file"]]) + e["at"]
+            now[1] += e["degree"]
+            now[2] += e["count"]
+    table = np.array([(p, *edges[p]) for p in sorted(edges)], np.int64).reshape(-1, 4)
+    built = _next(
+        placed, directory,
+        {f"{level}.base": base, f"{level}.tokens": _sums([r["tokens"] for r in rows]), f"{level}.edge": table[:, 0].copy(), f"{level}.edge_begin": table[:, 1].copy(),
+         f"{level}.edge_degree": table[:, 2].copy(), f"{level}.edge_count": table[:, 3].copy()},
+    )
+
+    def finish(shard: int) -> int:
+        reader, d = Reader.of(built), settings.discount
+        first, last = reader.parents(level, shard)
+        every = np.arange(first, last)
+        pointer = reader.sequence(f"{level}-{shard:05d}", "pointer")[np.arange(last - first + 1)].astype(np.int64)
+        counts = reader.arrays(f"counts-{level}-{shard:05d}")["count"]
+        behind = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        total = totals_of(reader, every)
+        kept, distinct = behind[pointer[1:]] - behind[pointer[:-1]], np.diff(pointer)
+        edge = reader.directory[f"{level}.edge"]
+        own = np.flatnonzero((edge >= first) & (edge < last))
+        kept[edge[own] - first], distinct[edge[own] - first] = reader.directory[f"{level}.edge_count"][own], reader.directory[f"{level}.edge_degree"][own]
+        weight = np.clip(1 - (kept - d * distinct) / np.maximum(total, 1), 1e-10, 1)
+        local = np.repeat(np.arange(last - first), np.diff(pointer))
+        nodes = np.arange(reader.directory[f"{level}.base"][shard], reader.directory[f"{level}.base"][shard + 1])
+        below = below_of(reader, every[local], reader.values(level, nodes))
+        probability = code(np.log10((counts - d) / total[local] + weight[local] * below))
+        write_arrays(f"{model.folder}/codes-{level}-{shard:05d}", {"probability": probability, "weight": code(np.log10(weight))}, _mark())
+        return 0
+
+    _for_each_file(spark, shards, finish)
+    total = totals_of(Reader(built), table[:, 0])
+    weight = np.clip(1 - (table[:, 3] - settings.discount * table[:, 2]) / np.maximum(total, 1), 1e-10, 1)
+    return _next(built, directory, {f"{level}.edge_weight": code(np.log10(weight)).astype(np.int64)})
+
+
+_EDGES = pa.list_(pa.struct([(x, pa.int64()) for x in ("parent", "at", "degree", "count")]))
+
+
+def _filed(texts: DataFrame, model: LanguageModel, level: str, keys_of: Callable, parts: int) -> DataFrame:
     """BLOCKs by file. Where nothing is too rare, they go there straight, and are added up there."""
+    settings, shard_of = model.settings, lambda keys: Reader.of(model).shard_of(level, keys)
     if settings.min_count <= 1:
         return _counted(texts, settings, keys_of, shard_of)
-    return _kept(_counted(texts, settings, keys_of, lambda k: _range_of(_mixed(k), parts)), settings, shard_of)
-
-
-def _kept(blocks: DataFrame, settings: Settings, shard_of) -> DataFrame:
-    """BLOCKs of what is frequent enough; part is now the file."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def frequent(table: pa.Table) -> pa.Table:
         keys, counts = _sum_blocks(table)
         keep = counts >= settings.min_count
-        keys, counts = keys[keep], counts[keep]
-        out = _blocks(keys, counts, shard_of(keys))
-        schema = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-        return pa.Table.from_batches([] if out is None else [out], schema)
+        out = _blocks(keys[keep], counts[keep], shard_of(keys[keep]))
+        return pa.Table.from_batches([] if out is None else [out], _BLOCK)
 
-    return blocks.groupBy("part").applyInArrow(run, BLOCK)
+    return _counted(texts, settings, keys_of, lambda k: _range_of(_mixed(k), parts)).groupBy("part").applyInArrow(frequent, BLOCK)
 
 
 def _by_file(rows: DataFrame, spark: SparkSession, files: int):
@@ -465,65 +684,17 @@ def _by_file(rows: DataFrame, spark: SparkSession, files: int):
     return rows.unionByName(empty).groupBy("part")
 
 
-def _level(parents: np.ndarray, values: np.ndarray, n_parents: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Pointers and successors of a level, rows in order; and where each row's parent begins."""
+def _structure(parents: np.ndarray, values: np.ndarray, n_parents: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Pointers and successors of a file, rows in order; and where each row's parent begins."""
     pointer = np.concatenate([[0], np.cumsum(np.bincount(parents, minlength=n_parents))])
     begin = pointer[parents]
-    last = np.zeros(len(values), np.int64)  # of each parent with successors: its greatest value + 1
-    ends = np.flatnonzero(np.append(parents[1:] != parents[:-1], True)) if len(parents) else np.zeros(0, np.int64)
+    own, group = _groups(parents)
+    ends = pointer[own + 1] - 1  # of each parent with successors: its greatest value
     grown = np.cumsum(values[ends] + 1)
     base = np.concatenate([[0], grown[:-1]]) if len(ends) else grown
-    group = np.cumsum(np.concatenate([[0], parents[1:] != parents[:-1]])) if len(parents) else last
     return EliasFano.of(pointer).arrays("pointer") | EliasFano.of(base[group] + values).arrays("successor"), begin
 
 
-def _pair_builder(model: LanguageModel):
-    def build(key: tuple, table: pa.Table) -> pa.Table:
-        shard, reader, discount = key[0].as_py(), Reader.of(model), model.settings.discount
-        keys, counts = _sum_blocks(table)
-        first_id = reader.first_word(shard)
-        n = reader.first_word(shard + 1) - first_id
-        first, second = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
-        local = first - first_id
-        total = reader.word_counts(np.arange(first_id, first_id + n))
-        own = (counts - discount) / total[local]
-        weight = np.clip(1 - np.bincount(local, own, n), 1e-10, 1)
-        words, inverse = np.unique(second, return_inverse=True)
-        below = 10 ** reader.word_log10(words)[inverse]
-        level, begin = _level(local, second, n)
-        write_arrays(
-            f"{model.folder}/pairs-{shard:05d}",
-            level | {"probability": code(np.log10(own + weight[local] * below)), "backoff": code(np.log10(weight))},
-            _mark(),
-        )
-        write_arrays(f"{model.folder}/counts-{shard:05d}", {"count": _narrow(counts), "begin": _narrow(begin)}, _mark())
-        return pa.table({"file": [shard], "n": [len(keys)]})
-
-    return build
-
-
-def _triple_builder(model: LanguageModel):
-    def build(key: tuple, table: pa.Table) -> pa.Table:
-        shard, reader, discount = key[0].as_py(), Reader.of(model), model.settings.discount
-        keys, counts = _sum_blocks(table)
-        node, rank = (keys >> U64(_RANK_BITS)).astype(np.int64), (keys & U64((1 << _RANK_BITS) - 1)).astype(np.int64)
-        n = model.pairs[shard]
-        local = node - reader.pair_base[shard]
-        total = reader.arrays(f"counts-{shard:05d}")["count"]
-        own = (counts - discount) / total[local]
-        weight = np.clip(1 - np.bincount(local, own, n), 1e-10, 1)
-        nodes, inverse = np.unique(node, return_inverse=True)
-        middle = reader.pair_words(nodes)[inverse] if len(nodes) else node
-        lower = reader.successor_nodes(middle, rank)
-        below = 10 ** (-reader.by_pair("pairs", "probability", lower) / SCALE)
-        level, _ = _level(local, rank, n)
-        write_arrays(f"{model.folder}/triples-{shard:05d}", level | {"probability": code(np.log10(own + weight[local] * below))}, _mark())
-        write_arrays(f"{model.folder}/backoff-{shard:05d}", {"weight": code(np.log10(weight))}, _mark())
-        return pa.table({"file": [shard], "n": [len(keys)]})
-
-    return build
-
-
 def score(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """The columns keep of docs with n_tokens, n_known, base_score, score; a row for each row.
 
