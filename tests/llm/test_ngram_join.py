@@ -100,3 +100,13 @@ def test_shingles_tell_short_texts_apart():
     assert len(ngram_join.shingles("a b c d e")) == 1 and len(ngram_join.shingles(None)) == 0
     assert ngram_join.shingles("a b")[0] != ngram_join.shingles("ab")[0] != ngram_join.shingles("b a")[0]
     assert np.array_equal(ngram_join.shingles("A b\tC d e f"), ngram_join.shingles("a B c D\u000be  F"))
+
+
+def test_a_shingle_in_all_documents(spark):
+    draw = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(12))
+    texts = [f"{passage} " + " ".join(f"d{draw.randrange(30)}" for _ in range(draw.randint(0, 14))) for _ in range(300)] + [passage] * 40
+    label, sizes = brute(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.size, r.component_id) for r in ngram_join.ngram_classes(df, range_bytes=2_000, chunk_chars=2_000).collect()}
+    assert got == {i: (s, x) for i, (s, x) in enumerate(zip(sizes, label, strict=True))}

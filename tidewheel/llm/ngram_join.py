@@ -9,6 +9,7 @@ are filtered by size and position; what is left is expanded to documents and ver
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,23 +20,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, lean_batches, make_room, quoted, release, tidy
+from .lm import pack_ascending, unpack_ascending
 from .repetition import chunks
 
 #: Odd 64-bit constants that mix the word hashes of a shingle.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-_UPPER = np.uint64(0xFFFFFFFFFFFFFF00)
 _DOC_BITS = 16
 _CHUNK_BITS = 24
 
 
 def shingles(text: str | None, n: int = 5) -> np.ndarray:
-    """The distinct shingles of n words as sorted hashes of 56 bits (in the upper ones of 64); of
-    fewer words, all as one."""
+    """The distinct shingles of n words as sorted 64-bit hashes; of fewer words, all as one."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     if len(words) < n:
-        return np.array([xxhash.xxh3_64_intdigest(b"\0".join(words), seed=1)], np.uint64) & _UPPER
+        return np.array([xxhash.xxh3_64_intdigest(b"\0".join(words), seed=1)], np.uint64)
     ids = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     last = len(ids) - n + 1
     with np.errstate(over="ignore"):
@@ -43,18 +43,7 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
         for j in range(1, n):
             out = (out ^ (out >> np.uint64(29))) * _MIX[j % 5] + ids[j : j + last] * _MIX[(j - 1) % 5]
         out = (out ^ (out >> np.uint64(32))) * _MIX[4]
-    return np.unique((out ^ (out >> np.uint64(29))) & _UPPER)
-
-
-def _packed(tokens: np.ndarray) -> bytes:
-    """Seven bytes for each shingle."""
-    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, 1:]).tobytes()
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 7, 8), np.uint8)
-    out[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
-    return out.view(np.uint64).reshape(-1)
+    return np.unique(out ^ (out >> np.uint64(29)))
 
 
 def least_overlap(size: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -69,8 +58,10 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: i
     are shared than any link needs. alone is the number of the others, which come first in the
     order; weight is the mean number of holders; the first `least` tokens have `holders` of them.
 
-    One pass over the texts. A chunk of documents sends each range of hashes one block of shingles;
-    a task counts those of its range and sends the repeated ones back to their chunk.
+    One pass over the texts. A chunk of documents sends each range of hashes what it has there: a
+    block of the shingles that one of its documents holds, with that one, and a block of those that
+    several hold, each once, with their number. A task counts those of its range and sends the
+    repeated ones back to their chunk. So a shingle that all documents hold comes once from a chunk.
     """
     lean_batches(docs.sparkSession)
     source = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
@@ -78,6 +69,27 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: i
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(1, -(-size // range_bytes))
     kind = source.schema["doc_id"].dataType.simpleString()
+    block = f"chunk long, tokens binary, owners binary, numbers binary, sizes binary, digests binary, ids array<{kind}>, hashes array<long>"
+
+    def blocks(some: pa.RecordBatch, chunk: int) -> Iterator[dict]:
+        sets = [shingles(t, n) for t in some.column(1).to_pylist()]
+        sizes = np.array([len(s) for s in sets], np.int32)
+        tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
+        by = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[by], np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)[by]
+        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else by
+        holders = np.diff(np.append(first, len(tokens)))
+        several = np.repeat(holders > 1, holders)
+        yield {
+            "part": chunk % ranges, "chunk": chunk, "owners": owner[several].tobytes(), "numbers": holders[holders > 1].astype(np.uint32).tobytes(),
+            "sizes": sizes.tobytes(), "digests": b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets),
+            "ids": some.column(0).to_pylist(), "hashes": some.column(2).to_pylist(),
+        }
+        for own, name, more in ((tokens[~several], "owners", owner[~several]), (tokens[first[holders > 1]], "numbers", holders[holders > 1].astype(np.uint32))):
+            part = (((own >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+            found, start = np.unique(part, return_index=True)
+            for p, x, y in zip(found.tolist(), start, [*start, len(own)][1:], strict=True):
+                yield {"part": p, "chunk": chunk, "tokens": pack_ascending(own[x:y]), name: more[x:y].tobytes()}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -85,66 +97,50 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: i
         make_room("ngram_join")
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
+            b = pa.binary()
+            schema = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("tokens", b), ("owners", b), ("numbers", b), ("sizes", b), ("digests", b), ("ids", pa.list_(batch.schema.field(0).type)), ("hashes", pa.list_(pa.int64()))])
             for part in chunks(batch, 1, chunk_chars):
                 for begin in range(0, part.num_rows, 1 << _DOC_BITS):
-                    some = part.slice(begin, 1 << _DOC_BITS)
-                    chunk = task << _CHUNK_BITS | number
+                    yield pa.RecordBatch.from_pylist(list(blocks(part.slice(begin, 1 << _DOC_BITS), task << _CHUNK_BITS | number)), schema)
                     number += 1
-                    sets = [shingles(t, n) for t in some.column(1).to_pylist()]
-                    sizes = np.array([len(s) for s in sets], np.int32)
-                    digests = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([chunk % ranges], pa.int64()), pa.array([chunk], pa.int64()), pa.array([sizes.tobytes()], pa.binary()), pa.array([digests], pa.binary()),
-                         pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column(0)), pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column(2))],
-                        names=["part", "chunk", "a", "b", "ids", "hashes"],
-                    )
-                    tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                    owner = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
-                    part_of = ((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-                    by = np.argsort(part_of, kind="stable")
-                    found, start = np.unique(part_of[by], return_index=True)
-                    ends = [*start[1:], len(by)]
-                    blocks = [(_packed(tokens[by[x:y]]), owner[by[x:y]].tobytes()) for x, y in zip(start, ends, strict=True)]
-                    if blocks:
-                        nothing = pa.nulls(len(blocks))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(found.astype(np.int64)), pa.array([chunk] * len(blocks), pa.int64()), pa.array([x for x, _ in blocks], pa.binary()), pa.array([y for _, y in blocks], pa.binary()),
-                             nothing.cast(pa.list_(some.schema.field(0).type)), nothing.cast(pa.list_(pa.int64()))],
-                            names=["part", "chunk", "a", "b", "ids", "hashes"],
-                        )
-
         release()
 
     def count(table: pa.Table) -> pa.Table:
         heads = table.filter(pc.is_valid(table.column("ids")))
         rest = table.filter(pc.is_null(table.column("ids")))
-        blocks = [_unpacked(x) for x in rest.column("a").to_pylist()]
-        out = {"chunk": heads.column("chunk").to_pylist(), "a": heads.column("a").to_pylist(), "b": heads.column("b").to_pylist(), "c": [None] * heads.num_rows, "ids": heads.column("ids").to_pylist(), "hashes": heads.column("hashes").to_pylist()}
-        if blocks:
-            every = np.concatenate(blocks)
-            every.sort()
-            new = np.empty(len(every), bool)
-            new[:1] = True
-            np.not_equal(every[1:], every[:-1], out=new[1:])
-            first = np.flatnonzero(new)
-            holders = np.diff(np.append(first, len(every)))
-            shared, holders = every[first[holders > 1]], holders[holders > 1]
-            for chunk, tokens, owner in zip(rest.column("chunk").to_pylist(), blocks, rest.column("b").to_pylist(), strict=True):
-                at = np.searchsorted(shared, tokens)
-                hit = np.flatnonzero(at < len(shared))
-                hit = hit[shared[at[hit]] == tokens[hit]]
-                if len(hit):
-                    for key, value in (("chunk", chunk), ("a", _packed(tokens[hit])), ("b", np.frombuffer(owner, np.uint16)[hit].tobytes()), ("c", holders[at[hit]].astype(np.uint32).tobytes()), ("ids", None), ("hashes", None)):
-                        out[key].append(value)
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), table.schema.field("ids").type, pa.list_(pa.int64())), strict=True)})
+        tokens = [unpack_ascending(x) for x in rest.column("tokens").to_pylist()]
+        numbers = [None if x is None else np.frombuffer(x, np.uint32) for x in rest.column("numbers").to_pylist()]
+        owners = [None if x is None else np.frombuffer(x, np.uint16) for x in rest.column("owners").to_pylist()]
+        every = np.concatenate([np.zeros(0, np.uint64), *tokens])
+        each = np.concatenate([np.zeros(0, np.int64), *(np.ones(len(t), np.int64) if k is None else k.astype(np.int64) for t, k in zip(tokens, numbers, strict=True))])
+        by = np.argsort(every, kind="stable")
+        every, each = every[by], each[by]
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else by
+        holders = np.add.reduceat(each, first) if len(every) else each
+        shared, holders = every[first[holders > 1]], holders[holders > 1]
+        out = []
+        for chunk, own, owner in zip(rest.column("chunk").to_pylist(), tokens, owners, strict=True):
+            at = np.searchsorted(shared, own)
+            hit = np.flatnonzero(at < len(shared))
+            hit = hit[shared[at[hit]] == own[hit]]
+            if len(hit):
+                out.append({"chunk": chunk, "tokens": pack_ascending(own[hit]), "numbers": holders[at[hit]].tobytes(), "owners": None if owner is None else owner[hit].tobytes()})
+        schema = table.drop_columns("part").schema
+        return pa.concat_tables([heads.drop_columns("part"), pa.Table.from_pylist(out, schema)])
 
     def assemble(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         head = next(r for r in rows if r["ids"] is not None)
-        sizes = np.frombuffer(head["a"], np.int32).astype(np.int64)
+        sizes = np.frombuffer(head["sizes"], np.int32).astype(np.int64)
         rest = [r for r in rows if r["ids"] is None]
-        join = lambda k, t: np.frombuffer(b"".join(r[k] for r in rest), t)
-        tokens, owner, holders = _unpacked(b"".join(r["a"] for r in rest)), join("b", np.uint16), join("c", np.uint32).astype(np.int64)
+        one, several = [r for r in rest if r["owners"] is not None], [r for r in rest if r["owners"] is None]
+        several.sort(key=lambda r: int(unpack_ascending(r["tokens"])[0]))
+        join = lambda some, k, t: np.frombuffer(b"".join(r[k] for r in some), t)
+        lists = lambda some: np.concatenate([np.zeros(0, np.uint64), *(unpack_ascending(r["tokens"]) for r in some)])
+        times = np.frombuffer(head["numbers"], np.uint32)
+        tokens = np.concatenate([lists(one), np.repeat(lists(several), times)])
+        owner = np.concatenate([join(one, "owners", np.uint16), np.frombuffer(head["owners"], np.uint16)])
+        holders = np.concatenate([join(one, "numbers", np.int64), np.repeat(join(several, "numbers", np.int64), times)])
         by = np.lexsort((tokens, holders, owner))
         tokens, owner, holders = tokens[by].view(np.int64), owner[by], holders[by]
         ends = np.searchsorted(owner, np.arange(len(sizes)), "right")
@@ -155,24 +151,24 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: i
         fewest = np.where(shared > 0, holders[np.minimum(begins, max(0, len(holders) - 1))] if len(holders) else 0, 0)
         least = np.bincount(owner[holders == fewest[owner]], minlength=len(sizes))
         enough = (sizes > 0) & (shared >= least_overlap(sizes, percent))
-        lists = [tokens[x:y] if ok else None for x, y, ok in zip(begins, ends, enough, strict=True)]
+        kept = [tokens[x:y] if ok else None for x, y, ok in zip(begins, ends, enough, strict=True)]
         return pa.table(
             {
                 "uid": pa.array((head["chunk"] << _DOC_BITS) + np.arange(len(sizes)), pa.int64()),
                 "doc_id": pa.array(head["ids"], table.schema.field("ids").type.value_type),
                 "row_hash": pa.array(head["hashes"], pa.int64()),
                 "size": pa.array(sizes, pa.int64()),
-                "digest": pa.array([head["b"][16 * i : 16 * i + 16] for i in range(len(sizes))], pa.binary()),
+                "digest": pa.array([head["digests"][16 * i : 16 * i + 16] for i in range(len(sizes))], pa.binary()),
                 "alone": pa.array(sizes - shared, pa.int64()),
                 "weight": pa.array(weight, pa.float64()),
                 "holders": pa.array(fewest, pa.int64()),
                 "least": pa.array(least, pa.int64()),
-                "tokens": pa.array(lists, pa.list_(pa.int64())),
+                "tokens": pa.array(kept, pa.list_(pa.int64())),
             }
         )
 
-    sent = source.mapInArrow(send, f"part long, chunk long, a binary, b binary, ids array<{kind}>, hashes array<long>")
-    counted = sent.groupBy("part").applyInArrow(count, f"chunk long, a binary, b binary, c binary, ids array<{kind}>, hashes array<long>")
+    sent = source.mapInArrow(send, f"part long, {block}")
+    counted = sent.groupBy("part").applyInArrow(count, block)
     fields = f"uid long, doc_id {kind}, row_hash long, size long, digest binary, alone long, weight double, holders long, least long, tokens array<long>"
     return counted.groupBy("chunk").applyInArrow(assemble, fields)
 
@@ -181,9 +177,9 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node reachable) for the nodes of edges(a, b).
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014), each a join and an
-    aggregate over edges, materialised, until nothing changes. Nodes of any degree are spread, as
-    minima are aggregated in part and the joins are sort-merge joins, which Spark splits at large
-    nodes. Loops and repeats are harmless.
+    aggregate over edges, materialised, until nothing changes. Nodes of any degree are spread: minima
+    are aggregated in part, and materialised before they are joined, so that both sides of a join
+    are plain exchanges, whose large partitions Spark splits. Loops and repeats are harmless.
     """
     edge = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     state = cut(edge)
@@ -196,12 +192,11 @@ def components(edges: DataFrame) -> DataFrame:
             )
         mark = now
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(least.hint("merge"), "u")
-        small = linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        state = cut(small.distinct())
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = cut(both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        state = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -235,7 +230,7 @@ def ngram_classes(
     triangle inequality of the Jaccard distance, through the document of step 2, rules them out.
     No pair above the threshold is lost, and a group of near copies costs a few times its size.
 
-    Shingles are compared as 56-bit hashes, sets by 128-bit digests. Null texts and texts without
+    Shingles are compared as 64-bit hashes, sets by 128-bit digests. Null texts and texts without
     words have size 0 and no links. Null ids and repeated rows are documents of their own; ids that
     are all null in a class give a null component_id. An empty table gives no rows.
     """
@@ -304,17 +299,22 @@ def _left_over(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b that meet in a shingle, lie in different classes and may be similar enough.
 
     One side is outside the class of the shingle's pivot. Distances to the pivot of similar
-    documents differ by 1 - percent / 100 at most, so that only neighbouring bands of it meet.
+    documents differ by 1 - percent / 100 at most, their sizes by a factor of percent / 100, so that
+    only neighbouring bands of both meet.
     """
     reach = 1 - percent / 100
     band = F.floor(F.col("distance") / reach).cast("int")
-    x = rows.filter("label <> pivot_label").select("token", *[F.col(c).alias(f"x_{c}") for c in ("uid", "size", "at", "label", "distance")], F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    y = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in ("uid", "size", "at", "label", "distance")], (F.col("label") == F.col("pivot_label")).alias("y_main"), band.alias("band"))
+    # sizes of similar documents differ by less than one step, so that they lie in the same or neighbouring ones
+    step = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent + 1e-6)).cast("int") if percent < 100 else F.col("size").cast("int")
+    near_sizes = F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: step + k)
+    x = rows.filter("label <> pivot_label").select("token", *[F.col(c).alias(f"x_{c}") for c in ("uid", "size", "at", "label", "distance")], F.explode(F.array(band - 1, band, band + 1)).alias("band"), near_sizes.alias("steps"))
+    x = x.withColumn("step", F.explode("steps")).drop("steps")
+    y = rows.select("token", *[F.col(c).alias(f"y_{c}") for c in ("uid", "size", "at", "label", "distance")], (F.col("label") == F.col("pivot_label")).alias("y_main"), band.alias("band"), step.alias("step"))
     overlap = F.expr(f"({percent} * (x_size + y_size) + {99 + percent}) div {100 + percent}")
     near: Column = F.abs(F.col("x_distance") - F.col("y_distance")) <= reach + 1e-9
     fits = 100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size")
     reachable = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at")) >= overlap
-    pairs = x.join(y, ["token", "band"]).filter((F.col("x_label") != F.col("y_label")) & (F.col("y_main") | (F.col("x_uid") < F.col("y_uid"))) & near & fits & reachable)
+    pairs = x.join(y, ["token", "band", "step"]).filter((F.col("x_label") != F.col("y_label")) & (F.col("y_main") | (F.col("x_uid") < F.col("y_uid"))) & near & fits & reachable)
     return pairs.select(F.least("x_uid", "y_uid").alias("a"), F.greatest("x_uid", "y_uid").alias("b"))
 
 
