@@ -98,3 +98,13 @@ def test_edges(edges, empty):
     assert repetition.quality_rules(empty).count() == 0
     kept = repetition.quality_rules(wide, prefix="q_")
     assert [c for c in kept.columns if not c.startswith("q_")] == wide.columns
+
+
+def test_least_between():
+    draw = np.random.default_rng(3)
+    for n in (1, 5, 63, 64, 65, 400, 3000):
+        values = draw.integers(0, 1000, n).astype(np.int32)
+        x = draw.integers(0, n, 300)
+        y = np.minimum(n, x + 1 + draw.integers(0, n, 300))
+        got = repetition.least_between(values, x, y)
+        assert got.tolist() == [int(values[a:b].min()) for a, b in zip(x, y, strict=True)]

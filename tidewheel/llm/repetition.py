@@ -41,32 +41,33 @@ def longest_repeats(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     innermost LCP interval that holds the suffix which begins there.
 
     The suffix array is made by prefix doubling on all texts at once; ranks never compare beyond a
-    text, and suffixes whose rank is already unique take no further part. Memory: a few arrays of
-    the length of words, and one more for each doubling.
+    text, and suffixes whose rank is already unique take no further part. What two neighbours that
+    part share beyond what the doubling tells is the least common prefix between the ranks of what
+    follows in them, which have parted before. Memory: a few arrays of the length of words.
     """
     n = len(words)
+    kind = np.int32 if n < 1 << 31 else np.int64
     if n == 0:
-        return np.zeros(0, np.int64)
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    end = np.repeat(np.cumsum(sizes), sizes)
-    key = text * (int(words.max()) + 1) + words
+        return np.zeros(0, kind)
+    end = np.repeat(np.cumsum(sizes), sizes).astype(kind)
+    key = np.repeat(np.arange(len(sizes)), sizes) * (int(words.max()) + 1) + words
     order = np.argsort(key, kind="stable")
     new = np.empty(n, bool)
     new[0] = True
     np.not_equal(key[order[1:]], key[order[:-1]], out=new[1:])
-    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = start
-    lcp = np.zeros(n + 1, np.int64)  # lcp[k]: of the suffixes of ranks k - 1 and k
-    levels = [rank.copy()]
-    alone = new & np.append(new[1:], True)
-    active = order[~alone]  # suffixes of not yet unique rank, in the order of their ranks
+    del key
+    order = order.astype(kind)
+    rank = np.empty(n, kind)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=kind), 0))
+    unknown = np.iinfo(kind).max
+    lcp = np.append(np.where(new, 0, unknown), 0).astype(kind)  # lcp[k]: of the suffixes of ranks k - 1 and k
+    active = order[~(new & np.append(new[1:], True))]  # suffixes of not yet unique rank, in the order of their ranks
+    del order, new
     h = 1
     while len(active):
-        ahead = active + h
-        inside = ahead < end[active]
-        second = np.where(inside, rank[np.where(inside, ahead, 0)] + 1, 0)
-        by = np.lexsort((second, rank[active]))
+        ahead = active.astype(np.int64) + h
+        second = np.where(ahead < end[active], rank[np.minimum(ahead, n - 1)].astype(np.int64) + 1, 0)
+        by = np.argsort(rank[active].astype(np.int64) * (n + 1) + second, kind="stable")
         active, second = active[by], second[by]
         old = rank[active]
         group = np.empty(len(active), bool)
@@ -74,27 +75,48 @@ def longest_repeats(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         np.not_equal(old[1:], old[:-1], out=group[1:])
         split = group.copy()
         split[1:] |= second[1:] != second[:-1]
-        index = np.arange(len(active))
+        index = np.arange(len(active), dtype=kind)
         offset = index - np.maximum.accumulate(np.where(group, index, 0))
         fresh = old + np.maximum.accumulate(np.where(split, index, 0)) - (index - offset)
         apart = np.flatnonzero(split & ~group)  # neighbours that part here share h words, but not 2 h
-        left, right, common = active[apart - 1], active[apart], np.full(len(apart), h)
-        for k in range(len(levels) - 1, -1, -1):
-            a, b = left + common, right + common
-            ok = (a < end[left]) & (b < end[right])
-            same = ok.copy()
-            same[ok] = levels[k][a[ok]] == levels[k][b[ok]]
-            # equal ranks at this level mean 2**k equal words, unless the suffix is shorter and so unique
-            common = common + np.where(same, 1 << k, 0)
+        low, high = second[apart - 1], second[apart] - 1  # ranks of what follows: one before the first that counts, the last
+        common = np.full(len(apart), h, kind)
+        both = np.flatnonzero(low > 0)  # the left one ends after h words, else
+        common[both] += least_between(lcp, low[both], high[both] + 1)
         lcp[fresh[apart]] = common
         rank[active] = fresh
-        levels.append(rank.copy())
-        single = split & np.append(split[1:], True)
-        active = active[~single]
+        active = active[~(split & np.append(split[1:], True))]
         h *= 2
     return np.maximum(lcp[rank], lcp[rank + 1])
 
 
+def least_between(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, block: int = 64) -> np.ndarray:
+    """The least of values[begin:end] for each begin < end: by whole blocks, and one by one at both sides."""
+    if not len(begins):
+        return np.zeros(0, values.dtype)
+    table = [np.minimum.reduceat(values, np.arange(0, len(values), block))]  # of 1, 2, 4, ... blocks
+    while len(table[-1]) > 1 << (len(table) - 1):
+        step = 1 << (len(table) - 1)
+        table.append(np.minimum(table[-1][:-step], table[-1][step:]))
+    first, last = -(-begins // block), ends // block  # whole blocks
+    some = first < last
+    out = np.full(len(begins), np.iinfo(values.dtype).max, values.dtype)
+    level = np.frexp(np.maximum(last - first, 1).astype(np.float64))[1] - 1
+    for k in np.unique(level[some]).tolist():
+        own = np.flatnonzero(some & (level == k))
+        out[own] = np.minimum(table[k][first[own]], table[k][last[own] - (1 << k)])
+    for x, y in ((begins, np.where(some, first * block, ends)), (np.where(some, last * block, ends), ends)):
+        own = np.flatnonzero(x < y)
+        if len(own):
+            # reduceat takes pairs of bounds: every other result is of a range. In order, the gaps
+            # between ranges, which it reads as well, add up to one pass; an end needs one value more
+            own = own[np.argsort(x[own], kind="stable")]
+            padded = np.append(values, values[-1])
+            bounds = np.stack([x[own], y[own]], 1).reshape(-1)
+            out[own] = np.minimum(out[own], np.minimum.reduceat(padded, bounds)[::2])
+    return out
+
+
 def covered(longest: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
     """Words of each text that lie in a repeat of at least so many words, each counted once."""
     n = len(longest)
