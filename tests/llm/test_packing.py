@@ -23,7 +23,7 @@ def ids(direct, text):
 
 def test_cache_encodes_as_the_tokenizer_does(direct):
     draw = random.Random(1)
-    bits = ["foo", "BAR", "é", "Σας", "'s", "I'll", "don't", ",", ".", "!!", "...", "12", "3.4", "…", "\x01", " ", "  ", "\n", "\t", " ", "​", "<|endoftext|>", "x́", "ﬁ", "𝄞", "_", "²"]
+    bits = ["foo", "BAR", "é", "Σας", "'s", "I'll", "don't", ",", ".", "!!", "...", "12", "3.4", "…", "\x01", " ", "  ", "\n", "\t", " ", "​", "<|endoftext|>", "<|EndOfText|>", "\x1c", "\x85", "x́", "ﬁ", "𝄞", "_", "²"]
     texts = ["".join(draw.choices(bits, k=draw.randint(0, 12))) for _ in range(1500)] + [None, ""]
     for most in (100_000, 50):
         cache = packing.TokenCache(tokenizer_path(), most)
@@ -97,3 +97,47 @@ def test_sequences_are_padded(spark, edges):
     rows = packing.sequences(pieces, pad_id=5).collect()
     packing.delete_folder(folder)
     assert all(len(r.ids) == 2048 or (n := len(r.ids)) & (n - 1) == 0 for r in rows) and sum(r.n_tokens for r in rows) > 40_000
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_whole_texts_where_runs_are_not_apart(name):
+    import public_tokenizers
+
+    path = public_tokenizers.path(name)
+    direct, cache = tokenizers.Tokenizer.from_file(path), packing.TokenCache(path)
+    assert cache.by_run == (name == "word_bpe_49k.json")
+    texts = ["Two  words.\n Indented line", "", None, "CASE matters", "a <|ENDOFTEXT|> b", "x <|endoftext|>"]
+    got = [np.frombuffer(x, cache.dtype).tolist() for x in cache.encode(pa.array(texts, pa.string()), 1).to_pylist()]
+    assert got == [ids(direct, t) for t in texts]
+
+
+def test_repeated_rows_are_spread_over_lanes(spark):
+    df = spark.createDataFrame([(1, "same text here " * 16, "a")] * 1200, "doc_id long, text string, source string")
+    rows = packing.packed_digests(df, tokenizer_path(), lane_tokens=6_000).collect()
+    lanes = {r.sequence_id >> 32 for r in rows}
+    tokens = sum(r.length for r in rows)
+    assert len(lanes) == -(-tokens // 6_000) and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
+def test_registered_pieces_match_the_plain_tokenizer(spark, direct):
+    """Every piece of every document of a whole table, against the tokenizer run on whole texts."""
+    import duckdb
+    import os
+
+    from tidewheel.llm import queries
+
+    data = os.environ.get("TIDEWHEEL_TEST_DATA", "/root/testdata/sf0.001")
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{data}/documents.parquet'").fetchall())
+    want = {i: ids(direct, t) for i, t in texts.items()}
+    at, windows = dict.fromkeys(texts, 0), {}
+    for r in sorted(queries.op4_mixture_packing(spark, data).collect(), key=lambda r: (r.doc_id, r.start)):
+        assert r.start == at[r.doc_id] and r.doc_tokens == len(want[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+        at[r.doc_id] += r.length
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert at == {i: len(x) for i, x in want.items()}
+    for pieces in windows.values():
+        assert [o for o, _ in sorted(pieces)] == [sum(n for _, n in sorted(pieces)[:k]) for k in range(len(pieces))]
+        assert sum(n for _, n in pieces) <= 2048

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,24 +22,44 @@ from .warc import delete_folder
 
 _TAIL = ".,!?;:"
 _MARK = "\x01"
+#: Fixed values, as tokenizer files state them: what lower-cases, splits at white space and drops it,
+#: and splits between a letter or digit and the punctuation after it.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class TokenCache:
     """Token ids of texts, with the ids of each run of other than ASCII white space kept.
 
-    That is exact for tokenizers that lower-case, split at white space and drop it, and split
-    between a letter or digit and the punctuation after it. At most `most` runs are kept; those
-    that come when it is full are encoded anew each time, unless they get to be half of a batch.
+    That is exact for tokenizers whose own description is the one above; with any other, whole texts
+    are encoded, and so are texts in which lower-casing would make one of the tokenizer's added
+    tokens. At most `most` runs are kept; those that come when it is full are encoded anew each
+    time, unless they get to be half of a batch.
     """
 
     def __init__(self, path: str, most: int = 500_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        description = json.loads(self.tokenizer.to_str())
+        self.by_run = (description["normalizer"], description["pre_tokenizer"]) == (_NORMALIZER, _PRE_TOKENIZER)
+        self.added = [t["content"] for t in description["added_tokens"]]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        # what is printable ASCII in lower case is as the normalizer would leave it
+        self.ready = Tokenizer.from_file(path)
+        self.ready.normalizer = normalizers.Sequence([])
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.most = most
@@ -60,11 +81,11 @@ class TokenCache:
         self.sizes[self.n : self.n + n] = sizes
         self.used, self.n = self.used + total, self.n + n
 
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has. They are encoded as one text with a mark between
         them, the ids of which are told by the mark's; one by one if that isn't sure."""
         if self.mark is not None and not any(_MARK in w for w in words):
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(tokenizer.encode_batch_fast([f" {_MARK} ".join(words)], add_special_tokens=False)[0].ids, np.int64)
             between = np.flatnonzero(ids == self.mark)
             if len(between) == len(words) - 1:
                 return np.delete(ids, between), np.diff(np.concatenate([[-1], between, [len(ids)]])) - 1
@@ -85,9 +106,11 @@ class TokenCache:
         # a stem and its punctuation are encoded apart; the stem is often known
         parts = {w: (stem, w[len(stem) :]) for w in new if (stem := w.rstrip(_TAIL)) != w and stem and stem[-1].isascii() and stem[-1].isalnum()}
         whole = dict.fromkeys(x for w in new for x in parts.get(w, (w,)) if x not in known)
-        place = dict(zip(whole, range(self.n, self.n + len(whole)), strict=True))
-        for i in range(0, len(whole), 20_000):
-            self._add(*self._encode(list(islice(whole, i, i + 20_000))))
+        place = {}
+        for tokenizer, some in ((self.ready, [w for w in whole if w.isascii() and w.isprintable()]), (self.tokenizer, [w for w in whole if not (w.isascii() and w.isprintable())])):
+            place.update(zip(some, range(self.n, self.n + len(some)), strict=True))
+            for i in range(0, len(some), 20_000):
+                self._add(*self._encode(some[i : i + 20_000], tokenizer))
         slot = lambda w: place[w] if w in place else known[w]
         halves = np.fromiter((slot(x) for pair in parts.values() for x in pair), np.int64, 2 * len(parts))
         sizes = self.sizes[halves]
@@ -102,23 +125,45 @@ class TokenCache:
 
     def encode(self, texts: pa.Array, end_id: int) -> pa.Array:
         """The ids of each text (null: empty) and then end_id, as little-endian integers of self.dtype."""
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.string())))
+        texts = pc.fill_null(texts, "").cast(pa.string())
+        whole = np.ones(len(texts), bool)
+        if self.by_run:
+            plain = pc.ascii_lower(texts)
+            whole[:] = False
+            runs, seen = self._by_run(plain, end_id)
+            for token in self.added:
+                if token in seen:
+                    whole |= pc.not_equal(pc.count_substring(plain, token), pc.count_substring(texts, token)).to_numpy(zero_copy_only=False)
+            if not whole.any():
+                return runs
+        lists = iter(self.tokenizer.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False))
+        own = [np.array([*next(lists).ids, end_id], self.dtype).tobytes() if w else runs[i].as_py() for i, w in enumerate(whole)]
+        return pa.array(own, pa.binary())
+
+    def _by_run(self, plain: pa.Array, end_id: int) -> tuple[pa.Array, str]:
+        """The ids of each text, and the different runs, with spaces between them."""
+        lists = pc.ascii_split_whitespace(plain)
         words = lists.flatten().dictionary_encode()
         if isinstance(words, pa.ChunkedArray):
             words = words.combine_chunks()
-        slots = self._slots_of(words.dictionary.to_pylist())
-        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
-        of_word = slots[words.indices.to_numpy(zero_copy_only=False)] if len(slots) else np.zeros(0, np.int64)
-        starts, sizes = np.insert(self.starts[of_word], ends, self.used), np.insert(self.sizes[of_word], ends, 1)
-        if self.used == len(self.flat):
-            self.flat = np.concatenate([self.flat, self.flat])
-        self.flat[self.used] = end_id
-        behind = np.cumsum(sizes)
-        total = int(behind[-1]) if len(behind) else 0
-        kind = np.int32 if max(total, self.used) < 1 << 30 else np.int64
-        ids = self.flat[np.repeat((starts - behind + sizes).astype(kind), sizes) + np.arange(total, dtype=kind)]
-        bounds = np.concatenate([[0], behind[ends + np.arange(len(ends))]]) * self.dtype.itemsize
-        return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+        every = words.dictionary
+        seen = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every), " ")[0].as_py()
+        slots = self._slots_of(seen.split(" ") if len(every) else [])
+        end_slot = self.n
+        self._add(np.array([end_id]), np.array([1]))
+        behind = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = np.full(int(behind[-1]) if len(behind) else 0, end_slot, np.int64)
+        of_word = np.ones(len(at), bool)
+        of_word[behind - 1] = False
+        if len(slots):
+            at[of_word] = slots[words.indices.to_numpy(zero_copy_only=False)]
+        # slots lie end to end: an array of byte strings, of which Arrow takes those wanted
+        width = self.dtype.itemsize
+        offsets = np.append(self.starts[: self.n], self.used) * width
+        every = pa.Array.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(offsets), pa.py_buffer(self.flat)])
+        taken = every.take(pa.array(at))
+        bounds = np.frombuffer(taken.buffers()[1], np.int64)[np.insert(behind, 0, 0)] if len(behind) else np.zeros(1, np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(behind), [None, pa.py_buffer(bounds), taken.buffers()[2]]).cast(pa.binary()), seen
 
 
 _CACHES: dict[str, TokenCache] = {}
@@ -133,7 +178,7 @@ def token_cache(path: str) -> TokenCache:
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str, chunk_chars: int = 8_000_000) -> DataFrame:
-    """doc_id, source, n_tokens, ids, h: one row for each row of docs."""
+    """doc_id, source, n_tokens, ids, row (a number of its own): one row for each row of docs."""
     lean_batches(docs.sparkSession, 4_000)
     source = docs.select(
         F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(source_col)).cast("string").alias("source"), F.col(quoted(text_col)).alias("text")
@@ -141,16 +186,20 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
     schema = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         cache = token_cache(path)
-        width = cache.dtype.itemsize
+        width, row = cache.dtype.itemsize, TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in chunks(batch, 2, chunk_chars):
                 ids = cache.encode(part.column(2), end_id)
                 n = pc.divide(pc.binary_length(ids).cast(pa.int64()), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, ids], names=["doc_id", "source", "n_tokens", "ids"])
+                rows = pa.array(np.arange(row, row + part.num_rows))
+                row += part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, ids, rows], names=["doc_id", "source", "n_tokens", "ids", "row"])
         release()
 
-    return source.mapInArrow(run, f"doc_id {schema}, source string, n_tokens long, ids binary")
+    return source.mapInArrow(run, f"doc_id {schema}, source string, n_tokens long, ids binary, row long")
 
 
 @dataclass(frozen=True)
@@ -230,8 +279,8 @@ def pack(
 
     With digests, ids_crc32 (of ids as unsigned 32-bit little-endian integers) is in the place of ids.
 
-    Documents are dealt by hash to lanes of about lane_tokens tokens, whatever their source; a lane
-    is what one task holds. In a lane, deficit_round_robin() fills the windows. shares are the
+    Rows are dealt to lanes of about lane_tokens tokens by a hash of a number that each has got with
+    its tokens, whatever their source and however often they repeat; a lane is what one task holds. In a lane, deficit_round_robin() fills the windows. shares are the
     target proportions; without them, those of the sources among the lane's tokens, so that no
     queue runs dry before the others. A lane begins with what the lanes before it leave: for each
     source, its target among all their tokens less its own tokens there, a window's tokens at most.
@@ -247,7 +296,7 @@ def pack(
     tokens = spark.read.parquet(folder)
     total = tokens.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     lanes = max(1, -(-total // lane_tokens))
-    lane = F.pmod(F.xxhash64("doc_id", "source", "n_tokens"), F.lit(lanes))
+    lane = F.pmod(F.xxhash64("row"), F.lit(lanes))
     sums = cut(tokens.groupBy(lane.alias("lane"), "source").agg(F.sum("n_tokens").alias("n")))
     deficits = _deficits(sums, shares)
     given = None if shares is None else dict(shares)
@@ -286,7 +335,7 @@ def pack(
         arrays = [pa.array(c, f.type) for c, f in zip(out[1:], fields, strict=True)]
         return pa.Table.from_arrays([rows.column("doc_id").take(pa.array(out[0], pa.int64())), *arrays], names=["doc_id", *fields.names])
 
-    laned = tokens.withColumn("lane", lane)
+    laned = tokens.withColumn("lane", lane).drop("row")
     pieces = laned.groupBy("lane").cogroup(deficits.groupBy("lane")).applyInArrow(fill, f"doc_id {doc_id}, {PIECE.replace('ids binary', 'ids_crc32 long') if digests else PIECE}")
     return pieces, folder
 
