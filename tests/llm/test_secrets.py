@@ -59,3 +59,50 @@ def test_found_in_a_whole_long_text(spark, model):
     df = spark.createDataFrame([(1, "word " * 50_000 + key + " " + "end " * 10)], "doc_id long, text string")
     row = secrets.scan_secrets(df, model, keep=("doc_id",)).first()
     assert [(s.kind, s.start, s.end) for s in row.spans] == [("random", 250_000, 250_024)]
+
+
+def quadratic(matches, found):
+    return [m.span() for m in matches if not any(a < m.end() and m.start() < b for a, b, _ in found)]
+
+
+def test_apart_matches_all_pairs():
+    draw = random.Random(4)
+    for _ in range(300):
+        text = "".join(draw.choice("ab .") for _ in range(80))
+        found = sorted((a, a + draw.randint(1, 9), "x") for a in draw.choices(range(75), k=draw.randint(0, 8)))
+        assert list(secrets.apart(re.finditer(r"[ab]{2,}", text), found)) == quadratic(re.finditer(r"[ab]{2,}", text), found)
+
+
+def test_many_spans_in_one_text():
+    import time
+
+    text = ("deadbeefdeadbeef0 " + "Zk3v9QpLx7WmT2bRnY8sHdF4 ") * 40_000
+    begin = time.process_time()
+    found = sorted((a, b, k) for a, b, k in secrets.base_spans(text))
+    assert len(found) == 40_000 and sum(1 for _ in secrets.apart(secrets.CANDIDATE.finditer(text), found)) == 40_000
+    assert time.process_time() - begin < 10
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_held_out_strings(spark, seed):
+    """Trained on one half of the words, measured on names made of the other, in forms, lengths and
+    alphabets that training doesn't have; and on keys in forms of their own."""
+    draw = random.Random(seed)
+    syllables = ["con", "nec", "tion", "hand", "ler", "buf", "fer", "re", "quest", "val", "ue", "in", "dex", "pars", "er", "stream", "log", "ger", "con", "fig", "up", "date", "user", "name", "tab", "le", "col", "umn", "ser", "vice", "time", "out"]
+    words = sorted({"".join(draw.choices(syllables, k=draw.randint(2, 4)))[:15] for _ in range(1200)})
+    draw.shuffle(words)
+    seen, unseen = words[:500], words[500:]
+    docs = spark.createDataFrame([(i, " ".join(seen[i::10])) for i in range(10)], "doc_id long, text string")
+    model = secrets.fit_markov(spark.createDataFrame(secrets.random_samples(3000), "text string, random boolean").unionByName(secrets.identifier_samples(docs)))
+    name = lambda: draw.choice([
+        lambda w: "_".join(w), lambda w: "-".join(w), lambda w: "/".join(w), lambda w: w[0] + "".join(x.capitalize() for x in w[1:]),
+        lambda w: "_".join(w).upper(), lambda w: "_".join(w) + f"_{draw.randrange(10_000)}", lambda w: "/".join(w) + f"-v{draw.randrange(9)}",
+    ])(draw.choices(unseen, k=draw.randint(3, 6)))
+    key = lambda: draw.choice([
+        lambda n: "".join(draw.choices(string.ascii_letters + string.digits, k=n)), lambda n: "sk-" + "".join(draw.choices(string.ascii_letters + string.digits, k=n)),
+        lambda n: "".join(draw.choices(string.ascii_uppercase + string.digits, k=n)), lambda n: "".join(draw.choices(string.ascii_lowercase + string.digits, k=n)),
+        lambda n: "ghp_" + "".join(draw.choices(string.ascii_letters + string.digits + "_-", k=n)),
+    ])(draw.randint(24, 48))
+    names, keys = [x for x in (name() for _ in range(2000)) if len(x) >= 20], [key() for _ in range(2000)]
+    caught, wrong = sum(map(model.is_random, keys)), sum(map(model.is_random, names))
+    assert caught / len(keys) >= 0.9 and caught / (caught + wrong) >= 0.9, (caught / len(keys), wrong / len(names))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
@@ -119,22 +119,39 @@ def identifier_samples(docs: DataFrame, text_col: str = "text", most_docs: int =
     """Labelled ordinary identifiers (text, random = false) from the words of a bounded sample.
 
     At most most_docs documents, those with the smallest seeded hash of their text, and at most
-    most distinct words of letters, '_' and '-' from them; each also joined with a neighbour in the
-    ways identifiers are (snake, kebab and camel case).
+    most distinct words of letters from them. Each comes alone, joined with the word behind it in
+    the order of hashes (the last with itself) in the ways identifiers are (snake, kebab, camel case,
+    paths), and so with a number, as in names of versions and items.
     """
     sample = docs.select(F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("s"))
     sample = hash_sample(sample, most_docs, "s", seed=seed)
     pattern = F.lit("(?<![A-Za-z0-9_-])([A-Za-z]{3,15})(?![A-Za-z0-9_-])")
     words = sample.select(F.explode(F.regexp_extract_all("s", pattern, F.lit(1))).alias("w"))
     words = words.distinct().orderBy(F.xxhash64("w"), "w").limit(most)
-    low, cap = F.lower("w"), F.initcap("w")
-    snake = F.concat_ws("_", low, low)
+    # one window over at most `most` rows
+    words = words.select("w", F.coalesce(F.lead("w").over(Window.orderBy(F.xxhash64("w"), "w")), F.col("w")).alias("v"))
+    low, next_, cap, next_cap = F.lower("w"), F.lower("v"), F.initcap("w"), F.initcap("v")
+    number = F.pmod(F.xxhash64(F.lit(seed), "w"), F.lit(1000)).cast("string")
+    snake = F.concat_ws("_", low, next_)
     forms = F.array(
-        F.col("w"), snake, F.upper(snake), F.concat_ws("-", low, low), F.concat_ws("/", low, low), F.concat(low, cap), F.concat(cap, cap)
-    )
+        F.col("w"), snake, F.upper(snake), F.concat_ws("-", low, next_), F.concat_ws("/", low, next_), F.concat(low, next_cap), F.concat(cap, next_cap),
+        F.concat(low, next_, number), F.concat_ws("_", low, number, next_), F.concat_ws("-", next_, low, number),
+    )
     return words.select(F.explode(forms).alias("text"), F.lit(False).alias("random"))
 
 
+def apart(matches: Iterable[re.Match], found: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """Spans of matches that touch none of found, both in order of start: one pass over the two."""
+    i, reach = 0, 0
+    for m in matches:
+        start, end = m.span()
+        while i < len(found) and found[i][0] < end:
+            reach = max(reach, found[i][1])
+            i += 1
+        if reach <= start:
+            yield start, end
+
+
 SPANS = ArrayType(
     StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())])
 )
@@ -165,11 +182,7 @@ def scan_secrets(
                 for text in part.column(at).to_pylist():
                     text = text or ""
                     found = sorted(base_spans(text), key=lambda x: (x[0], rank[x[2]]))
-                    more = [
-                        (*m.span(), "random")
-                        for m in CANDIDATE.finditer(text)
-                        if model.is_random(m[0]) and not any(a < m.end() and m.start() < b for a, b, _ in found)
-                    ]
+                    more = [(a, b, "random") for a, b in apart(CANDIDATE.finditer(text), found) if model.is_random(text[a:b])]
                     base.append([{"kind": k, "start": a, "end": b} for a, b, k in found])
                     both = sorted(found + more, key=lambda x: (x[0], rank[x[2]]))
                     every.append([{"kind": k, "start": a, "end": b} for a, b, k in both])
