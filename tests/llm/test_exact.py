@@ -52,3 +52,13 @@ def test_unique_rows(edges, empty):
     assert all(kept[t] == best for _, best, _, _, t in expected(edges.collect()))
     assert next(r for r in rows if r.doc_id == 5).text is None
     assert exact.unique_rows(empty).count() == 0 == exact.exact_dedup(empty).count()
+
+
+def test_unique_rows_with_clashing_names_and_maps(spark):
+    rows = [(1, "x", {"a": 1}, True, 5), (2, "x", {"b": 2}, False, 6), (None, None, None, None, None), (3, "", {"c": 3}, True, 7), (2, "x", {"b": 2}, False, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>, __null_text boolean, `no_text` long").withColumnsRenamed({"__null_text": "at"})
+    out = exact.unique_rows(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text, r.tags, r.at, r.no_text) for r in out.collect()), key=repr) == sorted([(2, "x", {"b": 2}, False, 6), (3, "", {"c": 3}, True, 7)], key=repr)
+    odd = spark.createDataFrame([(1, "x", 1, 2), (2, "x", 3, 4)], "doc_id long, text string, `a.b` long, __null_text long")
+    assert [tuple(r) for r in exact.unique_rows(odd).collect()] == [(2, "x", 3, 4)]

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from .common import cut, quoted
+from .common import cut, fresh, quoted
 
 
 def sha256_digest(text: Column) -> Column:
@@ -81,21 +82,28 @@ def exact_dedup(
 def unique_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """docs with one row per distinct text, that of the largest id; all its columns as they were.
 
-    Rows that repeat id and text leave one. A null text equals an empty one; of a group with both,
-    the row with the largest id stays as it is.
+    Rows that repeat id and text leave one: that with the largest hash of all columns. A null text
+    equals an empty one; of a group with both, the row with the largest id stays as it is. Columns
+    may have any type and name.
     """
     names = docs.columns
+    no_text, at = fresh(names, "no_text"), fresh(names, "at")
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
-    payload = F.struct(*[F.col(quoted(c)) for c in names if c != text_col], F.col(quoted(text_col)).isNull().alias("__null_text"))
-    rows = docs.select(text.alias("text"), F.sha2(text, 256).alias("digest"), F.struct(F.col(quoted(id_col)).alias("id"), payload.alias("row")).alias("best"))
+    row = F.struct(*[F.col(quoted(c)) for c in names if c != text_col], F.col(quoted(text_col)).isNull().alias(no_text))
+    # only the id and a hash are ordered, so that the row may hold what has no order or hash, such as maps
+    hashed = [F.to_json(F.struct(F.col(quoted(c)))) if _holds_map(docs.schema[c].dataType) else F.col(quoted(c)) for c in names]
+    order = F.struct(F.col(quoted(id_col)).alias("id"), F.xxhash64(*hashed).alias("hash"))
+    rows = docs.select(text.alias("text"), F.sha2(text, 256).alias("digest"), order.alias(at), row.alias("row"))
     salted = (
         rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         .groupBy("digest", "salt", "text")
-        .agg(F.max("best").alias("best"))
+        .agg(F.max_by("row", at).alias("row"), F.max(at).alias(at))
     )
-    kept = salted.groupBy("digest", "text").agg(F.max("best").alias("best"))
-    out = [
-        F.when(~F.col("best.row.__null_text"), F.col("text")).alias(c) if c == text_col else F.col(f"best.row.{quoted(c)}").alias(c)
-        for c in names
-    ]
+    kept = salted.groupBy("digest", "text").agg(F.max_by("row", at).alias("row"))
+    inside = F.col("row")
+    out = [F.when(~inside[no_text], F.col("text")).alias(c) if c == text_col else inside[c].alias(c) for c in names]
     return kept.select(*out)
+
+
+def _holds_map(kind: DataType) -> bool:
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()
