@@ -166,7 +166,7 @@ def mix(
     size of the source) times or once more. Blocks have block_words words, or more where that would
     make over most_blocks of them; a drawn document lies in the block where it starts. The tree
     deals the blocks to 2 ** k shards of about shard_words words; which of a source's blocks a shard
-    gets is a permutation of their numbers, so shards draw disjoint blocks; within a shard the order
+    gets is a seeded permutation of their numbers, so shards draw disjoint blocks; within a shard the order
     is a hash. Everything follows from seed and rows, so reruns agree.
 
     Null texts have no words; documents without words get targets but are never drawn. A null
@@ -183,11 +183,12 @@ def mix(
     dealt = split_tree(targets.select("skey", "n_blocks"), depth, seed)
     by_shard = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.withColumn("low", F.coalesce(F.sum("quota").over(by_shard), F.lit(0))).filter("quota > 0")
-    dealt = dealt.join(targets.select("skey", "n_blocks"), "skey")
-    dealt = dealt.select("skey", "shard", "n_blocks", F.explode(F.sequence(F.col("low"), F.col("low") + F.col("quota") - 1)).alias("draw"))
-    # fixed values: two primes; the one that doesn't divide n_blocks permutes the numbers below it
-    step = F.when(F.col("n_blocks") % 1_000_003 == 0, F.lit(999_983)).otherwise(F.lit(1_000_003)).cast("long")
-    dealt = dealt.select("skey", "shard", ((F.col("draw") * step + seed) % F.col("n_blocks")).alias("block"))
+    dealt = dealt.select("skey", "shard", F.explode(F.sequence(F.col("low"), F.col("low") + F.col("quota") - 1)).alias("draw"))
+    # a source's blocks in the order of a seeded hash: a permutation of at most most_blocks numbers, and one more a source
+    numbered = targets.filter("n_blocks > 0").select("skey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+    by_hash = Window.partitionBy("skey").orderBy(F.xxhash64(F.lit(seed), "skey", "block"), "block")
+    permuted = numbered.withColumn("draw", (F.row_number().over(by_hash) - 1).cast("long"))
+    dealt = dealt.join(permuted, ["skey", "draw"]).select("skey", "shard", "block")
     documents = cut(_positions(sizes, targets.drop("total", "n_blocks", "weight")))
     copies = F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("copy")
     drawn = documents.filter("size > 0").select("*", copies)
