@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.models import forest, scaling, sequence, thresholds
+from tidewheel.functions.quantiles import exact_quantiles
+from tidewheel.models import forest, scaling, sequence, stack, thresholds
 from tidewheel.operators import coactivity, drift, profile
 
 
@@ -119,7 +120,8 @@ def test_psi_edges(spark):
     train = side([("flat", 1.0)] * 5 + [("x", float(i)) for i in range(10)] + [("x", None)])
     test = side([("flat", 1.0), ("x", 99.0), ("x", None)])
     got = {(r.column, r.bucket): r for r in drift.compare_buckets(train, test).collect()}
-    assert got == {(r.column, r.bucket): r for r in drift.compare_buckets(train, test, few_groups=False).collect()}
+    again = drift.compare_buckets(train.repartition(7), test.repartition(3)).collect()
+    assert got == {(r.column, r.bucket): r for r in again}
     assert got["flat", "single_value_or_no_bucket"].train_count == 5
     assert got["x", "outside_training_range"].test_count == 1 and got["x", "outside_training_range"].psi_component == 0
     assert got["x", "missing"].train_count == got["x", "missing"].test_count == 1
@@ -137,3 +139,84 @@ def test_published_arithmetic():
     counts = {1: 1_983, 2: 122, 3: 133, 4: 39, 5: 6_658}
     assert sum(counts.values()) == 8_935 and round(100 * counts[5] / 8_935, 2) == 74.52
     assert round(903_989_913 / 1_189_544_747, 4) == 0.7599 and sum((47, 431, 118, 37, 68, 22)) == 723
+
+
+@pytest.mark.parametrize("accuracy", [50, 1000, 10_000])
+def test_exact_quantiles(spark, accuracy):
+    rng = np.random.default_rng(5)
+    groups = {None: rng.normal(size=3000), "ties": rng.integers(0, 9, 2000).astype(float), "one": np.array([4.0]), "few": rng.normal(size=37), "more": rng.exponential(size=12_000)}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("ties", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    points = [0.0, 0.01, 0.25, 0.5, 0.9, 0.95, 1.0]
+    got = {r.g: r.quantiles for r in exact_quantiles(df, ["g"], "v", points, accuracy).collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        assert np.allclose(got[k], np.quantile(x, points), rtol=1e-12, atol=1e-12), k
+    joined = {r.g: r.quantiles for r in exact_quantiles(df, ["g"], "v", points, accuracy, most_broadcast=0).collect()}
+    assert joined == got
+    whole = exact_quantiles(df.filter("g = 'few'"), [], "v", [0.5]).collect()
+    assert len(whole) == 1 and math.isclose(whole[0].quantiles[0], np.median(groups["few"]))
+
+
+def test_stored_forests_per_tag(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(t, i, *map(float, rng.normal(size=2)), None if t == "b" else float(i)) for t in ("a", "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "tagname string, lift_id int, x double, y double, z double").withColumn("y", F.when(F.col("lift_id") % 9 == 0, None).otherwise(F.col("y")))
+    names = ["x", "y", "z"]
+    forest.fit_by_tag(df, names, trees=30, sample=32).write.parquet(f"{tmp_path}/m")
+    models = spark.read.parquet(f"{tmp_path}/m")
+    stored = {r.tagname: r for r in models.collect()}
+    assert stored["a"].columns == names and stored["b"].columns == ["x", "y"]
+    # direct computation: impute, scale, walk each tree
+    new = [("a", 100, 5.0, None, 70.0), ("a", 101, 0.1, 0.2, 30.0), ("b", 102, 0.1, -4.0, None), ("c", 103, 1.0, 1.0, 1.0)]
+    got = {r.lift_id: r for r in forest.score_by_tag(spark.createDataFrame(new, df.schema), models, names).collect()}
+    assert set(got) == {100, 101, 102}
+    for tag, lift, *x in new[:3]:
+        m = stored[tag]
+        v = [(m.median[i] if x[names.index(c)] is None else x[names.index(c)]) for i, c in enumerate(m.columns)]
+        v = [(a - b) / s for a, b, s in zip(v, m.mean, m.scale, strict=True)]
+        nodes, depths, at = np.frombuffer(m.nodes).reshape(-1, 7), [], 0
+        for size in m.sizes:
+            tree, k = nodes[at : at + size], 0
+            while tree[k][1] >= 0:
+                k = int(tree[k][3] if v[int(tree[k][1])] <= tree[k][2] else tree[k][4])
+            depths.append(tree[k][6] + forest.average_path(tree[k][5]))
+            at += size
+        score = 2 ** (-np.mean(depths) / forest.average_path(m.sample))
+        assert math.isclose(got[lift].anomaly_score, score, rel_tol=1e-12) and got[lift].is_anomaly == int(score > m.cut)
+    # another number of features: the tag is skipped
+    less = spark.createDataFrame([("a", 1, 1.0, 1.0, None), ("b", 1, 1.0, 1.0, None)], df.schema)
+    assert {r.tagname for r in forest.score_by_tag(less, models, names).collect()} == {"b"}
+    same = {(r.tagname, r.lift_id): r.anomaly_score for r in forest.score_by_tag(df, models, names).collect()}
+    assert same == {(r.tagname, r.lift_id): r.anomaly_score for r in forest.fit_score_by_tag(df, names, trees=30, sample=32).collect()}
+
+
+def test_stored_specialist_scores_alike(spark, tmp_path):
+    from tidewheel.config import TagGroup
+
+    rng = np.random.default_rng(4)
+    rows = [(i % 7, 60 * i, *[None if rng.random() < 0.1 else float(v) for v in rng.normal(size=2)]) for i in range(300)]
+    matrix = spark.createDataFrame(rows, "lift_id int, bucket_start_unix long, a double, b double")
+    scored, parts = stack.specialist(matrix, TagGroup("g", ("a", "b"), 60, 4, 0.3, 4, ()), trees=20)
+    stack.save(spark, f"{tmp_path}/g", parts)
+    again = stack.apply_specialist(matrix, stack.load(spark, f"{tmp_path}/g"))
+    key = lambda r: (r.lift_id, r.ts, r.score, r.pred, r.active)
+    assert sorted(map(key, scored.collect())) == sorted(map(key, again.collect()))
+    features = scored.selectExpr("lift_id", "ts", "score AS g_score", "pred AS g_pred", "2 AS n_active_groups")
+    out, meta = stack.meta_model(features, ["g"], trees=15)
+    stack.save(spark, f"{tmp_path}/m", meta)
+    again = stack.apply_meta(features, stack.load(spark, f"{tmp_path}/m"))
+    key = lambda r: (r.lift_id, r.ts, r.score, r.pred)
+    assert sorted(map(key, out.collect())) == sorted(map(key, again.collect()))
+
+
+def test_errors_follow_the_shape_of_the_output(spark):
+    rows = [(1, [[1.0, 2.0], [3.0, 4.0]], [4.0, 4.0]), (2, [[0.0, 0.0], [1.0, 1.0]], [1.0, 3.0])]
+    df = spark.createDataFrame(rows, "k int, steps array<array<double>>, target array<double>")
+    for model in (sequence.Persistence(), sequence.Persistence(flat=True)):
+        got = {r.k: (r.error, r.error_by_feature) for r in sequence.errors(df, model, "target").collect()}
+        assert got == {1: (0.5, [1.0, 0.0]), 2: (2.0, [0.0, 4.0])}
+    nothing = sequence.Linear(np.zeros(4), np.zeros((1, 4)))
+    assert {r.k: r.error for r in sequence.errors(df, nothing).collect()} == {1: 7.5, 2: 0.5}
+    with pytest.raises(Exception, match="a model that gives"):
+        sequence.errors(df, sequence.Persistence()).collect()

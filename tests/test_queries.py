@@ -45,7 +45,10 @@ def test_query_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(SQL)))
 def test_query_without_sql_is_stable(spark, name):
-    run = lambda: sorted(map(repr, catalog.queries()[name](spark, DATA).collect()))
+    data = DATA
+    if name in ("k6_forest_per_tag", "k7_stored_forest_per_tag"):  # the smallest tables have too few lifts for a model
+        data = DATA.replace("sf0.001", "sf0.01")
+    run = lambda: sorted(map(repr, catalog.queries()[name](spark, data).collect()))
     first = run()
     assert first and first == run()
 

@@ -47,3 +47,30 @@ def test_entry_imports_without_the_optional_parts():
         "assert q and not any(k.startswith('op') for k in q) and set(e.oracle_sql()) <= set(q)\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_managed_tables_are_overwritten(spark):
+    import uuid
+
+    name = f"t_{uuid.uuid4().hex}"
+    try:
+        files.save_table(spark.createDataFrame([(1, "a")], "k long, x string"), name)
+        files.save_table(spark.createDataFrame([(2, 1.5)], "k long, y double"), name, merge_schema=True)
+        assert spark.table(name).columns == ["k", "y", "x"] and [tuple(r) for r in spark.table(name).collect()] == [(2, 1.5, None)]
+        files.save_table(spark.createDataFrame([(3,)], "k long"), name)
+        assert [tuple(r) for r in spark.table(name).collect()] == [(3,)]
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_scratch_folders_are_deleted(spark, tmp_path):
+    import os
+
+    from tidewheel.sources.scratch import kept, scratch
+
+    with scratch(spark) as path:
+        spark.range(5).write.parquet(path)
+        rows = kept(spark.read.parquet(path))
+        where = path.removeprefix("file://").removeprefix("file:")
+        assert os.path.isdir(where)
+    assert not os.path.exists(where) and rows.count() == 5

@@ -150,6 +150,16 @@ class Autoencoder:
                 w[k][...] = saved[f"{p}.{k}"]
 
 
+@dataclass
+class Persistence:
+    """A forecaster: the next step is the last one; one step, or flat, a row of features."""
+
+    flat: bool = False
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return x[:, -1] if self.flat else x[:, -1:]
+
+
 @dataclass
 class Linear:
     """A linear reconstruction from the first principal components: a baseline, not the autoencoder."""
@@ -208,8 +218,9 @@ def training_sample(sequences: DataFrame, key: list[str], most: int = 20_000, se
 
 
 def errors(sequences: DataFrame, model, target: str | None = None) -> DataFrame:
-    """sequences with error and error_by_feature: the mean squared difference of steps from the
-    model's reconstruction; with target, of the last reconstructed step from that column."""
+    """sequences with error and error_by_feature, by the shape of what the model gives: as many steps
+    as it got are a reconstruction, compared with steps; one step (or a row of features) is a
+    forecast, compared with the column target. Mean squares. Another shape is a ValueError."""
     spark = sequences.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by features and latent size
     schema = sequences.select("*", F.lit(0.0).alias("error"), F.array(F.lit(0.0)).alias("error_by_feature")).schema
@@ -221,7 +232,14 @@ def errors(sequences: DataFrame, model, target: str | None = None) -> DataFrame:
                 continue
             x = np.array(batch.column(at).to_pylist(), float)
             y = shared.value.predict(x)
-            square = (y - x) ** 2 if to is None else (y[:, -1:] - np.array(batch.column(to).to_pylist(), float)[:, None]) ** 2
+            if y.ndim == 2:
+                y = y[:, None]
+            if y.ndim == 3 and y.shape[1] == x.shape[1] and to is None:
+                square = (y - x) ** 2
+            elif y.ndim == 3 and y.shape[1] == 1 and to is not None:
+                square = (y - np.array(batch.column(to).to_pylist(), float)[:, None]) ** 2
+            else:
+                raise ValueError(f"a model that gives {y.shape} for {x.shape}, with target {target}")
             by_feature = square.mean(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(square.mean((1, 2))), pa.array(by_feature.tolist(), pa.list_(pa.float64()))], names=[*batch.schema.names, "error", "error_by_feature"])
 

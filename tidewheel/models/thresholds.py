@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
+
 
 def _finite(score: str) -> Column:
     v = F.col(score)
@@ -15,26 +17,39 @@ def _finite(score: str) -> Column:
 
 def thresholds(df: DataFrame, score: str, by: Sequence[str] = (), method: str = "iqr", factor: float = 3.0, side: str = "lower", accuracy: int | None = None) -> DataFrame:
     """by, threshold of the finite scores: quartile -+ factor * IQR, or median -+ factor * 1.4826 *
-    MAD (a MAD of 0: just beyond the extreme), on the lower or upper side. Percentiles are exact,
-    or approximate with an accuracy, which bounds the memory of a group's aggregate."""
+    MAD (a MAD of 0: just beyond the extreme), on the lower or upper side. Percentiles are exact (see
+    exact_quantiles), or approximate with an accuracy. What is joined has a row for each group."""
     if method not in ("iqr", "mad") or side not in ("lower", "upper"):
         raise ValueError("method: iqr or mad; side: lower or upper")
     rows, sign = df.filter(_finite(score)), -1 if side == "lower" else 1
-    q = lambda c, p: F.percentile_approx(c, p, accuracy) if accuracy else F.percentile(c, p)
     if method == "iqr":
-        q1, q3 = (q(F.col(score), p) for p in (0.25, 0.75))
-        return rows.groupBy(*by).agg(((q1 if side == "lower" else q3) + sign * factor * (q3 - q1)).alias("threshold"))
-    median = rows.groupBy(*by).agg(q(F.col(score), 0.5).alias("__m"))
-    near = rows.join(F.broadcast(median), list(by)) if by else rows.crossJoin(F.broadcast(median))
-    extreme = F.min(score) - 1e-9 if side == "lower" else F.max(score) + 1e-9
-    out = near.groupBy(*by).agg(F.first("__m").alias("m"), q(F.abs(F.col(score) - F.col("__m")), 0.5).alias("mad"), extreme.alias("extreme"))
+        q1, q3 = F.col("quantiles")[0], F.col("quantiles")[1]
+        found = _quantiles(rows, by, score, [0.25, 0.75], accuracy)
+        return found.select(*by, ((q1 if side == "lower" else q3) + sign * factor * (q3 - q1)).alias("threshold"))
+    median = _quantiles(rows, by, score, [0.5], accuracy).select(*by, F.col("quantiles")[0].alias("m"))
+    near = rows.join(median, list(by)) if by else rows.crossJoin(median)
+    near = near.withColumn("__off", F.abs(F.col(score) - F.col("m")))
+    off = _quantiles(near, by, "__off", [0.5], accuracy).select(*by, F.col("quantiles")[0].alias("mad"))
+    extreme = rows.groupBy(*by).agg((F.min(score) - 1e-9 if side == "lower" else F.max(score) + 1e-9).alias("extreme"))
+    out = median
+    for more in (off, extreme):
+        out = out.join(more, list(by)) if by else out.crossJoin(more)
     value = F.when(F.col("mad") == 0, F.col("extreme")).otherwise(F.col("m") + sign * factor * 1.4826 * F.col("mad"))
     return out.select(*by, value.alias("threshold"))
 
 
+def _quantiles(rows: DataFrame, by: Sequence[str], value: str, points: list[float], accuracy: int | None) -> DataFrame:
+    """by, quantiles; without by, one row, of nulls if there are no rows."""
+    if accuracy:
+        return rows.groupBy(*by).agg(F.percentile_approx(value, points, accuracy).alias("quantiles"))
+    found = exact_quantiles(rows, by, value, points)
+    return found if by else found.agg(F.first("quantiles").alias("quantiles"))
+
+
 def percentile_threshold(df: DataFrame, score: str, by: Sequence[str] = (), percent: float = 1.0) -> DataFrame:
     """by, threshold: the fallback of the null-row variant."""
-    return df.filter(_finite(score)).groupBy(*by).agg(F.expr(f"percentile(`{score}`, {percent / 100})").alias("threshold"))
+    found = _quantiles(df.filter(_finite(score)), by, score, [percent / 100], None)
+    return found.select(*by, F.col("quantiles")[0].alias("threshold"))
 
 
 def predict(score: Column, threshold: Column, active: Column, side: str = "lower") -> Column:

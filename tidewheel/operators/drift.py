@@ -7,23 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
+
 GRID = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
 
 
 def quantile_edges(train: DataFrame, by: str, value: str = "value", grid: Sequence[float] = GRID, accuracy: int | None = None) -> DataFrame:
-    """by, edges: the distinct quantiles of value, exact, or approximate with an accuracy (which
-    bounds an aggregate's memory, for groups too large to sort)."""
-    points = ", ".join(str(p) for p in grid)
-    exact = f"percentile({value}, array({points}))"
-    rough = f"percentile_approx({value}, array({points}), {accuracy})"
-    return train.groupBy(by).agg(F.sort_array(F.array_distinct(F.expr(rough if accuracy else exact))).alias("edges"))
+    """by, edges: the distinct quantiles of value, exact (see exact_quantiles), or approximate with an
+    accuracy, in one pass."""
+    if accuracy:
+        found = train.groupBy(by).agg(F.percentile_approx(value, list(grid), accuracy).alias("quantiles"))
+    else:
+        found = exact_quantiles(train, [by], value, grid)
+    return found.select(by, F.sort_array(F.array_distinct("quantiles")).alias("edges"))
 
 
-def bucket_number(value: Column, edges: Column) -> Column:
-    """1 .. n for the buckets between edges, closed on the left, the last on both sides; 0 for
-    nulls, -1 outside, null if there are fewer than two edges."""
+def bucket_number(value: Column, edges: Column, most: int = len(GRID)) -> Column:
+    """1 .. n for the buckets between edges (most of them, or fewer), closed on the left, the last on
+    both sides; 0 for nulls, -1 outside, null if there are fewer than two edges."""
     n = F.size(edges)
-    below = F.size(F.filter(edges, lambda e: e <= value))
+    # no lambda over the edges: this way it is compiled code
+    below = sum((F.coalesce(F.get(edges, F.lit(i)) <= value, F.lit(False)).cast("int") for i in range(most)), F.lit(0))
     inside = F.when((value < F.element_at(edges, 1)) | (value > F.element_at(edges, -1)), F.lit(-1)).otherwise(F.least(below, n - 1))
     return F.when(edges.isNull() | (n < 2), F.lit(None).cast("int")).when(value.isNull(), F.lit(0)).otherwise(inside)
 
@@ -35,23 +39,19 @@ def bucket_label(number: Column, edges: Column) -> Column:
     return F.when(number.isNull(), "single_value_or_no_bucket").when(number == 0, "missing").when(number == -1, "outside_training_range").otherwise(label)
 
 
-def compare_buckets(train: DataFrame, test: DataFrame, by: str = "column", value: str = "value", grid: Sequence[float] = GRID, accuracy: int | None = None, few_groups: bool = True) -> DataFrame:
+def compare_buckets(train: DataFrame, test: DataFrame, by: str = "column", value: str = "value", grid: Sequence[float] = GRID, accuracy: int | None = None) -> DataFrame:
     """by, bucket, train and test counts and percentages, their difference and psi_component.
 
     train and test are long: by, value. Edges come from train; both sides go through one
     aggregate. Buckets with equal labels are one. The component is 0 if either side is empty.
-    The edges, one short row for each group, are broadcast where groups are few (columns of a
-    table, tags of a configuration); else they are joined, copied for 64 shares of each group's
-    rows, so that a group of any size is spread.
+    The edges, one short row for each group, are joined, copied for 16 shares of each group's rows, so
+    that a group of any size is spread; where they turn out small, Spark broadcasts them.
     """
     edges = quantile_edges(train, by, value, grid, accuracy)
     rows = train.select(by, value, F.lit(0).alias("side")).unionByName(test.select(by, value, F.lit(1).alias("side")))
-    if few_groups:
-        rows = rows.join(F.broadcast(edges), by)
-    else:
-        shares = F.explode(F.sequence(F.lit(0), F.lit(63)))
-        rows = rows.withColumn("share", F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int")).join(edges.withColumn("share", shares), [by, "share"])
-    number = bucket_number(F.col(value), F.col("edges"))
+    shares = F.explode(F.sequence(F.lit(0), F.lit(15)))
+    rows = rows.withColumn("share", F.pmod(F.monotonically_increasing_id(), F.lit(16)).cast("int")).join(edges.withColumn("share", shares), [by, "share"])
+    number = bucket_number(F.col(value), F.col("edges"), len(grid))
     counts = rows.withColumn("__n", number).groupBy(by, "edges", "__n").agg(
         F.count_if(F.col("side") == 0).alias("train_count"), F.count_if(F.col("side") == 1).alias("test_count")
     )

@@ -25,6 +25,12 @@ def classify_columns(df: DataFrame) -> dict[str, list[str]]:
     return out
 
 
+def numeric_only(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame | None:
+    """The keys and the numeric columns of df; None, so that a group is skipped, if no others are numeric."""
+    columns = [c for c in classify_columns(df)["numeric"] if c not in keys]
+    return df.select(*[F.col(f"`{c}`") for c in (*keys, *columns)]) if columns else None
+
+
 def first_present(df: DataFrame, candidates: Sequence[str]) -> str | None:
     """The first of candidates that df has."""
     return next((c for c in candidates if c in df.columns), None)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TagGroup, group_table
+from ..functions.quantiles import exact_quantiles
 
 KEY = ("lift_id", "bucket_start_unix")
 
@@ -105,32 +106,35 @@ def fill_time(matrix: DataFrame, columns: Sequence[str], size_s: int, max_gap: i
 def fill_recursive(matrix: DataFrame, columns: Sequence[str], max_gap: int, lift: str = "lift_id", order: str = "bucket_start_unix") -> DataFrame:
     """Fill from left to right from the nearest values max_gap rows or fewer away on either side,
     weighted by 1 / distance, where values already filled count: once a lift has a value, nothing
-    after it stays null. A fold over the lift's rows; a lift is one task's work."""
-    packed = matrix.groupBy(lift).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), *[_q(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))).alias("rows"))
-
-    def fold(i: int) -> Column:
-        values = F.transform("rows", lambda r: r[f"c{i}"])
-        following = F.transform(F.sequence(F.lit(1), F.size("rows")), lambda k: F.array_position(F.transform(F.slice(values, k + 1, F.lit(max_gap)), lambda x: x.isNotNull()), F.lit(True)))
-        steps = F.arrays_zip(values.alias("v"), following.alias("d"), F.transform(F.sequence(F.lit(1), F.size("rows")), lambda k: F.coalesce(F.try_element_at(values, (k + F.element_at(following, k)).cast("int")), F.lit(None).cast("double"))).alias("w"))
-        start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0).alias("age"), F.array().cast("array<double>").alias("out"))
-
-        def step(s: Column, x: Column) -> Column:
-            left = F.when(s["last"].isNotNull() & (s["age"] + 1 <= max_gap), s["last"])
-            right = F.when(x["d"] > 0, x["w"])
-            dl, dr = 1.0 / (s["age"] + 1), 1.0 / x["d"]
-            value = F.when(left.isNotNull() & right.isNotNull(), (left * dl + right * dr) / (dl + dr)).otherwise(F.coalesce(left, right))
-            value = F.coalesce(x["v"], value)
-            return F.struct(
-                F.coalesce(value, s["last"]).alias("last"), F.when(value.isNotNull(), F.lit(0)).otherwise(s["age"] + 1).alias("age"), F.array_append(s["out"], value).alias("out")
-            )
-
-        return F.aggregate(steps, start, step)["out"]
-
-    folded = packed.select(lift, F.transform("rows", lambda r: r["o"]).alias(order), *[fold(i).alias(f"c{i}") for i in range(len(columns))])
-    zipped = F.explode(F.arrays_zip(F.col(order), *[F.col(f"c{i}") for i in range(len(columns))]))
-    rows = folded.select(lift, zipped.alias("r")).select(lift, F.col(f"r.{order}").alias(order), *[F.col(f"r.c{i}").alias(c) for i, c in enumerate(columns)])
-    other = [c for c in matrix.columns if c not in (lift, order, *columns)]
-    return rows if not other else rows.join(matrix.select(lift, order, *[_q(c) for c in other]), [lift, order])
+    after it stays null.
+
+    What a null becomes follows from the run of nulls it lies in. With a value before the run, each
+    null is at distance 1 from the one filled before it: those that the value behind the run is too
+    far from repeat the value before; of the others, the one at distance d from the value behind it
+    moves 1 / (d + 1) of the way there. With none before, the last max_gap get the value behind. As
+    the nulls within reach of the value w behind are the last max_gap at most, each is the value
+    before plus a fixed share of the way to w: no fold, three windows over a lift.
+    """
+    one = Window.partitionBy(lift).orderBy(order)
+    back, ahead = one.rowsBetween(Window.unboundedPreceding, 0), one.rowsBetween(0, Window.unboundedFollowing)
+    near = []
+    for i, c in enumerate(columns):
+        seen = F.when(_q(c).isNotNull(), F.struct(_q(c).cast("double").alias("v"), F.col("__n").alias("n")))
+        near += [F.last(seen, ignorenulls=True).over(back).alias(f"__p_{i}"), F.first(seen, ignorenulls=True).over(ahead).alias(f"__f_{i}")]
+    found = matrix.withColumn("__n", F.row_number().over(one)).select("*", *near)
+
+    def filled(i: int, c: str) -> Column:
+        before, behind = _q(f"__p_{i}"), _q(f"__f_{i}")
+        d = behind["n"] - F.col("__n")
+        # the run's nulls in reach of the value behind have distances reach, ..., d; each leaves d / (d + 1) of the way
+        reach = F.least(F.lit(max_gap), behind["n"] - before["n"] - 1)
+        left = d / (reach + 1)
+        between = before["v"] * left + behind["v"] * (1 - left)
+        value = F.when(before.isNull(), F.when(d <= max_gap, behind["v"])).when(behind.isNull() | (d > max_gap), before["v"]).otherwise(between)
+        return F.when(_q(c).isNotNull(), _q(c).cast("double")).when(F.lit(max_gap) < 1, F.lit(None)).otherwise(value).alias(c)
+
+    place = {c: i for i, c in enumerate(columns)}
+    return found.select(*[filled(place[c], c) if c in place else _q(c) for c in matrix.columns])
 
 
 def forward_fill(matrix: DataFrame, columns: Sequence[str], lift: str = "lift_id", order: str = "bucket_start_unix") -> DataFrame:
@@ -189,8 +193,8 @@ def update_gaps(
     """tagname, n_gaps, median_gap_s, p90_gap_s of the positive times between a tag's rows.
 
     A tag's rows are worked on in stretches of chunk_s seconds, so that a frequent tag is spread;
-    the gaps between stretches come from their first and last times. Percentiles are exact, or
-    approximate with an accuracy, which bounds the memory of a tag's aggregate.
+    the gaps between stretches come from their first and last times. Percentiles are exact
+    (see exact_quantiles), or approximate with an accuracy.
     """
     keys = [tag, *([per_lift] if per_lift else [])]
     rows = df.select(*keys, F.unix_micros(ts).alias("t")).filter("t IS NOT NULL")
@@ -199,8 +203,10 @@ def update_gaps(
     edges = rows.groupBy(*keys, "chunk").agg(F.min("t").alias("first"), F.max("t").alias("last"))
     between = edges.select(*keys, (F.col("first") - F.lag("last").over(Window.partitionBy(*keys).orderBy("chunk"))).alias("us"))
     gaps = within.unionByName(between).filter("us > 0").select(tag, (F.col("us") / 1e6).alias("gap"))
-    q = lambda p: F.percentile_approx("gap", p, accuracy) if accuracy else F.expr(f"percentile(gap, {p})")
-    return gaps.groupBy(tag).agg(F.count(F.lit(1)).alias("n_gaps"), q(0.5).alias("median_gap_s"), q(0.9).alias("p90_gap_s"))
+    counts = gaps.groupBy(tag).agg(F.count(F.lit(1)).alias("n_gaps"))
+    points = [0.5, 0.9]
+    found = gaps.groupBy(tag).agg(F.percentile_approx("gap", points, accuracy).alias("quantiles")) if accuracy else exact_quantiles(gaps, [tag], "gap", points)
+    return counts.join(found, tag).select(tag, "n_gaps", F.col("quantiles")[0].alias("median_gap_s"), F.col("quantiles")[1].alias("p90_gap_s"))
 
 
 def null_runs(matrix: DataFrame, columns: Sequence[str], lift: str = "lift_id", order: str = "bucket_start_unix") -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..config import META_SEQUENCE
 from ..models import forest, scaling, sequence, stack, thresholds
 from ..operators import features, report, timeseries
-from ..sources import driver
+from ..sources import driver, files
+from ..sources.scratch import kept, scratch
 from . import views
 from .registry import query
 from .signals import SCALED, filled, rounded, scaled
@@ -27,13 +28,13 @@ def k1_apply(spark, sf_dir):
 
 
 @query("k2_batch_imputation", f"""
-WITH {SCALED}, tm AS (SELECT median(error) AS me, median(purchase) AS mp, median(signup) AS ms FROM biz WHERE lift_id % 4 = 0)
+WITH {SCALED}, tm AS (SELECT median(error) AS me, median(purchase) AS mp, median(signup) AS ms FROM biz)
 SELECT lift_id, bucket_start_unix, round((coalesce(error, tm.me) - ae) / se, 6) AS error, round((coalesce(purchase, tm.mp) - ap) / sp, 6) AS purchase, round((coalesce(signup, tm.ms) - asg) / ss, 6) AS signup
-FROM biz, tm, stat WHERE lift_id % 4 = 0""")
+FROM biz, tm, stat""")
 def k2(spark, sf_dir):
     m = views.matrix(spark, sf_dir)
     scaler = scaling.fit_scaler(m, views.BIZ_COLUMNS)
-    return rounded(scaling.apply_scaler(m.filter("lift_id % 4 = 0"), scaler, views.BIZ_COLUMNS, "batch"), views.BIZ_COLUMNS)
+    return rounded(scaling.apply_scaler(m, scaler, views.BIZ_COLUMNS, "batch"), views.BIZ_COLUMNS)
 
 
 @query("k3_isolation_forest")
@@ -72,14 +73,26 @@ def k5(spark, sf_dir):
     return out.select("tagname", "lift_id", F.col("n_samples").cast("long").alias("n"))
 
 
-def tag_scores(spark, sf_dir):
-    f = features.features(driver.sensor_log(spark, sf_dir), min_samples=8)
-    return forest.fit_score_by_tag(f, features.FEATURES, trees=200, least=10)
+def area_features(spark, sf_dir):
+    """Features by lift and area (Sys.Ui, Sys.Biz): of tags with enough rows for the gate of 20."""
+    log = driver.sensor_log(spark, sf_dir).withColumn("tagname", F.substring_index("tagname", ".", 2))
+    return features.features(log)
 
 
 @query("k6_forest_per_tag")
 def k6(spark, sf_dir):
-    return rounded(tag_scores(spark, sf_dir), ["anomaly_score"])
+    return rounded(forest.fit_score_by_tag(area_features(spark, sf_dir), features.FEATURES), ["anomaly_score"])
+
+
+@query("k7_stored_forest_per_tag")
+def k7(spark, sf_dir):
+    """Models of three quarters of the lifts, stored, read again, and applied to the others."""
+    f = area_features(spark, sf_dir)
+    with scratch(spark) as path:
+        models = forest.fit_by_tag(f.filter("lift_id % 4 <> 0"), features.FEATURES)
+        files.write_model(spark, path, {"features": features.FEATURES}, {"models": models})
+        config, tables = files.read_model(spark, path)
+        return kept(rounded(forest.score_by_tag(f.filter("lift_id % 4 = 0"), tables["models"], config["features"]), ["anomaly_score"]))
 
 
 LIMITS = """counts AS (SELECT tag_group, count(*) FILTER (active = 1) AS n FROM raw_scores GROUP BY 1), used AS (SELECT * FROM raw_scores JOIN counts USING (tag_group) WHERE n < 50 OR active = 1)"""
@@ -159,26 +172,64 @@ def k12_specialists(spark, sf_dir):
     return report.lift_summary(out)
 
 
+@query("k12_stored_models")
+def k12_stored(spark, sf_dir):
+    """Specialists and the meta model of three quarters of the lifts, stored, read again, and applied to the others."""
+    groups = {"biz": (views.BIZ, filled(spark, sf_dir)), "ui": (views.UI, views.matrix(spark, sf_dir, views.UI))}
+    old, new = {}, {}
+    with scratch(spark) as path:
+        for n, (g, m) in groups.items():
+            old[n], parts = stack.specialist(m.filter("lift_id % 4 <> 0"), g)
+            stack.save(spark, f"{path}/{n}", parts)
+            new[n] = stack.apply_specialist(m.filter("lift_id % 4 = 0"), stack.load(spark, f"{path}/{n}"))
+        _, parts = stack.meta_model(stack.stacked(old["ui"], old), list(old))
+        stack.save(spark, f"{path}/meta", parts)
+        return kept(report.lift_summary(stack.apply_meta(stack.stacked(new["ui"], new), stack.load(spark, f"{path}/meta"))))
+
+
 def model_sequences(spark, sf_dir):
     m = scaled(spark, sf_dir).withColumnRenamed("bucket_start_unix", "ts").withColumn("on", timeseries.activity(views.BIZ_COLUMNS, 0.9).cast("int"))
     return timeseries.sequences(m, views.BIZ_COLUMNS, 3, "on")
 
 
-@query("k13_lstm_autoencoder")
-def k13(spark, sf_dir):
+def reconstruction_errors(spark, sf_dir):
     s = model_sequences(spark, sf_dir)
     train = thresholds.training_rows(s, "active")
     model = sequence.Autoencoder.start(3).fit(sequence.training_sample(train, ["lift_id", "ts"]))
-    return sequence.errors(s, model).select("lift_id", "ts", "active", F.round("error", 6).alias("error"))
+    return sequence.errors(s, model)
 
 
-@query("k14_linear_baseline")
+@query("k13_lstm_autoencoder")
+def k13(spark, sf_dir):
+    return reconstruction_errors(spark, sf_dir).select("lift_id", "ts", "active", F.round("error", 6).alias("error"))
+
+
+@query("k14_reconstruction_error")
 def k14(spark, sf_dir):
+    """The autoencoder's errors by sequence and feature."""
+    by_feature = F.transform("error_by_feature", lambda x: F.round(x, 6)).alias("error_by_feature")
+    return reconstruction_errors(spark, sf_dir).select("lift_id", "ts", F.round("error", 6).alias("error"), by_feature)
+
+
+@query("k14_linear_baseline")
+def k14_linear(spark, sf_dir):
     s = model_sequences(spark, sf_dir)
     model = sequence.reconstruction_of(s)
     return sequence.errors(s, model).select("lift_id", "ts", F.round("error", 6).alias("error"), F.transform("error_by_feature", lambda x: F.round(x, 6)).alias("error_by_feature"))
 
 
+LAST = ", ".join(f"lag({c}, 1, {c}) OVER (PARTITION BY lift_id ORDER BY bucket_start_unix) AS l_{c}" for c in views.BIZ_COLUMNS)
+
+
+@query("k16_forecaster_error", f"WITH {SCALED}, before AS (SELECT *, row_number() OVER (PARTITION BY lift_id ORDER BY bucket_start_unix) AS n, count(*) OVER (PARTITION BY lift_id) AS size, {LAST} FROM scaled) SELECT lift_id, bucket_start_unix AS ts, round(((error - l_error) ** 2 + (purchase - l_purchase) ** 2 + (signup - l_signup) ** 2) / 3, 6) AS error FROM before WHERE n > 3 OR size <= 3 AND n = size")
+def k16(spark, sf_dir):
+    """Errors of a model whose output is one step: the forecast that nothing changes."""
+    m = scaled(spark, sf_dir).withColumnRenamed("bucket_start_unix", "ts").withColumn("on", F.lit(1))
+    w = timeseries.prediction_windows(m, views.BIZ_COLUMNS, 3, "on")
+    out = sequence.errors(w, sequence.Persistence(), "target")
+    return out.select("lift_id", "ts", F.round("error", 6).alias("error"))
+
+
 @query("k15_sequence_meta_model")
 def k15(spark, sf_dir):
     columns = stack.meta_columns(["ui", "biz"])
@@ -243,9 +294,9 @@ def d19(spark, sf_dir):
     return rounded(report.specialist_rates(scored(spark, sf_dir)), ["pct_all", "pct_active"])
 
 
-@query("k18_driver_analysis", f"WITH {META} SELECT specialist, round(avg(value) FILTER (pred = 1), 6) AS mean_normal, round(avg(value) FILTER (pred = -1), 6) AS mean_anomalous FROM (SELECT 'ui_score' AS specialist, ui_score AS value, ui_pred AS pred FROM active_meta WHERE lift_id = 1 UNION ALL SELECT 'biz_score', biz_score, ui_pred FROM active_meta WHERE lift_id = 1) GROUP BY 1")
+@query("k18_driver_analysis", f"WITH {META}, {SUMMARY}, worst AS (SELECT lift_id FROM summary ORDER BY anomalies DESC, worst_score, lift_id LIMIT 1) SELECT specialist, round(avg(value) FILTER (pred = 1), 6) AS mean_normal, round(avg(value) FILTER (pred = -1), 6) AS mean_anomalous FROM (SELECT 'ui_score' AS specialist, ui_score AS value, ui_pred AS pred FROM active_meta JOIN worst USING (lift_id) UNION ALL SELECT 'biz_score', biz_score, ui_pred FROM active_meta JOIN worst USING (lift_id)) GROUP BY 1")
 def k18(spark, sf_dir):
-    out = report.driver_analysis(meta(spark, sf_dir), 1, ["ui_score", "biz_score"], "ui_pred")
+    out = report.driver_analysis(meta(spark, sf_dir), report.worst_lifts(_summary(spark, sf_dir), 1), ["ui_score", "biz_score"], "ui_pred")
     return rounded(out, ["mean_normal", "mean_anomalous"])
 
 
@@ -273,9 +324,13 @@ def d14(spark, sf_dir):
     return report.alarm_rollup(alarm_hits(spark, sf_dir))
 
 
-@query("k20_alarm_drilldown", f"WITH {HITS} SELECT lift_id, id, text, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM hits WHERE lift_id IN (SELECT iv_id FROM intervals ORDER BY movementtype DESC, iv_id LIMIT 200) GROUP BY ALL")
+@query("k20_alarm_drilldown", f"WITH {HITS} SELECT lift_id, id, text, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM hits WHERE lift_id IN (SELECT i.iv_id FROM sensor s JOIN intervals i ON s.timestamp_utc BETWEEN i.iv_start AND i.iv_end WHERE s.value > 150) GROUP BY ALL")
 def k20(spark, sf_dir):
-    lifts = views.intervals(spark, sf_dir).orderBy(F.desc("movementtype"), "iv_id").limit(200).select(F.col("iv_id").alias("lift_id"))
+    """The alarms of all intervals with an odd observation."""
+    from ..operators import ingest
+
+    odd = driver.sensor_log(spark, sf_dir).filter("value > 150").select("timestamp_utc")
+    lifts = ingest.interval_join(odd, views.intervals(spark, sf_dir), "timestamp_utc", "iv_start", "iv_end").select(F.col("iv_id").alias("lift_id"))
     return report.alarm_drilldown(alarm_hits(spark, sf_dir), lifts)
 
 

@@ -95,9 +95,9 @@ def j6(spark, sf_dir):
     return rounded(drift.psi(drift.compare_buckets(*long_lines(spark, sf_dir))), ["psi"], 8)
 
 
-@query("j6_psi_smoothed")
+@query("j6_psi_smoothed", f"WITH {BUCKETS.format(long=LONG_LINES)}, eps AS (SELECT v, greatest(round(p * 100, 3) / 100, 1e-4) AS p, greatest(round(q * 100, 3) / 100, 1e-4) AS q FROM psi) SELECT v AS \"column\", round(sum((q - p) * ln(q / p)), 8) AS psi_eps FROM eps GROUP BY 1")
 def j6_smoothed(spark, sf_dir):
-    return drift.smoothed_psi(drift.compare_buckets(*long_lines(spark, sf_dir)))
+    return rounded(drift.smoothed_psi(drift.compare_buckets(*long_lines(spark, sf_dir))), ["psi_eps"], 8)
 
 
 @query("j7_psi_by_tag", f"WITH {BUCKETS.format(long=LONG_TAGS)}, ok AS (SELECT tagname FROM sensor GROUP BY 1 HAVING count(*) FILTER (lift_id % 4 <> 0) >= 1000 AND count(*) FILTER (lift_id % 4 = 0) >= 100) SELECT v AS tagname, round(sum(term), 8) AS psi, {VERDICT} FROM psi WHERE v IN (SELECT tagname FROM ok) GROUP BY 1")

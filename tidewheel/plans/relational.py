@@ -2,43 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import ALARM_BLACKLIST, group_table
+from ..functions.quantiles import exact_quantiles
 from ..operators import ingest, profile, timeseries
 from ..sources import driver, files
+from ..sources.scratch import kept, scratch
 from . import views
 from .registry import query
 
 
-def scratch(spark) -> str:
-    """A folder for round trips: the shared one of the session, or in tests a temporary one."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/tidewheel-{uuid.uuid4().hex}"
-
-
 # --- A -----------------------------------------------------------------------------------------
 
 
 @query("a3_csv_scan", "SELECT movementid, movementtype, epoch_us(started) AS started_us, movementduration FROM lifts")
 def a3(spark, sf_dir):
-    path = scratch(spark)
-    driver.lift_log(spark, sf_dir).write.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(path)
-    df = files.read_csv(spark, path, files.LIFTLOG_SCHEMA)
-    return df.select("movementid", "movementtype", F.unix_micros("started").alias("started_us"), "movementduration")
+    with scratch(spark) as path:
+        driver.lift_log(spark, sf_dir).write.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(path)
+        df = files.read_csv(spark, path, files.LIFTLOG_SCHEMA)
+        return kept(df.select("movementid", "movementtype", F.unix_micros("started").alias("started_us"), "movementduration"))
 
 
 @query("a4_csv_scan_with_file", "SELECT movementtype, count(*) AS n, true AS named FROM lifts GROUP BY 1")
 def a4(spark, sf_dir):
-    path = scratch(spark)
-    driver.lift_log(spark, sf_dir).write.partitionBy("movementtype").option("header", True).csv(path)
-    df = files.read_csv(spark, path, None, file_column="file")
-    return df.groupBy(F.col("movementtype").cast("int").alias("movementtype")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("file").contains("movementtype=")).alias("named"))
+    with scratch(spark) as path:
+        driver.lift_log(spark, sf_dir).write.partitionBy("movementtype").option("header", True).csv(path)
+        df = files.read_csv(spark, path, None, file_column="file")
+        return kept(df.groupBy(F.col("movementtype").cast("int").alias("movementtype")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("file").contains("movementtype=")).alias("named")))
 
 
 @query("a6_table_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 300000")
@@ -48,9 +40,24 @@ def a6(spark, sf_dir):
 
 @query("a8_parquet_sink", "SELECT tagname, count(*) AS n, round(sum(value), 4) AS total FROM sensor GROUP BY 1")
 def a8(spark, sf_dir):
-    path = scratch(spark)
-    driver.sensor_log(spark, sf_dir).write.partitionBy("tagname").parquet(path)
-    return spark.read.parquet(path).groupBy("tagname").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    with scratch(spark) as path:
+        driver.sensor_log(spark, sf_dir).write.partitionBy("tagname").parquet(path)
+        return kept(spark.read.parquet(path).groupBy("tagname").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")))
+
+
+@query("a7_table_overwrite", "SELECT movementid, movementtype, movementduration * 2 AS doubled, CAST(NULL AS DOUBLE) AS movementduration FROM lifts WHERE movementtype <> 5")
+def a7(spark, sf_dir):
+    """A managed table, overwritten by fewer rows with another column; the old columns stay, as nulls."""
+    import uuid
+
+    name = f"tidewheel_{uuid.uuid4().hex}"
+    try:
+        files.save_table(driver.lift_log(spark, sf_dir).select("movementid", "movementtype", "movementduration"), name)
+        new = driver.lift_log(spark, sf_dir).filter("movementtype <> 5").select("movementid", "movementtype", (F.col("movementduration") * 2).alias("doubled"))
+        files.save_table(new, name, merge_schema=True)
+        return kept(spark.table(name))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 @query("a9_literal_relation", "SELECT * FROM (VALUES ('Sys.Ui.click', 'ui', 43200), ('Sys.Ui.view', 'ui', 43200), ('Sys.Biz.error', 'biz', 86400), ('Sys.Biz.purchase', 'biz', 86400), ('Sys.Biz.signup', 'biz', 86400)) t(tagname, tag_group, bucket_size_s)")
@@ -60,9 +67,9 @@ def a9(spark, sf_dir):
 
 @query("a11_tsv_sink", "SELECT movementtype, count(*) AS n FROM lifts GROUP BY 1")
 def a11(spark, sf_dir):
-    path = scratch(spark)
-    files.write_tsv(driver.lift_log(spark, sf_dir).groupBy("movementtype").agg(F.count(F.lit(1)).alias("n")), path)
-    return files.read_tsv(spark, path, "movementtype int, n long")
+    with scratch(spark) as path:
+        files.write_tsv(driver.lift_log(spark, sf_dir).groupBy("movementtype").agg(F.count(F.lit(1)).alias("n")), path)
+        return kept(files.read_tsv(spark, path, "movementtype int, n long"))
 
 
 # --- B -----------------------------------------------------------------------------------------
@@ -154,6 +161,14 @@ def b16(spark, sf_dir):
     return m.filter(timeseries.active_groups(["a", "b"]) >= 1).select("lift_id", "bucket_start_unix")
 
 
+@query("b17_numeric_columns", "SELECT p_partkey, p_size, p_retailprice FROM part")
+def b17(spark, sf_dir):
+    """Numeric columns only; of two groups of columns, the one without any is skipped."""
+    part = driver.table(spark, sf_dir, "part")
+    groups = [profile.numeric_only(part.select("p_partkey", *columns), ["p_partkey"]) for columns in (("p_name", "p_brand"), ("p_type", "p_size", "p_retailprice"))]
+    return next(df for df in groups if df is not None)
+
+
 @query("b18_expected_columns", "SELECT CAST(NULL AS DOUBLE) AS torque, signup, error FROM biz")
 def b18(spark, sf_dir):
     return profile.with_columns_of(views.matrix(spark, sf_dir), ["torque", "signup", "error"])
@@ -188,7 +203,7 @@ def c3(spark, sf_dir):
 
 @query("c4_full_outer_compare", """
 WITH a AS (SELECT o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1),
-b AS (SELECT o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderkey % 3 = 1 AND o_orderpriority <> '1-URGENT' GROUP BY 1)
+b AS (SELECT o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderpriority <> '1-URGENT' GROUP BY 1)
 SELECT 'o_orderpriority' AS "column", coalesce(a.value, b.value) AS value, coalesce(a.n, 0) AS train_count,
   round(coalesce(a.n, 0) / (SELECT sum(n) FROM a) * 100, 3) AS train_pct, coalesce(b.n, 0) AS test_count,
   round(coalesce(b.n, 0) / (SELECT sum(n) FROM b) * 100, 3) AS test_pct,
@@ -196,7 +211,7 @@ SELECT 'o_orderpriority' AS "column", coalesce(a.value, b.value) AS value, coale
 FROM a FULL JOIN b ON a.value = b.value""")
 def c4(spark, sf_dir):
     orders = driver.table(spark, sf_dir, "orders")
-    return profile.compare_categories(orders.filter("o_orderkey % 3 = 0"), orders.filter("o_orderkey % 3 = 1 AND o_orderpriority <> '1-URGENT'"), "o_orderpriority")
+    return profile.compare_categories(orders.filter("o_orderkey % 3 = 0"), orders.filter("o_orderkey % 3 <> 0 AND o_orderpriority <> '1-URGENT'"), "o_orderpriority")
 
 
 @query("c5_lift_overlap", "SELECT 'lift_leakage' AS \"check\", count(*) AS value, CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT DISTINCT lift_id FROM sensor WHERE lift_id % 4 <> 0 INTERSECT SELECT DISTINCT lift_id FROM sensor WHERE lift_id % 3 = 0)")
@@ -278,21 +293,26 @@ def d4(spark, sf_dir):
 
 @query("d5_percentiles", "SELECT tagname, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95 FROM sensor GROUP BY 1")
 def d5(spark, sf_dir):
-    q = lambda p: F.round(F.expr(f"percentile(value, {p})"), 6).alias(f"p{round(100 * p)}")
-    return driver.sensor_log(spark, sf_dir).groupBy("tagname").agg(q(0.5), q(0.9), q(0.95))
+    found = exact_quantiles(driver.sensor_log(spark, sf_dir), ["tagname"], "value", [0.5, 0.9, 0.95])
+    return found.select("tagname", *[F.round(F.col("quantiles")[i], 6).alias(n) for i, n in enumerate(("p50", "p90", "p95"))])
 
 
-@query("d5_percentiles_approx")
+@query("d5_percentiles_approx", "SELECT tagname, count(*) AS n, true AS close FROM sensor GROUP BY 1")
 def d5_approx(spark, sf_dir):
-    q = lambda p: F.percentile_approx("value", p, 10_000).alias(f"p{round(100 * p)}")
-    return driver.sensor_log(spark, sf_dir).groupBy("tagname").agg(q(0.5), q(0.9), q(0.95))
+    """Approximate percentiles, held against the ranks they really have."""
+    log, points = driver.sensor_log(spark, sf_dir), (0.5, 0.9, 0.95)
+    found = log.groupBy("tagname").agg(F.percentile_approx("value", list(points), 10_000).alias("q"))
+    ranks = log.join(found, "tagname").groupBy("tagname").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("value") < F.col("q")[i]).alias(f"b{i}") for i in range(3)], *[F.count_if(F.col("value") <= F.col("q")[i]).alias(f"u{i}") for i in range(3)])
+    within = [(F.col(f"b{i}") <= p * F.col("n") + F.col("n") / 10_000 + 1) & (F.col(f"u{i}") >= p * F.col("n") - F.col("n") / 10_000 - 1) for i, p in enumerate(points)]
+    return ranks.select("tagname", "n", (within[0] & within[1] & within[2]).alias("close"))
 
 
 @query("d6_duration_profile", "SELECT movementtype, count(*) AS n, round(avg(movementduration), 6) AS mean_s, round(median(movementduration), 6) AS median_s, max(movementduration) AS max_s FROM lifts GROUP BY 1")
 def d6(spark, sf_dir):
-    return driver.lift_log(spark, sf_dir).groupBy("movementtype").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("movementduration"), 6).alias("mean_s"), F.round(F.median("movementduration"), 6).alias("median_s"), F.max("movementduration").alias("max_s")
-    )
+    log = driver.lift_log(spark, sf_dir)
+    out = log.groupBy("movementtype").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("movementduration"), 6).alias("mean_s"), F.max("movementduration").alias("max_s"))
+    middle = exact_quantiles(log, ["movementtype"], "movementduration", [0.5]).select("movementtype", F.round(F.col("quantiles")[0], 6).alias("median_s"))
+    return out.join(middle, "movementtype", "left").select("movementtype", "n", "mean_s", "median_s", "max_s")
 
 
 PROFILE = """tagname, count(*) AS rows, count(v) AS non_null_count, count(*) - count(v) AS null_count, round((count(*) - count(v)) / count(*) * 100, 3) AS null_pct,
@@ -384,9 +404,9 @@ def e6(spark, sf_dir):
     return out.withColumns({f"top{k}_share": F.round(f"top{k}_share", 9) for k in (6, 10, 30)})
 
 
-@query("f1_sort_by_expression", "SELECT event_id, abs(value - 50) AS distance FROM sensor ORDER BY distance DESC, event_id LIMIT 100")
+@query("f1_sort_by_expression", "SELECT event_id, abs(value - 50) AS distance FROM sensor ORDER BY distance DESC, event_id")
 def f1(spark, sf_dir):
-    return driver.sensor_log(spark, sf_dir).select("event_id", F.abs(F.col("value") - 50).alias("distance")).orderBy(F.desc("distance"), "event_id").limit(100)
+    return driver.sensor_log(spark, sf_dir).select("event_id", F.abs(F.col("value") - 50).alias("distance")).orderBy(F.desc("distance"), "event_id")
 
 
 @query("f3_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")

@@ -96,7 +96,20 @@ def i5(spark, sf_dir):
     return rounded(timeseries.fill_time(views.matrix(spark, sf_dir), views.BIZ_COLUMNS, 86_400, 3, ("error",)), views.BIZ_COLUMNS)
 
 
-@query("i6_gap_fill_recursive")
+def _recursive(c: str) -> str:
+    """The value of a null at distance d from the value behind, where the first in reach is at distance r."""
+    r, d = f"least(2, f_{c} - p_{c} - 1)", f"(f_{c} - n)"
+    between = f"pv_{c} * {d} / ({r} + 1) + fv_{c} * (1 - {d} / ({r} + 1))"
+    return f"round(CASE WHEN {c} IS NOT NULL THEN {c} WHEN pv_{c} IS NULL THEN CASE WHEN {d} <= 2 THEN fv_{c} END WHEN fv_{c} IS NULL OR {d} > 2 THEN pv_{c} ELSE {between} END, 6) AS {c}"
+
+
+NEAR = ", ".join(f"last_value({v} IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS p{k}_{c}, first_value({v} IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f{k}_{c}" for c in views.BIZ_COLUMNS for k, v in (("", f"CASE WHEN {c} IS NOT NULL THEN n END"), ("v", c)))
+
+
+@query("i6_gap_fill_recursive", f"""
+WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY lift_id ORDER BY bucket_start_unix) AS n FROM biz),
+near AS (SELECT *, {NEAR} FROM numbered WINDOW w AS (PARTITION BY lift_id ORDER BY bucket_start_unix))
+SELECT lift_id, bucket_start_unix, {', '.join(map(_recursive, views.BIZ_COLUMNS))} FROM near""")
 def i6(spark, sf_dir):
     return rounded(timeseries.fill_recursive(views.matrix(spark, sf_dir), views.BIZ_COLUMNS, 2), views.BIZ_COLUMNS)
 
@@ -104,11 +117,11 @@ def i6(spark, sf_dir):
 @query("i7_asof_all_groups", """
 SELECT u.lift_id, u.bucket_start_unix AS ts, round(u.click, 6) AS click, round(b.error, 6) AS biz_error, round(b.signup, 6) AS biz_signup, l.n AS log_n
 FROM ui u ASOF LEFT JOIN biz b ON u.lift_id = b.lift_id AND u.bucket_start_unix >= b.bucket_start_unix
-ASOF LEFT JOIN (SELECT lift_id, ts_unix, count(*) AS n FROM sensor WHERE event_id % 3 = 0 GROUP BY ALL) l ON u.lift_id = l.lift_id AND u.bucket_start_unix >= l.ts_unix""")
+ASOF LEFT JOIN (SELECT lift_id, ts_unix, count(*) AS n FROM sensor GROUP BY ALL) l ON u.lift_id = l.lift_id AND u.bucket_start_unix >= l.ts_unix""")
 def i7(spark, sf_dir):
     base = views.matrix(spark, sf_dir, views.UI).select("lift_id", F.col("bucket_start_unix").alias("ts"), "click")
     biz = views.matrix(spark, sf_dir).withColumnRenamed("bucket_start_unix", "ts")
-    log = driver.sensor_log(spark, sf_dir).filter("event_id % 3 = 0").groupBy("lift_id", F.unix_timestamp("timestamp_utc").alias("ts")).agg(F.count(F.lit(1)).alias("n"))
+    log = driver.sensor_log(spark, sf_dir).groupBy("lift_id", F.unix_timestamp("timestamp_utc").alias("ts")).agg(F.count(F.lit(1)).alias("n"))
     out = timeseries.asof_align(base, {"biz": (biz, ["error", "signup"]), "log": (log, ["n"])})
     return rounded(out, ["click", "biz_error", "biz_signup"])
 

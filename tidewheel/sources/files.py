@@ -70,9 +70,15 @@ def unzip_lines(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFram
 COLUMNS = ["archive", "member", "category", "line_number", "line"]
 
 
-def save_table(df: DataFrame, name: str, format: str = "parquet", partition_by: list[str] | None = None) -> None:
-    """Overwrite a managed table."""
-    writer = df.write.mode("overwrite").format(format).option("mergeSchema", True)
+def save_table(df: DataFrame, name: str, format: str = "parquet", partition_by: list[str] | None = None, merge_schema: bool = False) -> None:
+    """Overwrite a managed table. The new table has df's columns; with merge_schema, the old one's
+    others follow them, as nulls (a column of both has df's type). df must not read the table."""
+    spark = df.sparkSession
+    if merge_schema and spark.catalog.tableExists(name):
+        old = spark.table(name).schema
+        have = {c.lower() for c in df.columns}
+        df = df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in old if f.name.lower() not in have])
+    writer = df.write.mode("overwrite").format(format).option("overwriteSchema", True)
     (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
 
 
