@@ -188,7 +188,7 @@ def mix(
     numbered = targets.filter("n_blocks > 0").select("skey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
     by_hash = Window.partitionBy("skey").orderBy(F.xxhash64(F.lit(seed), "skey", "block"), "block")
     permuted = numbered.withColumn("draw", (F.row_number().over(by_hash) - 1).cast("long"))
-    dealt = dealt.join(permuted, ["skey", "draw"]).select("skey", "shard", "block")
+    dealt = dealt.join(permuted.hint("merge"), ["skey", "draw"]).select("skey", "shard", "block")
     documents = cut(_positions(sizes, targets.drop("total", "n_blocks", "weight")))
     copies = F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("copy")
     drawn = documents.filter("size > 0").select("*", copies)

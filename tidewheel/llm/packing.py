@@ -53,9 +53,9 @@ class TokenCache:
         from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        description = json.loads(self.tokenizer.to_str())
-        self.by_run = (description["normalizer"], description["pre_tokenizer"]) == (_NORMALIZER, _PRE_TOKENIZER)
-        self.added = [t["content"] for t in description["added_tokens"]]
+        parts = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.by_run = [x and json.loads(x.__getstate__()) for x in parts] == [_NORMALIZER, _PRE_TOKENIZER]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         # what is printable ASCII in lower case is as the normalizer would leave it
         self.ready = Tokenizer.from_file(path)
@@ -300,18 +300,17 @@ def pack(
     sums = cut(tokens.groupBy(lane.alias("lane"), "source").agg(F.sum("n_tokens").alias("n")))
     deficits = _deficits(sums, shares)
     given = None if shares is None else dict(shares)
-    width = token_cache(tokenizer).dtype.itemsize
     doc_id = tokens.schema["doc_id"].dataType.simpleString()
     fields = pa.schema(
         [("source", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
          ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids_crc32", pa.int64()) if digests else ("ids", pa.binary())]
     )
-    dtype = token_cache(tokenizer).dtype
 
     def fill(key: tuple, rows: pa.Table, owed: pa.Table) -> pa.Table:
         number = key[0].as_py()
         columns = {c: rows.column(c).to_pylist() for c in ("source", "n_tokens", "ids", "doc_id")}
         queues: dict[str | None, list[int]] = {}
+        width = len(columns["ids"][0]) // columns["n_tokens"][0] if rows.num_rows else 2
         by_row = sorted(range(rows.num_rows), key=lambda i: (zlib.crc32(columns["ids"][i]), columns["ids"][i], str(columns["doc_id"][i])))
         for i in by_row:
             queues.setdefault(columns["source"][i], []).append(i)
@@ -327,7 +326,7 @@ def pack(
                 last = columns["ids"][i][p.start * width : (p.start + p.length) * width]
             else:
                 if wide.get(p.source, (-1,))[0] != i:
-                    wide[p.source] = i, memoryview(np.frombuffer(columns["ids"][i], dtype).astype("<u4")).cast("B")
+                    wide[p.source] = i, memoryview(np.frombuffer(columns["ids"][i], f"<u{width}").astype("<u4")).cast("B")
                 last = zlib.crc32(wide[p.source][1][4 * p.start : 4 * (p.start + p.length)])
             row = (i, p.source, p.start, p.length, columns["n_tokens"][i], number << 32 | p.window, p.offset, last)
             for column, value in zip(out, row, strict=True):
