@@ -89,9 +89,10 @@ def test_one_row_of_each_class(edges, empty):
     assert ngram_join.one_of_each_class(empty).count() == 0
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("spread", [True, False])
+def test_components_of_paths_and_stars(spark, spread):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(139, 200), (7, 7), (3, 2)]
-    got = {r.node: r.label for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.label for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long"), spread).collect()}
     assert got == {i: 0 for i in range(41)} | {x: 100 for x in (*range(100, 140), 200)}
     assert ngram_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
 

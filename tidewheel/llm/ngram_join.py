@@ -173,16 +173,18 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: i
     return counted.groupBy("chunk").applyInArrow(assemble, fields)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, spread: bool = True) -> DataFrame:
     """node, label (the smallest node reachable) for the nodes of edges(a, b).
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014), each a join and an
-    aggregate over edges, materialised, until nothing changes. Nodes of any degree are spread: minima
-    are aggregated in part, and materialised before they are joined, so that both sides of a join
-    are plain exchanges, whose large partitions Spark splits. Loops and repeats are harmless.
+    aggregate over edges, materialised, until nothing changes. Minima are aggregated in part; with
+    spread they are materialised before they are joined, so that both sides of a join are plain
+    exchanges, whose large partitions Spark splits at nodes of high degree. That takes three more
+    jobs a round, which the driver keeps books on. Loops and repeats are harmless.
     """
     edge = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     state = cut(edge)
+    hold = cut if spread else lambda df: df
     mark = None
     while True:
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -192,9 +194,10 @@ def components(edges: DataFrame) -> DataFrame:
             )
         mark = now
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = cut(both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = hold(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.distinct()) if spread else large
+        least = hold(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
 
@@ -217,6 +220,7 @@ def ngram_classes(
     percent: int = 75,
     range_bytes: int = 8 << 20,
     chunk_chars: int = 4 << 20,
+    spread: bool = True,
 ) -> DataFrame:
     """uid, doc_id, row_hash, size, label, component_id: one row for each row of docs.
 
@@ -229,6 +233,7 @@ def ngram_classes(
     meet in a shingle, but lie in different classes, are compared too, unless size, position or the
     triangle inequality of the Jaccard distance, through the document of step 2, rules them out.
     No pair above the threshold is lost, and a group of near copies costs a few times its size.
+    spread: see components(); the result is the same.
 
     Shingles are compared as 64-bit hashes, sets by 128-bit digests. Null texts and texts without
     words have size 0 and no links. Null ids and repeated rows are documents of their own; ids that
@@ -267,7 +272,7 @@ def ngram_classes(
     compared = cut(_verified(star.unionByName(inner).filter("a <> b").distinct(), sets, percent))
     tidy(docs.sparkSession)
     links = compared.filter("linked").select("a", "b")
-    labels = cut(components(links))
+    labels = cut(components(links, spread))
 
     rows = buckets.join(members, "gid").select("token", "pivot", "uid", "gid", "size", "at")
     rows = rows.join(labels.select(F.col("node").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
@@ -279,7 +284,7 @@ def ngram_classes(
     rows = cut(rows.join(own, "pivot", "left").withColumn("pivot_label", F.coalesce("pivot_label", "pivot")))
     more = _verified(_left_over(rows, percent).distinct(), sets, percent).filter("linked")
     name = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(c, F.coalesce(f"l{c}", c)).drop(f"l{c}")
-    merged = components(name(name(more.select("a", "b"), "a"), "b"))
+    merged = components(name(name(more.select("a", "b"), "a"), "b"), spread)
 
     label = labels.select(F.col("node").alias("rep"), "label")
     label = label.join(merged.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
