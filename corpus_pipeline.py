@@ -25,7 +25,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies, the row with the smallest doc_id stays."""
-    return ngram_join.one_of_each_class(docs)
+    return ngram_join.one_of_each_class(docs, spread=False)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
