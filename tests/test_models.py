@@ -99,6 +99,25 @@ def test_lstm_gradient_and_learning():
     assert np.allclose(again.predict(waves[:3]), fitted.predict(waves[:3]))
 
 
+def test_autoencoder_takes_all_sequences(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4, 2))
+    x[11] += 30  # one rare mode
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "lift_id long, steps array<array<double>>").repartition(5)
+    loss = sequence.Autoencoder.start(2).loss_and_gradient(x)[0]
+    whole = sequence.Autoencoder.start(2).fit(x, epochs=3, batch=300, validation=0)
+    same = sequence.Autoencoder.start(2).fit_all(df, ["lift_id"], epochs=3, batch=300, validation=0)
+    assert np.allclose(whole.predict(x), same.predict(x)) and math.isclose(same.history[0][1], loss)
+    parts = lambda d, **more: sequence.Autoencoder.start(2).fit_all(d, ["lift_id"], part_rows=50, rate=1e-2, **more)
+    split = parts(df, validation=0, epochs=8)
+    assert math.isclose(split.history[0][1], loss) and split.history[-1][1] < loss
+    held = parts(df, epochs=8)
+    assert np.allclose(held.predict(x), parts(df.repartition(2), epochs=8).predict(x))
+    assert held.history[-1][1] < held.history[0][1] != loss
+    nothing = parts(df.limit(0))
+    assert np.array_equal(nothing.flat(), sequence.Autoencoder.start(2).flat()) and nothing.history == []
+
+
 def test_linear_reconstruction_takes_all_sequences(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 3, 2)) * [[1, 5], [2, 1], [1, 3]] + 4

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from tidewheel.config import META_SEQUENCE
@@ -54,8 +55,9 @@ def test_query_without_sql_is_stable(spark, name):
 
 
 def test_meta_model_is_the_autoencoder(spark, monkeypatch):
-    shapes, fit = [], sequence.Autoencoder.fit
-    monkeypatch.setattr(sequence.Autoencoder, "fit", lambda self, x, **more: shapes.append(x.shape) or fit(self, x, **more))
+    shapes, fit = [], sequence.Autoencoder.fit_all
+    shape = lambda df: (df.count(), *np.array(df.first()["steps"]).shape)
+    monkeypatch.setattr(sequence.Autoencoder, "fit_all", lambda self, df, key, **more: shapes.append(shape(df)) or fit(self, df, key, **more))
     rows = catalog.queries()["k15_sequence_meta_model"](spark, DATA).collect()
     per_lift = catalog.queries()["k12_meta_features"](spark, DATA).groupBy("lift_id").count().collect()
     assert len(rows) == sum(max(0, r["count"] - META_SEQUENCE + 1) for r in per_lift) > 0
@@ -63,12 +65,12 @@ def test_meta_model_is_the_autoencoder(spark, monkeypatch):
 
 
 def test_sequence_models_train_on_production_settings(spark, monkeypatch):
-    seen, fit = [], sequence.Autoencoder.fit
-    monkeypatch.setattr(sequence.Autoencoder, "fit", lambda self, x, **more: seen.append((len(x), more)) or fit(self, x, **more))
+    seen, fit = [], sequence.Autoencoder.fit_all
+    monkeypatch.setattr(sequence.Autoencoder, "fit_all", lambda self, df, key, **more: seen.append((df.count(), more)) or fit(self, df, key, **more))
     rows = catalog.queries()["k13_lstm_autoencoder"](spark, DATA).collect()
     active = sum(r["active"] or 0 for r in rows)
     assert seen == [(active if active >= 50 else len(rows), {})]
-    monkeypatch.setattr(sequence, "training_sample", None)
+    monkeypatch.setattr(sequence.Autoencoder, "fit_all", None)
     assert catalog.queries()["k14_linear_baseline"](spark, DATA).count() == len(rows)
 
 

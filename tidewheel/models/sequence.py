@@ -1,4 +1,4 @@
-"""Sequence models: an LSTM autoencoder in numpy, trained on a bounded sample, scored in Spark.
+"""Sequence models: an LSTM autoencoder in numpy, trained and scored in Spark tasks on all sequences.
 
 Encoder LSTM, its last state repeated, decoder LSTM, a dense layer for each step; mean squared
 error, Adam, early stopping. reconstruction() is a linear baseline with the same interface.
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sampling import hash_sample
+from ..sources.scratch import kept as materialised
 
 
 def latent_size(features: int) -> int:
@@ -71,6 +71,21 @@ class Lstm:
         return dx, total
 
 
+@dataclass
+class Adam:
+    """The optimiser's state over all weights in a row: moving means of gradients and of their squares."""
+
+    first: np.ndarray
+    second: np.ndarray
+    step: int = 0
+
+    def change(self, gradient: np.ndarray, rate: float) -> np.ndarray:
+        self.step += 1
+        self.first = 0.9 * self.first + 0.1 * gradient
+        self.second = 0.999 * self.second + 0.001 * gradient * gradient
+        return rate * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.999**self.step)) + 1e-7)
+
+
 @dataclass
 class Autoencoder:
     features: int
@@ -115,39 +130,122 @@ class Autoencoder:
         x = x[rng.permutation(len(x))]
         held = int(len(x) * validation) if len(x) > 100 else 0
         train, check = x[: len(x) - held], x[len(x) - held :]
-        moments: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        best, since, step, saved = np.inf, 0, 0, None
+        adam = Adam(np.zeros_like(self.flat()), np.zeros_like(self.flat()))
+        best, since, saved = np.inf, 0, None
         for _ in range(epochs):
-            losses = []
             order = rng.permutation(len(train))
-            for at in range(0, len(train), batch):
-                loss, parts = self.loss_and_gradient(train[order[at : at + batch]])
-                losses.append(loss)
-                step += 1
-                for weights, gradient in parts:
-                    for k, g in gradient.items():
-                        m, v = moments.get(id(weights[k]), (np.zeros_like(g), np.zeros_like(g)))
-                        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-                        moments[id(weights[k])] = m, v
-                        weights[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
+            losses = [self._step(train[order[at : at + batch]], adam, rate) for at in range(0, len(train), batch)]
             value = float(((self.predict(check) - check) ** 2).mean()) if held else float(np.mean(losses))
             self.history.append((float(np.mean(losses)), value))
             if value < best - 1e-9:
-                best, since, saved = value, 0, self.weights()
+                best, since, saved = value, 0, self.flat()
             elif (since := since + 1) >= patience:
                 break
-        if saved:
+        if saved is not None:
             self.load(saved)
         return self
 
-    def weights(self) -> dict[str, np.ndarray]:
-        parts = {"dense": self.dense, "decoder": self.decoder.weights, "encoder": self.encoder.weights}
-        return {f"{p}.{k}": v.copy() for p, w in parts.items() for k, v in w.items()}
+    def _step(self, x: np.ndarray, adam: Adam, rate: float) -> float:
+        loss, parts = self.loss_and_gradient(x)
+        self.load(self.flat() - adam.change(np.concatenate([g[k].ravel() for w, g in parts for k in w]), rate))
+        return loss
+
+    def fit_all(
+        self,
+        sequences: DataFrame,
+        key: list[str],
+        epochs: int = 40,
+        batch: int = 128,
+        patience: int = 5,
+        validation: float = 0.15,
+        rate: float = 1e-3,
+        seed: int = 42,
+        part_rows: int = 20_000,
+        most_parts: int = 256,
+    ) -> Autoencoder:
+        """fit() on the column steps of all sequences; no row reaches the driver, and none is left out.
+
+        Rows are dealt by a hash of key to parts of about part_rows (larger ones from most_parts parts
+        on, as a part is streamed and not held). In an epoch each part takes Adam's steps from the
+        same weights, and weights and moments are averaged by the parts' rows: local SGD with one
+        exchange an epoch. The driver gets three numbers a weight from each part. A hash chooses the
+        rows for validation, if there are over 100 sequences; otherwise all are checked. Their loss is
+        taken in the next pass, with the weights it begins with, so that history starts with those
+        before training. The same rows give the same weights, however they are partitioned, but for
+        rounding. Without rows nothing changes.
+        """
+        draw = F.xxhash64(*key, F.lit(seed))
+        rows = materialised(sequences.select(draw.alias("draw"), "steps"))
+        n = rows.count()
+        if not n:
+            return self
+        held = F.pmod(F.xxhash64("draw", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * validation if n > 100 else 0)
+        parts = min(-(-n // part_rows), most_parts)
+        rows = rows.withColumn("held", held).repartition(parts, "draw").sortWithinPartitions("draw", "steps")
+        rows = materialised(rows.select("steps", "held"))
+        all_checked = not rows.filter("held").limit(1).count()
+        features, context = self.features, rows.sparkSession.sparkContext
+
+        def one_pass(weights: np.ndarray, adam: Adam, epoch: int, train: bool) -> tuple[np.ndarray, Adam, float, float]:
+            shared = context.broadcast((weights, adam.first, adam.second))  # bounded by features and latent size
+            before = adam.step
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                now, still = Autoencoder.start(features), Autoencoder.start(features)
+                now.load(shared.value[0])
+                still.load(shared.value[0])
+                own, rng = Adam(shared.value[1].copy(), shared.value[2].copy(), before), np.random.default_rng([seed, epoch])
+                learnt, checked, loss, check = 0, 0, 0.0, 0.0
+                for some in batches:
+                    if not some.num_rows:
+                        continue
+                    x = some.column(0).flatten().flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1, features)
+                    aside = some.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                    tested, x = (x, x) if all_checked else (x[aside], x[~aside])
+                    if len(tested):
+                        check += float(((still.predict(tested) - tested) ** 2).mean()) * len(tested)
+                        checked += len(tested)
+                    order = rng.permutation(len(x)) if train else []
+                    for at in range(0, len(order), batch):
+                        taken = x[order[at : at + batch]]
+                        loss += now._step(taken, own, rate) * len(taken)
+                        learnt += len(taken)
+                if learnt or checked:
+                    state = [np.concatenate([now.flat(), own.first, own.second]).tolist()]
+                    yield pa.RecordBatch.from_pydict({"learnt": [learnt], "checked": [checked], "loss": [loss], "check": [check], "step": [own.step], "state": state})
+
+            got = rows.mapInArrow(run, "learnt long, checked long, loss double, check double, step long, state array<double>").collect()
+            shared.destroy()
+            learnt, value = sum(r["learnt"] for r in got), sum(r["check"] for r in got) / max(1, sum(r["checked"] for r in got))
+            if not learnt:
+                return weights, adam, value, np.nan
+            mean = sum(np.array(r["state"]) * (r["learnt"] / learnt) for r in got)
+            weights, first, second = np.split(mean, 3)
+            return weights, Adam(first, second, max(r["step"] for r in got)), value, sum(r["loss"] for r in got) / learnt
+
+        weights = saved = self.flat()
+        adam, best, since = Adam(np.zeros_like(weights), np.zeros_like(weights)), np.inf, 0
+        for epoch in range(epochs + 1):
+            after, adam, value, loss = one_pass(weights, adam, epoch, epoch < epochs)
+            self.history.append((loss, value))
+            if value < best - 1e-9:
+                best, since, saved = value, 0, weights
+            elif (since := since + 1) >= patience:
+                break
+            weights = after
+        self.load(saved)
+        return self
+
+    def flat(self) -> np.ndarray:
+        """All weights in a row."""
+        return np.concatenate([v.ravel() for w in (self.dense, self.decoder.weights, self.encoder.weights) for v in w.values()])
 
-    def load(self, saved: dict[str, np.ndarray]) -> None:
-        for p, w in (("dense", self.dense), ("decoder", self.decoder.weights), ("encoder", self.encoder.weights)):
-            for k in w:
-                w[k][...] = saved[f"{p}.{k}"]
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for w in (self.dense, self.decoder.weights, self.encoder.weights):
+            for v in w.values():
+                v[...] = flat[at : at + v.size].reshape(v.shape)
+                at += v.size
 
 
 @dataclass
@@ -211,12 +309,6 @@ def _joined(a: tuple, b: tuple) -> tuple:
     return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
 
 
-def training_sample(sequences: DataFrame, key: list[str], most: int = 20_000, seed: int = 42) -> np.ndarray:
-    """At most `most` sequences, those with the smallest seeded hashes of their key, on the driver."""
-    rows = hash_sample(sequences, most, *key, seed=seed).select("steps").collect()
-    return np.array([r["steps"] for r in rows], float)
-
-
 def errors(sequences: DataFrame, model, target: str | None = None) -> DataFrame:
     """sequences with error and error_by_feature, by the shape of what the model gives: as many steps
     as it got are a reconstruction, compared with steps; one step (or a row of features) is a

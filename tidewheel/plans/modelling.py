@@ -195,7 +195,7 @@ def model_sequences(spark, sf_dir):
 def reconstruction_errors(spark, sf_dir):
     s = model_sequences(spark, sf_dir)
     train = thresholds.training_rows(s, "active")
-    model = sequence.Autoencoder.start(3).fit(sequence.training_sample(train, ["lift_id", "ts"]))
+    model = sequence.Autoencoder.start(3).fit_all(train, ["lift_id", "ts"])
     return sequence.errors(s, model)
 
 
@@ -237,7 +237,7 @@ def k15(spark, sf_dir):
     m = scaling.apply_scaler(m.withColumns({c: F.col(c).cast("double") for c in columns}), scaling.fit_scaler(m, columns), columns)
     s = timeseries.sequences(m.withColumn("on", (F.col("n_active_groups") > 0).cast("int")), columns, META_SEQUENCE, "on")
     train = thresholds.training_rows(s, "active")
-    model = sequence.Autoencoder.start(len(columns)).fit(sequence.training_sample(train, ["lift_id", "ts"]))
+    model = sequence.Autoencoder.start(len(columns)).fit_all(train, ["lift_id", "ts"])
     errors = sequence.errors(s, model)
     limit = thresholds.thresholds(thresholds.training_rows(errors, "active", least=1), "error", side="upper")
     return errors.crossJoin(F.broadcast(limit)).select("lift_id", "ts", F.round("error", 6).alias("error"), thresholds.predict(F.col("error"), F.col("threshold"), F.col("active"), "upper").alias("pred"))
