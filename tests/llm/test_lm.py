@@ -36,6 +36,41 @@ def test_long_runs_and_files(tmp_path):
     assert e.find(v[::977]).tolist() == np.searchsorted(v, v[::977]).tolist()
 
 
+def test_searches_in_long_runs_take_few_steps(monkeypatch):
+    """Numbers whose high parts are all alike: a search must not halve the whole run step by step."""
+    e = EliasFano.of(np.append(np.arange(0, 100_000, 2), 1 << 40).astype(np.uint64))
+    steps, lows = [], EliasFano._lows
+    monkeypatch.setattr(EliasFano, "_lows", lambda self, i: steps.append(len(i)) or lows(self, i))
+    assert e.find(np.arange(99_999, dtype=np.uint64)).tolist() == [-1 if x % 2 else x // 2 for x in range(99_999)]
+    assert len(steps) <= 6
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=100), st.integers(0, 63))
+def test_decoding(values, shift):
+    v = np.sort(np.array(values, np.uint64) >> np.uint64(shift))
+    assert EliasFano.of(v).decode().tolist() == v.tolist()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=60), st.sampled_from([10, 1 << 20, 1 << 31]))
+def test_distinct_pairs(pairs, limit):
+    """In one sort where number and place fit into 64 bits together, else by places."""
+    first, second = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+    a, b, which = lm._distinct(limit - 10 + first, limit - 10 + second, limit)
+    found = list(zip((a - limit + 10).tolist(), (b - limit + 10).tolist(), strict=True))
+    assert found == sorted(set(pairs)) and [found[k] for k in which] == pairs
+
+
+def test_splitting_by_file():
+    for numbers in ([], [3], [0, 0, 2, 2, 2, 7], [5, 1, 5, 0, 1]):
+        array, got = np.array(numbers, np.int64), {}
+        for s, own in lm._split(array):
+            assert isinstance(own, slice) == (numbers == sorted(numbers))
+            got[s] = np.arange(len(array))[own].tolist()
+        assert got == {s: [i for i, x in enumerate(numbers) if x == s] for s in set(numbers)}
+
+
 def test_words_of_texts():
     draw = random.Random(3)
     for _ in range(200):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import beside, lean_batches, quoted, release, shared_path
-from .elias_fano import U64, EliasFano, map_arrays, write_arrays
+from .elias_fano import U64, EliasFano, groups, map_arrays, write_arrays
 from .repetition import chunks
 from .warc import delete_folder
 
@@ -136,27 +136,61 @@ def _tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
 
 
 class Text:
-    """Texts as one array of local word numbers, each text closed by the end, which is number 0."""
+    """Texts as one array of local word numbers, which ascend with the words' hashes (and so with their
+    ids), each text closed by the end."""
 
     def __init__(self, texts: pa.Array) -> None:
         plain = pc.ascii_lower(pc.ascii_trim_whitespace(pc.fill_null(texts, "").cast(pa.string())))
         lists = pc.ascii_split_whitespace(plain)
         words = lists.flatten().dictionary_encode()
-        self.hashes = np.append(U64(END), hash_words(words.dictionary))
-        local = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        hashes = np.append(U64(END), hash_words(words.dictionary))
+        by = np.argsort(hashes)
+        self.hashes, number = hashes[by], np.empty(len(by), np.int64)
+        number[by] = np.arange(len(by))
+        local = number[1:][words.indices.to_numpy(zero_copy_only=False)]
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         none = pc.equal(pc.binary_length(plain), 0).to_numpy(zero_copy_only=False)
         if none.any():  # such a text is split into one empty word
             local = np.delete(local, (np.cumsum(sizes) - sizes)[none])
             sizes[none] = 0
         self.sizes = sizes + 1
-        self.tokens = np.zeros(len(local) + len(sizes), np.int64)
+        self.tokens = np.full(len(local) + len(sizes), number[0])
         real = np.ones(len(self.tokens), bool)
         real[np.cumsum(self.sizes) - 1] = False
         self.tokens[real] = local
         self.text = np.repeat(np.arange(len(sizes)), self.sizes)
 
 
+def _split(of: np.ndarray) -> Iterator[tuple[int, slice | np.ndarray]]:
+    """Each different number of an array, and where it stands: a slice if the array is in order."""
+    if not len(of):
+        return
+    by = None
+    if (of[1:] < of[:-1]).any():
+        by = np.argsort(_narrow(of), kind="stable")
+        of = of[by]
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist()
+    for a, b in zip(first, [*first[1:], len(of)], strict=True):
+        yield int(of[a]), slice(a, b) if by is None else by[a:b]
+
+
+def _distinct(first: np.ndarray, second: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ones, in order, of pairs of numbers below limit, and which of them each pair is."""
+    n, bits = len(first), U64(limit.bit_length())
+    keys, places = first.astype(U64) << bits | second.astype(U64), U64(n.bit_length())
+    if 2 * bits + places <= 64:  # a sort of numbers is faster than one of their places
+        keys = np.sort(keys << places | np.arange(n, dtype=U64))
+        by = (keys & ((U64(1) << places) - U64(1))).astype(np.int64)
+        keys >>= places
+    else:
+        by = np.argsort(keys, kind="stable")
+        keys = keys[by]
+    own, group = groups(keys)
+    which = np.empty(n, np.int64)
+    which[by] = group
+    return (own >> bits).astype(np.int64), (own & ((U64(1) << bits) - U64(1))).astype(np.int64), which
+
+
 class Reader:
     """A model's files as this worker process has mapped them, the least recently used ones closed."""
 
@@ -201,18 +235,16 @@ class Reader:
 
     def _by_part(self, name: str, ids: np.ndarray) -> np.ndarray:
         out, base = np.zeros(len(ids), np.int64), self.directory["words.base"]
-        part = np.searchsorted(base, ids, "right") - 1
-        for p in np.unique(part[ids >= 0]).tolist():
-            own = (part == p) & (ids >= 0)
-            out[own] = self.arrays(f"words-{p:05d}")[name][ids[own] - base[p]]
+        known = np.flatnonzero(ids >= 0)
+        ids = ids[known]
+        for p, own in _split(np.searchsorted(base, ids, "right") - 1):
+            out[known[own]] = self.arrays(f"words-{p:05d}")[name][ids[own] - base[p]]
         return out
 
     def word_ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of words by hash, -1 for unknown ones."""
         out = np.full(len(hashes), -1, np.int64)
-        part = _range_of(hashes, self.model.shards)
-        for p in np.unique(part).tolist():
-            own = np.flatnonzero(part == p)
+        for p, own in _split(_range_of(hashes, self.model.shards)):
             at = self.sequence(f"words-{p:05d}", "hash").find(hashes[own])
             out[own] = np.where(at >= 0, at + self.directory["words.base"][p], -1)
         return out
@@ -249,17 +281,15 @@ class Reader:
         """Nodes of these keys (parents in order), -1 where there are none."""
         out = np.full(len(parents), -1, np.int64)
         some = np.flatnonzero((parents >= 0) & (values >= 0))
-        keys = parents[some].astype(U64) << U64(BITS[level]) | values[some].astype(U64)
-        shard = self.shard_of(level, keys)
-        for s in np.unique(shard).tolist():
-            own = some[shard == s]
+        parents, values = parents[some], values[some]
+        for s, own in _split(self.shard_of(level, parents.astype(U64) << U64(BITS[level]) | values.astype(U64))):
             at = self._children(f"{level}-{s:05d}", parents[own] - self.parents(level, s)[0], values[own])
-            out[own] = np.where(at >= 0, at + self.directory[f"{level}.base"][s], -1)
+            out[some[own]] = np.where(at >= 0, at + self.directory[f"{level}.base"][s], -1)
         return out
 
     def _children(self, name: str, parents: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Where in the file the successor values of these parents stand, or -1. Parents in order."""
-        own, inverse = _groups(parents)
+        own, inverse = groups(parents)
         pointers, successors = self.sequence(name, "pointer"), self.sequence(name, "successor")
         begin, end = pointers[own].astype(np.int64), pointers[own + 1].astype(np.int64)
         base = np.zeros(len(own), np.int64)
@@ -282,10 +312,9 @@ class Reader:
         cut_here[cut_here] = edge[at[cut_here]] == parents[cut_here]
         out[cut_here] = self.directory[f"{level}.edge_{name}"][at[cut_here]]
         rest = np.flatnonzero(~cut_here)
-        shard = self.shard_of(level, parents[rest].astype(U64) << U64(BITS[level]))
-        for s in np.unique(shard).tolist():
-            own = rest[shard == s]
-            out[own] = inside(f"{level}-{s:05d}", self.parents(level, s)[0], int(self.directory[f"{level}.base"][s]), parents[own])
+        parents = parents[rest]
+        for s, own in _split(self.shard_of(level, parents.astype(U64) << U64(BITS[level]))):
+            out[rest[own]] = inside(f"{level}-{s:05d}", self.parents(level, s)[0], int(self.directory[f"{level}.base"][s]), parents[own])
         return out
 
     def begin(self, level: str, parents: np.ndarray) -> np.ndarray:
@@ -304,9 +333,7 @@ class Reader:
     def by_node(self, level: str, file: str, name: str, nodes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(nodes), np.int64)
         base = self.directory[f"{level}.base"]
-        shard = np.searchsorted(base, nodes, "right") - 1
-        for s in np.unique(shard).tolist():
-            own = shard == s
+        for s, own in _split(np.searchsorted(base, nodes, "right") - 1):
             out[own] = self.arrays(f"{file}-{level}-{s:05d}")[name][nodes[own] - base[s]]
         return out
 
@@ -314,33 +341,28 @@ class Reader:
         """The second halves of the nodes' keys."""
         out = np.zeros(len(nodes), np.int64)
         base = self.directory[f"{level}.base"]
-        shard = np.searchsorted(base, nodes, "right") - 1
-        for s in np.unique(shard).tolist():
-            own = np.flatnonzero(shard == s)
+        for s, own in _split(np.searchsorted(base, nodes, "right") - 1):
             local = nodes[own] - base[s]
             successors = self.sequence(f"{level}-{s:05d}", "successor")
+            if 4 * len(local) > successors.n:
+                successors = successors.decode()
             begin = self.arrays(f"counts-{level}-{s:05d}")["begin"][local].astype(np.int64)
             before = np.where(begin > 0, successors[np.maximum(begin - 1, 0)].astype(np.int64) + 1, 0)
             out[own] = successors[local].astype(np.int64) - before
         return out
 
-    def contexts(self, text: Text, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The places of text.tokens with a token before, the different pairs there (as local word
-        numbers, first * words + second), which of them each place has, and their nodes."""
-        follows = np.flatnonzero(text.text[1:] == text.text[:-1]) + 1
-        words = max(1, len(ids))
-        keys, inverse = np.unique(text.tokens[follows - 1] * words + text.tokens[follows], return_inverse=True)
-        first, second = ids[keys // words], ids[keys % words]
-        by = np.argsort(first, kind="stable")
-        node = np.full(len(keys), -1, np.int64)
-        node[by] = self.find("pairs", first[by], second[by])
-        return follows, keys, inverse, node
+    def pairs(self, text: Text, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The different pairs of neighbours in text.tokens (as two arrays of local word numbers), which
+        of them ends at each token but the first, and their nodes, in order. An end and the next text's
+        first token are a pair, too, which is no node, as nothing follows an end in a text."""
+        first, second, which = _distinct(text.tokens[:-1], text.tokens[1:], len(ids))
+        return first, second, which, self.find("pairs", ids[first], ids[second])
 
     def ranks(self, nodes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Ranks of pair nodes among the successors of their first words; -1 for none."""
         out = np.full(len(nodes), -1, np.int64)
         hit = np.flatnonzero(nodes >= 0)
-        words, inverse = np.unique(first[hit], return_inverse=True)
+        words, inverse = groups(first[hit])
         out[hit] = nodes[hit] - self.begin("pairs", words)[inverse]
         return out
 
@@ -350,39 +372,32 @@ class Reader:
         known = (self.word_counts(ids) > 0).astype(np.int64)
         alone = self.word_log10(ids)
         local, n = text.tokens, len(text.sizes)
-        log = alone[local]
+        base = alone[local]
+        log = base.copy()
         if self.model.words:
-            words = len(ids)
-            follows, keys, inverse, node = self.contexts(text, ids)
-            back = np.zeros(words)
-            back[ids >= 0] = self.weight("pairs", ids[ids >= 0]) / -SCALE
-            value = back[keys // words] + alone[keys % words]
+            first, second, which, node = self.pairs(text, ids)
             hit = node >= 0
+            back = np.zeros(len(ids))
+            back[ids >= 0] = self.weight("pairs", ids[ids >= 0]) / -SCALE
+            value = back[first] + alone[second]
             value[hit] = self.by_node("pairs", "codes", "probability", node[hit]) / -SCALE
-            log[follows] = value[inverse]
+            log[1:] = value[which]
             # a third word: where two tokens come before, and they are a node
-            at, rank = np.full(len(local), -1, np.int64), np.full(len(local), -1, np.int64)
-            at[follows], rank[follows] = node[inverse], self.ranks(node, ids[keys // words])[inverse]
-            third = np.flatnonzero(at[:-1] >= 0) + 1
-            third = third[text.text[third] == text.text[third - 1]]
-            nodes, inverse = np.unique(at[third - 1], return_inverse=True)
-            log[third] += (self.weight("triples", nodes) / -SCALE)[inverse]
-            third = third[rank[third] >= 0]
-            keys, inverse = np.unique(at[third - 1] << BITS["triples"] | rank[third], return_inverse=True)
-            found = self.find("triples", keys >> BITS["triples"], keys & ((1 << BITS["triples"]) - 1))
-            value = np.full(len(keys), np.nan)
-            value[found >= 0] = self.by_node("triples", "codes", "probability", found[found >= 0]) / -SCALE
-            value = value[inverse]
-            log[third] = np.where(np.isnan(value), log[third], value)
+            weight = np.zeros(len(node))
+            weight[hit] = self.weight("triples", node[hit]) / -SCALE
+            log[2:] += weight[which[:-1]]
+            third = np.flatnonzero(hit[which[:-1]] & hit[which[1:]]) + 2
+            before, last, inverse = _distinct(which[third - 2], which[third - 1], len(node))
+            found = self.find("triples", node[before], self.ranks(node, ids[first])[last])
+            hit = found >= 0
+            value = np.zeros(len(found))
+            value[hit] = self.by_node("triples", "codes", "probability", found[hit]) / -SCALE
+            seen = np.flatnonzero(hit[inverse])
+            log[third[seen]] = value[inverse[seen]]
+            begin = np.cumsum(text.sizes) - text.sizes
+            log[begin] = base[begin]
         add = lambda x: np.bincount(text.text, x, n)
-        return add(known[local]).astype(np.int64), add(alone[local]), add(log)
-
-
-def _groups(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers of an array in order, and which of them each is."""
-    new = np.ones(len(ordered), bool)
-    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
-    return ordered[new], np.cumsum(new) - 1
+        return add(known[local]).astype(np.int64), add(base), add(log)
 
 
 # --- training --------------------------------------------------------------------------------
@@ -529,15 +544,14 @@ def fit(train: DataFrame, text_col: str = "text", settings: Settings | None = No
     def triples_of(some: pa.Array, model: LanguageModel = model) -> np.ndarray:
         text, reader = Text(some), Reader.of(model)
         ids = reader.word_ids(text.hashes)
-        follows, keys, inverse, node = reader.contexts(text, ids)
-        rank = reader.ranks(node, ids[keys // max(1, len(ids))])
-        at, ranks = np.full(len(text.tokens), -1, np.int64), np.full(len(text.tokens), -1, np.int64)
-        at[follows], ranks[follows] = node[inverse], rank[inverse]
-        third = np.flatnonzero((at[1:] >= 0) & (at[:-1] >= 0)) + 1
-        third = third[text.text[third] == text.text[third - 1]]
-        if len(third) and ranks[third].max() >= 1 << BITS["triples"]:
+        first, _, which, node = reader.pairs(text, ids)
+        rank = reader.ranks(node, ids[first])
+        before, last = which[:-1], which[1:]
+        both = (node >= 0)[before] & (node >= 0)[last]
+        before, last = node[before[both]], rank[last[both]]
+        if len(last) and last.max() >= 1 << BITS["triples"]:
             raise ValueError("more successors than ranks can tell apart")
-        return (at[third - 1] << BITS["triples"] | ranks[third]).astype(U64)
+        return (before << BITS["triples"] | last).astype(U64)
 
     def triple_cut(reader: Reader, token: int) -> int:
         base = reader.directory["pairs.tokens"]
@@ -553,7 +567,7 @@ def fit(train: DataFrame, text_col: str = "text", settings: Settings | None = No
         return reader.by_node("pairs", "counts", "count", parents)
 
     def triple_below(reader: Reader, parents: np.ndarray, values: np.ndarray) -> np.ndarray:
-        own, inverse = _groups(parents)
+        own, inverse = groups(parents)
         middle = reader.values("pairs", own)
         words, of_word = np.unique(middle, return_inverse=True)
         lower = reader.begin("pairs", words)[of_word][inverse] + values
@@ -638,7 +652,7 @@ def _level(
         reader, d = Reader.of(built), settings.discount
         first, last = reader.parents(level, shard)
         every = np.arange(first, last)
-        pointer = reader.sequence(f"{level}-{shard:05d}", "pointer")[np.arange(last - first + 1)].astype(np.int64)
+        pointer = reader.sequence(f"{level}-{shard:05d}", "pointer").decode().astype(np.int64)
         counts = reader.arrays(f"counts-{level}-{shard:05d}")["count"]
         behind = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         total = totals_of(reader, every)
@@ -688,7 +702,7 @@ def _structure(parents: np.ndarray, values: np.ndarray, n_parents: int) -> tuple
     """Pointers and successors of a file, rows in order; and where each row's parent begins."""
     pointer = np.concatenate([[0], np.cumsum(np.bincount(parents, minlength=n_parents))])
     begin = pointer[parents]
-    own, group = _groups(parents)
+    own, group = groups(parents)
     ends = pointer[own + 1] - 1  # of each parent with successors: its greatest value
     grown = np.cumsum(values[ends] + 1)
     base = np.concatenate([[0], grown[:-1]]) if len(ends) else grown
